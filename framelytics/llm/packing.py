@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .tokens import ids_of
+from .tokens import encode as encode_texts
 
 CAPACITY, END_ID = 1024, 2
 SHARD_ITEMS, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 1500, 2, 4, 2, 4
@@ -40,11 +40,11 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = ids_of(path), end_id.to_bytes(4, "little")
+        end = end_id.to_bytes(4, "little")
         for batch in batches:
             docs, rows, all_ids = [], [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                found = memoryview(ids.of(text or "") + end)
+            for at, ids in encode_texts([x or "" for x in batch.column(1).to_pylist()], path):
+                found = memoryview(bytes(ids) + end)
                 for k, (start, length) in enumerate(cut(len(found) // 4, capacity)):
                     own = found[4 * start : 4 * (start + length)]
                     docs.append(at)

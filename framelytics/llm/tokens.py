@@ -1,9 +1,9 @@
 """Token counts with a whole-token shortcut, and token ids, by the tokenizers library.
 
-Both cut a text into pre-tokens with a pattern and look each up; only a pre-token not
-seen before is merged by the library's model. The cut is written here for texts of Latin
-letters, digits and common punctuation, for which Unicode's classes are spelled out; a
-text with any other character or with a special string goes to the library whole.
+Both cut texts into pre-tokens and look each distinct one up; only one not seen before is
+merged by the library's model. Plain texts are cut together as arrays of bytes, others of
+Latin letters, digits and common punctuation by a pattern in which Unicode's classes are
+spelled out; a text with any other character or a special string goes to the library whole.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens that a task remembers; at this many it forgets all but the proven ones.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ʯⱥⱦ"
 DIGITS = "0-9²³¹¼½¾"
 SPACES = "\\t-\\r \\x85\\xa0"
@@ -81,58 +82,152 @@ def proven_whole(path: str, suffix: str = "</w>") -> frozenset[str]:
     return frozenset(out)
 
 
-class _Counts(dict):
-    """Tokens of a pre-token: one for a proven one, else what merging gives."""
+#: Classes of the bytes of plain text: space, other white space, letter, digit, other, and inside a character.
+SPACE, WHITE, LETTER, DIGIT, OTHER, INSIDE = range(6)
 
-    def __init__(self, merger: Merger, whole: frozenset[str]) -> None:
-        super().__init__(dict.fromkeys(whole, 1))
-        self.merger, self.whole = merger, whole
 
-    def __missing__(self, pre_token: str) -> int:
-        if len(self) >= REMEMBERED + len(self.whole):
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        self[pre_token] = n = len(self.merger.ids(pre_token))
-        return n
+@cache
+def _classes() -> np.ndarray:
+    out = np.full(256, OTHER, np.uint8)
+    out[[9, 10, 11, 12, 13]] = WHITE
+    out[32] = SPACE
+    out[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = LETTER  # C3-C9 lead U+00C0 to U+024F
+    out[48:58] = DIGIT
+    out[0x80:0xC0] = INSIDE
+    return out
 
-    def of(self, text: str) -> int:
-        if not self.merger.usual(text):
-            return len(self.merger.whole(text))
-        return sum(map(self.__getitem__, WORD_PATTERN.findall(text.lower())))
 
+#: Apostrophes, which may begin a suffix, and characters that the byte classes don't tell; what these occur in is cut by the pattern.
+_ODD = re.compile(rb"['\xC2]|\xC3[\x97\xB7]|[\xCA-\xE1\xE3-\xFF]")
 
-class _Ids(dict):
-    """The ids of a pre-token as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, merger: Merger) -> None:
-        super().__init__()
-        self.merger = merger
+def cut_plain(data: np.ndarray, docs: np.ndarray, words: bool) -> np.ndarray:
+    """Where the pre-tokens of plain texts start, white space included.
 
-    def __missing__(self, pre_token: str) -> bytes:
-        if len(self) >= REMEMBERED:
+    data: the texts' bytes; docs: where each non-empty text starts. With words every digit
+    is apart and white space joins nothing; else the space before a run belongs to it.
+    """
+    kind = _classes()[data]
+    for _ in range(2):  # a character has up to three bytes
+        inside = np.flatnonzero(kind == INSIDE)
+        inside = inside[kind[inside - 1] != INSIDE]
+        kind[inside] = kind[inside - 1]
+    white = kind <= WHITE
+    group = np.where(white, SPACE, kind)
+    first = np.zeros(len(data) + 1, bool)
+    first[docs] = True
+    first[len(data)] = True
+    starts = first[:-1].copy()
+    starts[1:] |= group[1:] != group[:-1]
+    if words:
+        starts |= kind == DIGIT
+        return np.flatnonzero(starts)
+    joined = np.zeros(len(data), bool)  # runs whose text continues a space before them
+    joined[1:] = starts[1:] & ~white[1:] & ~first[1:-1] & (kind[:-1] == SPACE)
+    last = white & ~first[1:]  # white space before other text of the same document
+    last[:-1] &= ~white[1:]
+    return np.flatnonzero((starts & ~joined) | last)
+
+
+class Known(dict):
+    """What each pre-token, as bytes, gives; at REMEMBERED it starts anew from the given ones."""
+
+    def __init__(self, give, given: dict) -> None:
+        super().__init__(given)
+        self.give, self.given = give, given
+
+    def __missing__(self, pre_token: bytes):
+        if len(self) >= REMEMBERED + len(self.given):
             self.clear()
-        self[pre_token] = ids = packed(self.merger.ids(pre_token))
-        return ids
+            self.update(self.given)
+        self[pre_token] = found = self.give(pre_token.decode())
+        return found
+
+    def values_of(self, texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray, list]:
+        """For plain, non-empty texts: the pre-tokens before the end of each, all pre-tokens as codes, and what each code gives."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = b"".join(texts)
+        docs = np.cumsum(sizes) - sizes
+        starts = cut_plain(np.frombuffer(joined, np.uint8), docs, words)
+        offsets = pa.py_buffer(np.append(starts, len(joined)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(joined)]).dictionary_encode()
+        values = [self[x] for x in coded.dictionary.to_pylist()]
+        return np.searchsorted(starts, docs + sizes), coded.indices.to_numpy(), values
+
+
+def slices(texts: list[bytes], most: int = 4_000_000) -> Iterator[list[int]]:
+    """The places of the texts, in parts of about so many bytes."""
+    part, n = [], 0
+    for k, x in enumerate(texts):
+        part.append(k)
+        n += len(x)
+        if n >= most:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
 
-    def of(self, text: str) -> bytes:
-        if not self.merger.usual(text):
-            return packed(self.merger.whole(text))
-        return b"".join(map(self.__getitem__, BYTE_PATTERN.findall(text)))
 
-
-def packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+@cache
+def _counter(path: str, whole: frozenset[str]) -> tuple[Merger, Known]:
+    merger = Merger(path)
+    count = lambda x: 0 if x[0] in " \t\n\r\v\f" else len(merger.ids(x))
+    return merger, Known(count, dict.fromkeys((x.encode() for x in whole), 1))
+
+
+def count_tokens(texts: list[str], path: str, whole: frozenset[str]) -> np.ndarray:
+    """The tokens of each text."""
+    merger, known = _counter(path, whole)
+    out, plain = np.zeros(len(texts), np.int64), []
+    lowered = []
+    for k, text in enumerate(texts):
+        if not merger.usual(text):
+            out[k] = len(merger.whole(text))
+        elif _ODD.search(low := text.lower().encode()):
+            out[k] = sum(known[x.encode()] for x in WORD_PATTERN.findall(text.lower()))
+        elif low:
+            plain.append(k)
+            lowered.append(low)
+    for part in slices(lowered):
+        ends, codes, values = known.values_of([lowered[k] for k in part], True)
+        total = np.concatenate([[0], np.cumsum(np.array(values, np.int64)[codes])])
+        out[[plain[k] for k in part]] = np.diff(np.concatenate([[0], total[ends]]))
+    return out
 
 
-@cache
-def _counts(path: str, whole: frozenset[str]) -> _Counts:
-    return _Counts(Merger(path), whole)
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 @cache
-def ids_of(path: str) -> _Ids:
-    """Of a byte-level tokenizer file; one per process."""
-    return _Ids(Merger(path))
+def _coder(path: str) -> tuple[Merger, Known]:
+    merger = Merger(path)
+    return merger, Known(lambda x: packed(merger.ids(x)), {})
+
+
+def encode(texts: list[str], path: str) -> Iterator[tuple[int, memoryview | bytes]]:
+    """(place, ids as little-endian unsigned 32-bit bytes) of each text, by a byte-level tokenizer file; in any order."""
+    merger, known = _coder(path)
+    plain, raw = [], []
+    for k, text in enumerate(texts):
+        if not merger.usual(text):
+            yield k, packed(merger.whole(text))
+        elif _ODD.search(data := text.encode()) or not data:
+            yield k, b"".join(known[x.encode()] for x in BYTE_PATTERN.findall(text))
+        else:
+            plain.append(k)
+            raw.append(data)
+    for part in slices(raw):
+        ends, codes, values = known.values_of([raw[k] for k in part], False)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        after = np.cumsum(n)
+        flat = memoryview(ids[np.repeat(first[codes] - (after - n), n) + np.arange(after[-1])].tobytes())
+        start = 0
+        for k, end in zip(part, (4 * after[ends - 1]).tolist()):
+            yield plain[k], flat[start:end]
+            start = end
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -147,9 +242,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     whole = spark.sparkContext.broadcast(proven_whole(path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _counts(path, whole.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([counts.of(x) for x in batch.column(2).to_pylist()], pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_tokens(batch.column(2).to_pylist(), path, whole.value))], names=["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
