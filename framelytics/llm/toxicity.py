@@ -25,14 +25,17 @@ from .common import fold
 
 #: The samples' bounds: positives and unlabelled documents, drawn by a hash of the id.
 POSITIVES, UNLABELLED = 3000, 9000
-MODELS, EPOCHS, BATCH, RATE, PENALTY = 3, 30, 256, 0.02, 1e-4
-#: A word is a feature if it is in so many positives.
-LEAST_POSITIVES = 4
+MODELS, EPOCHS, BATCH, RATE, PENALTY = 3, 150, 1024, 0.03, 1e-4
+#: A word or prefix is a feature if it is in so many positives and surely likelier there than in unlabelled text.
+LEAST_POSITIVES, LEAST_RATIO, MOST_FEATURES = 4, 0.7, 4000
+PREFIXES = (4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+def features_of(text: str | None) -> set[str]:
+    """The words of a text, and their first letters up to PREFIXES marked by a hyphen: many insults are inflected."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return words.union(*[{w[:n] + "-" for w in words if len(w) >= n} for n in PREFIXES])
 
 
 @dataclass(frozen=True)
@@ -42,7 +45,7 @@ class Model:
     weights: dict[str, np.ndarray]
 
     def score(self, text: str | None) -> float:
-        found = [self.weights[w] for w in words_of(text) if w in self.weights]
+        found = [self.weights[w] for w in features_of(text) if w in self.weights]
         margins = np.sum(found, axis=0) + self.weights[""] if found else self.weights[""]
         return float(np.mean(1 / (1 + np.exp(-np.clip(margins, -30, 30)))))
 
@@ -77,12 +80,17 @@ def _train_one(pos: np.ndarray, unl: np.ndarray, prior: float, rng: np.random.Ge
 
 
 def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, models: int = MODELS, seed: int = 0) -> Model:
-    """Features: words of LEAST_POSITIVES positives or more that are likelier there, each as large as its log ratio."""
+    """A feature is as large as the low end of its log ratio between positives and unlabelled texts."""
     in_pos, in_unl = Counter(w for x in positive for w in x), Counter(w for x in unlabelled for w in x)
-    ratio = {w: np.log((n + 0.5) / (len(positive) + 1)) - np.log((in_unl[w] + 0.5) / (len(unlabelled) + 1)) for w, n in in_pos.items() if n >= LEAST_POSITIVES}
-    words = sorted((w for w, r in ratio.items() if r > 0.7))[:20_000]
+
+    def ratio(w: str) -> float:
+        n, m = in_pos[w] + 0.5, in_unl[w] + 0.5
+        return np.log(n / (len(positive) + 1)) - np.log(m / (len(unlabelled) + 1)) - 1.64 * np.sqrt(1 / n + 1 / m)
+
+    found = sorted(((ratio(w), w) for w, n in in_pos.items() if n >= LEAST_POSITIVES), reverse=True)
+    words = [w for r, w in found if r > LEAST_RATIO][:MOST_FEATURES]
     at = {w: k for k, w in enumerate(words)}
-    scale = np.array([ratio[w] for w in words], np.float32)
+    scale = np.array([r for r, _ in found[: len(words)]], np.float32)
 
     def rows(texts: list[set[str]]) -> np.ndarray:
         out = np.zeros((len(texts), len(words)), np.float32)
@@ -117,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable,
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [" ".join(sorted(words_of(x))) for x in batch.column(2).to_pylist()]
+            found = [" ".join(sorted(features_of(x))) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["p", "id", "words"])
 
     kind = own.schema["id"].dataType.simpleString()
