@@ -12,7 +12,6 @@ each trained against its own part of the unlabelled sample.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, staged
 
 #: The samples' bounds: positives and unlabelled documents, drawn by a hash of the id.
 POSITIVES, UNLABELLED = 3000, 9000
@@ -79,34 +78,44 @@ def _train_one(pos: np.ndarray, unl: np.ndarray, prior: float, rng: np.random.Ge
     return w, float(b)
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, models: int = MODELS, seed: int = 0) -> Model:
-    """A feature is as large as the low end of its log ratio between positives and unlabelled texts."""
-    in_pos, in_unl = Counter(w for x in positive for w in x), Counter(w for x in unlabelled for w in x)
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: list[str], scale: np.ndarray, prior: float, models: int = MODELS, seed: int = 0) -> Model:
+    """Texts are arrays of the numbers of their features; scale is how large each feature is."""
 
-    def ratio(w: str) -> float:
-        n, m = in_pos[w] + 0.5, in_unl[w] + 0.5
-        return np.log(n / (len(positive) + 1)) - np.log(m / (len(unlabelled) + 1)) - 1.64 * np.sqrt(1 / n + 1 / m)
-
-    found = sorted(((ratio(w), w) for w, n in in_pos.items() if n >= LEAST_POSITIVES), reverse=True)
-    words = [w for r, w in found if r > LEAST_RATIO][:MOST_FEATURES]
-    at = {w: k for k, w in enumerate(words)}
-    scale = np.array([r for r, _ in found[: len(words)]], np.float32)
-
-    def rows(texts: list[set[str]]) -> np.ndarray:
+    def rows(texts: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(texts), len(words)), np.float32)
         for k, x in enumerate(texts):
-            for w in x & at.keys():
-                out[k, at[w]] = scale[at[w]]
+            out[k, x] = scale[x]
         return out
 
     if not positive or not unlabelled or not words:
         return Model({"": np.array([np.log(prior / (1 - prior))])})
     rng, pos = np.random.default_rng(seed), rows(positive)
     found = [_train_one(pos, rows(unlabelled[k::models] or unlabelled), prior, rng) for k in range(models)]
-    weights = {w: np.array([x[k] for x, _ in found]) * scale[k] for w, k in at.items()}
+    weights = {w: np.array([x[k] for x, _ in found]) * scale[k] for k, w in enumerate(words)}
     return Model(weights | {"": np.array([b for _, b in found])})
 
 
+def select_features(chosen: DataFrame) -> list[tuple[str, float]]:
+    """At most MOST_FEATURES (feature, scale), counted over the sample (p, text) by Spark.
+
+    A feature is as large as the low end of its log ratio between positives and unlabelled texts.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list[int]] = {}
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in features_of(text):
+                    found.setdefault(w, [0, 0])[not p] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([m for _, m in found.values()], pa.int64())], names=["w", "n", "m"])
+
+    sizes = chosen.agg(F.count_if("p").alias("n"), F.count_if(~F.col("p")).alias("m")).first()
+    total = chosen.mapInArrow(counts, "w string, n long, m long").groupBy("w").agg((F.sum("n") + 0.5).alias("n"), (F.sum("m") + 0.5).alias("m")).where(F.col("n") > LEAST_POSITIVES)
+    ratio = F.ln(F.col("n") / (sizes["n"] + 1)) - F.ln(F.col("m") / (sizes["m"] + 1)) - 1.64 * F.sqrt(1 / F.col("n") + 1 / F.col("m"))
+    best = total.select("w", ratio.alias("r")).where(F.col("r") > LEAST_RATIO).orderBy(F.desc("r"), "w").limit(MOST_FEATURES)
+    return [(x["w"], float(x["r"])) for x in best.collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """The prior is the share of toxic ones among all labelled, usable ids."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -116,22 +125,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable,
     prior = float(np.clip(((counts["toxic"] or 0) + 1) / (counts["n"] + 2), 1e-3, 0.5))
     order = F.xxhash64("id")
     toxic = marks.where("toxic = 1").orderBy(order, "id").limit(positives).select("id")
-    total = docs.count()
-    rate = min(1.0, 1.3 * unlabelled / max(1, total))
+    rate = min(1.0, 1.3 * unlabelled / max(1, docs.count()))
     some = own.select("id").where(usable(F.col("id")) & (F.pmod(order, F.lit(1_000_000)) < rate * 1e6)).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(unlabelled)
     # Both samples are bounded, so the texts are found by their ids in a map over the documents.
     drawn = toxic.select("id", F.lit(True).alias("p")).union(some.select("id", F.lit(False).alias("p")))
-    chosen = own.join(F.broadcast(drawn), "id").where("text IS NOT NULL").select("p", "id", "text")
+    chosen = staged(own.join(F.broadcast(drawn), "id").where("text IS NOT NULL").select("p", "text", "id"), "sample")
+    features = select_features(chosen)
+    numbers = chosen.sparkSession.sparkContext.broadcast({w: k for k, (w, _) in enumerate(features)})
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = numbers.value
         for batch in batches:
-            found = [" ".join(sorted(features_of(x))) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["p", "id", "words"])
+            found = [np.array(sorted(at[w] for w in features_of(x) if w in at), "<i4").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["p", "id", "x"])
 
     kind = own.schema["id"].dataType.simpleString()
-    rows = chosen.mapInArrow(sets, f"p boolean, id {kind}, words string").toPandas().sort_values(["p", "id", "words"])
-    pos, unl = ([set(x.split()) for x in rows["words"][rows["p"] == p]] for p in (True, False))
-    return train(pos, unl, prior)
+    rows = sorted(chosen.mapInArrow(known, f"p boolean, id {kind}, x binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))
+    pos, unl = ([np.frombuffer(r["x"], "<i4") for r in rows if r["p"] == p] for p in (True, False))
+    return train(pos, unl, [w for w, _ in features], np.array([r for _, r in features], np.float32), prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
