@@ -42,7 +42,7 @@ def _share(part: Column, whole: Column, most: float) -> Column:
 #: A letter, in the sense of Unicode.
 LETTER = r"\p{L}"
 RULES = (
-    Rule("mean_word_length", lambda: (_n() > 0) & ~(F.char_length(F.array_join("words", "")) / _n()).between(1.5, 25)),
+    Rule("mean_word_length", lambda: ~F.char_length(F.array_join("words", "")).between(1.5 * _n(), 25 * _n())),
     Rule("symbols", lambda: _share(n_symbols(), _n(), 0.5)),
     Rule("letterless_words", lambda: _share(_n() - F.size(F.filter("words", lambda w: w.rlike(LETTER))), _n(), 0.7)),
     Rule("duplicate_lines", lambda: _share(n_dup_lines(), F.size(lines()), 0.5)),
