@@ -123,16 +123,16 @@ class Model:
         return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """A linear SVM: squared hinge loss, both classes of equal weight, by accelerated full-batch descent."""
-    n_pos, n_neg = max(1, (y > 0).sum()), max(1, (y < 0).sum())
-    share = np.where(y > 0, 0.5 / n_pos, 0.5 / n_neg).astype(np.float32)
-    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
-    step = 0.5 / (float((x * x).sum(axis=1).max()) + 1 + PENALTY)
+def _machine(pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, float]:
+    """A linear SVM: squared hinge loss, both classes of equal weight, by accelerated full-batch descent. Neither array is copied."""
+    w, b = np.zeros(pos.shape[1], np.float32), np.float32(0)
+    longest = max((float(np.einsum("ij,ij->i", x, x).max()) for x in (pos, neg) if len(x)), default=0.0)
+    step = 0.5 / (longest + 1 + PENALTY)
     v, c, t = w, b, 1.0
     for _ in range(EPOCHS * 10):
-        slack = np.maximum(0, 1 - y * (x @ v + c)) * share * y
-        w2, b2 = v + 2 * step * (slack @ x) - step * PENALTY * v, c + 2 * step * slack.sum()
+        above = (np.maximum(0, 1 - (pos @ v + c)) * (0.5 / max(1, len(pos)))).astype(np.float32)
+        below = (np.maximum(0, 1 + (neg @ v + c)) * (0.5 / max(1, len(neg)))).astype(np.float32)
+        w2, b2 = v + 2 * step * (above @ pos - below @ neg) - step * PENALTY * v, c + 2 * step * (above.sum() - below.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c, t = (w2 + (t - 1) / t2 * (w2 - w)).astype(np.float32), np.float32(b2 + (t - 1) / t2 * (b2 - b)), t2
         w, b = w2.astype(np.float32), np.float32(b2)
@@ -140,18 +140,25 @@ def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def train(x: np.ndarray, langs: list[str]) -> Model:
-    """x: features of the training texts. Features are scaled by their spread, which goes into the weights."""
+    """x: features of the training texts, in the order of (family, language); they are scaled in place.
+
+    Features are scaled by their spread, which goes into the weights. In this order the
+    texts of a language, and those of a family, are a slice of x.
+    """
     names = sorted(set(langs))
     kin = sorted({family(a) for a in names})
-    spread = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(BUCKETS)
-    scaled = (x * spread).astype(np.float32)
+    spread = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32) if len(x) else np.ones(BUCKETS, np.float32)
+    x *= spread
     own, labels = np.array(langs), np.array(["family " + family(a) for a in langs])
+
+    def rows(name: str) -> np.ndarray:
+        at = np.flatnonzero((labels if name.startswith("family ") else own) == name)
+        return x[at[0] : at[-1] + 1]
+
     pairs = [("family " + a, "family " + b) for a, b in combinations(kin, 2)] + [(a, b) for a, b in combinations(names, 2) if family(a) == family(b)]
     weights, bias = np.zeros((len(pairs), BUCKETS)), np.zeros(len(pairs))
     for k, (a, b) in enumerate(pairs):
-        of = labels if a.startswith("family ") else own
-        rows = (of == a) | (of == b)
-        w, bias[k] = _machine(scaled[rows], np.where(of[rows] == a, 1, -1).astype(np.float32))
+        w, bias[k] = _machine(rows(a), rows(b))
         weights[k] = w * spread
     return Model(tuple(names), tuple(kin), tuple(pairs), weights, bias)
 
@@ -177,10 +184,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
 
     ranked = drawn.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"))).alias("r")).where(F.col("r") <= per_language)
     rows = ranked.select("text", "lang").mapInArrow(vectors, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, BUCKETS), np.float32)
-    some = x.sum(axis=1) > 0
-    return train(x[some], [r["lang"] for r, ok in zip(rows, some) if ok])
+    rows = sorted((r for r in rows if any(r["x"])), key=lambda r: (family(r["lang"]), r["lang"], bytes(r["x"])))
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r["x"], np.float16)
+    langs = [r["lang"] for r in rows]
+    del rows
+    return train(x, langs)
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str, carry: list[str]) -> DataFrame:
