@@ -202,6 +202,56 @@ def psnr(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*FRAME).agg(F.when(mse > 0, 10 * F.log10(255.0 * 255.0 / mse)).alias("psnr"))
 
 
+def ssim(a: DataFrame, b: DataFrame, width: int, height: int, size: int = 8, step: int = 4) -> DataFrame:
+    """Structural similarity of two versions of a clip: per frame the mean over blocks of size x size at every step."""
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    both = a.join(b.withColumnRenamed("v", "w"), [*FRAME, "y", "x"])
+    for axis, most in (("y", (height - size) // step), ("x", (width - size) // step)):
+        first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col(axis) - size + 1) / step))
+        last = F.least(F.lit(most).cast("long"), F.floor(F.col(axis) / step))
+        both = both.where(first <= last).withColumn(f"b{axis}", F.explode(F.sequence(first, last)))
+    m, n = F.avg("v"), F.avg("w")
+    vv, ww, vw = F.avg(F.col("v") * F.col("v")) - m * m, F.avg(F.col("w") * F.col("w")) - n * n, F.avg(F.col("v") * F.col("w")) - m * n
+    blocks = both.groupBy(*FRAME, "by", "bx").agg(((2 * m * n + c1) * (2 * vw + c2) / ((m * m + n * n + c1) * (vv + ww + c2))).alias("s"))
+    return blocks.groupBy(*FRAME).agg(F.avg("s").alias("ssim"))
+
+
+def mask_boxes(px: DataFrame, boxes: DataFrame, fill: int = 0, ellipse: bool = False, scale: float = 1.0) -> DataFrame:
+    """Pixels inside any box (x1, y1, x2, y2) of their frame become fill; boxes grow about their centres by scale.
+
+    With ellipse only what lies inside a box's ellipse is filled. A frame's boxes are
+    one array, so pixels are joined by frame and stay one row each.
+    """
+    own = boxes.groupBy(*FRAME).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
+
+    def holds(b: Column) -> Column:
+        dx, dy = F.abs(F.col("x") - (b["x1"] + b["x2"]) / 2), F.abs(F.col("y") - (b["y1"] + b["y2"]) / 2)
+        rx, ry = (b["x2"] - b["x1"]) * scale / 2, (b["y2"] - b["y1"]) * scale / 2
+        return dx * dx * ry * ry + dy * dy * rx * rx <= rx * rx * ry * ry if ellipse else (dx <= rx) & (dy <= ry)
+
+    inside = F.coalesce(F.exists("boxes", holds), F.lit(False))
+    return px.join(own, FRAME, "left").select(*FRAME, "y", "x", F.when(inside, fill).otherwise(F.col("v")).alias("v"))
+
+
+def equirect_to_flat(px: DataFrame, width: int, height: int, out_width: int, out_height: int, fov: float = 90.0, yaw: float = 0.0) -> DataFrame:
+    """A flat view of a full-sphere clip: degrees across and to the side, the nearest source pixel of each place.
+
+    The map of places is as large as an output frame, whatever the number of frames.
+    """
+    import math
+
+    reach = math.tan(math.radians(fov) / 2)
+    across, down = ((F.col(a) + 0.5) * 2 / n - 1 for a, n in (("x", out_width), ("y", out_height)))
+    a, b = across * reach, down * reach * out_height / out_width
+    east, south = F.atan2(a, F.lit(1.0)) + math.radians(yaw), F.atan2(b, F.sqrt(a * a + 1))
+    places = px.sparkSession.range(out_width * out_height).select((F.col("id") % out_width).cast("int").alias("x"), F.floor(F.col("id") / out_width).cast("int").alias("y"))
+    sx = F.pmod(F.floor((east / (2 * math.pi) + 0.5) * width), F.lit(width)).cast("int")
+    sy = F.least(F.floor((south / math.pi + 0.5) * height), F.lit(height - 1)).cast("int")
+    places = places.select("x", "y", sx.alias("sx"), sy.alias("sy"))
+    source = px.select(*FRAME, F.col("y").alias("sy"), F.col("x").alias("sx"), "v")
+    return source.join(places, ["sy", "sx"]).select(*FRAME, "y", "x", "v")
+
+
 def motion_score(px: DataFrame, k: int, width: int, height: int) -> DataFrame:
     """Mean absolute change of blurred frames per clip."""
     return difference(box_blur(px, k, width, height)).groupBy("media_id").agg(F.avg("v").alias("score"))
@@ -217,6 +267,53 @@ def gradient_flow(px: DataFrame) -> DataFrame:
     return g.where(F.col("it").isNotNull()).select(*FRAME, "y", "x", part("ix").alias("fx"), part("iy").alias("fy"))
 
 
+def window_flow(px: DataFrame, k: int, width: int, height: int) -> DataFrame:
+    """(fx, fy) per pixel by least squares over the gradients in k x k around it; 0 where these leave it open."""
+    across, down = (Window.partitionBy(*FRAME, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
+    time = Window.partitionBy(*PIXEL).orderBy("frame_idx")
+    slope = lambda w: F.coalesce((F.lead("v").over(w) - F.lag("v").over(w)) / 2, F.lit(0.0))
+    g = px.select(*FRAME, "y", "x", F.struct(slope(across).alias("ix"), slope(down).alias("iy"), (F.lead("v").over(time) - F.col("v")).alias("it")).alias("v")).where("v.it IS NOT NULL")
+    names = [("ix", "ix"), ("ix", "iy"), ("iy", "iy"), ("ix", "it"), ("iy", "it")]
+    sums = neighbourhood(g, F.struct(*[F.sum(F.col(f"v.{a}") * F.col(f"v.{b}")).alias(a[1:] + b[1:]) for a, b in names]), k, width, height).select(*FRAME, "y", "x", "v.*")
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    solved = lambda a, b, c: F.when(det > 1e-6, (F.col("xy") * F.col(c) - F.col(a) * F.col(b)) / det).otherwise(0.0) + 0.0
+    return sums.select(*FRAME, "y", "x", solved("yy", "xt", "yt").alias("fx"), solved("xx", "yt", "xt").alias("fy"))
+
+
+def motion_area(px: DataFrame, k: int, c: int, width: int, height: int) -> DataFrame:
+    """Per frame the box of the largest connected area that differs from its neighbourhood's mean, as shares of the frame.
+
+    A pixel is in an area if it's not over the mean of k x k around it less c; areas join
+    in eight directions; the largest has most pixels, of equals the topmost, then the
+    leftmost; without any the box is 0. Labels spread within one frame's array.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def largest(frame: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros((height + 2, width + 2), bool)
+        on[frame["y"].to_numpy() + 1, frame["x"].to_numpy() + 1] = frame["v"].to_numpy() == 0
+        label = np.where(on, np.arange(on.size).reshape(on.shape), on.size)
+        while True:
+            least = label.copy()
+            for dy in (-1, 0, 1):
+                for dx in (-1, 0, 1):
+                    least[1:-1, 1:-1] = np.minimum(least[1:-1, 1:-1], label[1 + dy : height + 1 + dy, 1 + dx : width + 1 + dx])
+            least[~on] = on.size
+            if (least == label).all():
+                break
+            label = least
+        box = [0.0] * 4
+        if on.any():
+            names, counts = np.unique(label[on], return_counts=True)
+            ys, xs = np.nonzero(label == names[counts.argmax()])
+            box = [(xs.min() - 1) / width, (ys.min() - 1) / height, xs.max() / width, ys.max() / height]
+        return pd.DataFrame([[*frame[FRAME].iloc[0], *box]], columns=[*FRAME, "AomX1", "AomY1", "AomX2", "AomY2"])
+
+    schema = ", ".join([f"{c} {px.schema[c].dataType.simpleString()}" for c in FRAME] + [f"{c} double" for c in ("AomX1", "AomY1", "AomX2", "AomY2")])
+    return adaptive_mean(px, k, c, width, height).groupBy(*FRAME).applyInPandas(largest, schema)
+
+
 def directogram(flow: DataFrame, bins: int = 100) -> DataFrame:
     """Flow length summed by direction: bins 1..bins-1 between even edges over [-pi, pi]; only bins that occur."""
     import math

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou
+from .spectra import in_blocks
 
 
 def _order():
@@ -30,8 +31,10 @@ def quartiles(s: DataFrame) -> DataFrame:
 
 def smooth_downsample(s: DataFrame, length: int, step: int) -> DataFrame:
     """Boxcar sum over length values (missing ones are 0) divided by it, every step-th kept."""
-    total = F.sum("y").over(_order().rowsBetween(-(length // 2), length // 2)) / length
-    return s.select("media_id", "n", total.alias("y")).where(F.col("n") % step == 0).withColumn("n", F.floor(F.col("n") / step).cast("int"))
+    r = length // 2
+    blocks, order, own = in_blocks(s, ["media_id"], "n", r, r)
+    total = F.sum("y").over(order.rowsBetween(-r, r)) / length
+    return blocks.select("media_id", "n", "_b", total.alias("y")).where(own & (F.col("n") % step == 0)).drop("_b").withColumn("n", F.floor(F.col("n") / step).cast("int"))
 
 
 def impact_envelope(s: DataFrame, share: float = 0.98) -> DataFrame:
@@ -46,9 +49,10 @@ def impact_envelope(s: DataFrame, share: float = 0.98) -> DataFrame:
 def impacts(s: DataFrame, k: int, m: int, share: float = 0.1) -> DataFrame:
     """Values above all within m on both sides, and above the mean of the k before and after by a share of the greatest."""
     k, m = max(1, k), max(1, m)
-    mean = (F.avg("y").over(_order().rowsBetween(-k, -1)) + F.avg("y").over(_order().rowsBetween(1, k))) / 2
-    near = F.greatest(F.max("y").over(_order().rowsBetween(-m, -1)), F.max("y").over(_order().rowsBetween(1, m)))
-    seen = s.select("media_id", "n", "y", mean.alias("mean"), near.alias("near"))
+    blocks, order, own = in_blocks(s, ["media_id"], "n", max(k, m), max(k, m))
+    mean = (F.avg("y").over(order.rowsBetween(-k, -1)) + F.avg("y").over(order.rowsBetween(1, k))) / 2
+    near = F.greatest(F.max("y").over(order.rowsBetween(-m, -1)), F.max("y").over(order.rowsBetween(1, m)))
+    seen = blocks.select("media_id", "n", "_b", "y", mean.alias("mean"), near.alias("near")).where(own).drop("_b")
     most = s.groupBy("media_id").agg(F.max("y").alias("most"), F.count("*").alias("len"))
     inside = (F.col("n") >= m + 4) & (F.col("n") < F.col("len") - m - 4)
     return seen.join(most, "media_id").where(inside & (F.col("y") > F.col("near")) & (F.col("y") - F.col("mean") > share * F.col("most"))).select("media_id", "n", "y")
@@ -127,7 +131,8 @@ def onset_strength(db: DataFrame) -> DataFrame:
 
 def autocorrelation(s: DataFrame, lags: int) -> DataFrame:
     """Sum of products of a series with itself at each lag."""
-    products = s.select("media_id", F.array(*[F.col("y") * F.lag("y", k).over(_order()) for k in range(lags)]).alias("p"))
+    blocks, order, own = in_blocks(s, ["media_id"], "n", lags, 0)
+    products = blocks.select("media_id", "n", "_b", F.array(*[F.col("y") * F.lag("y", k).over(order) for k in range(lags)]).alias("p")).where(own)
     return products.select("media_id", F.posexplode("p").alias("lag", "p")).groupBy("media_id", "lag").agg(F.sum("p").alias("r"))
 
 

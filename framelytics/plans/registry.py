@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import frames as P
 from ..operators import series as S
+from ..operators import spectra as T
 from ..sources import adapters as A
 from ..streaming import streams
 
@@ -222,6 +223,45 @@ def motion_score(s, d):
     return rounded(P.motion_score(A.pixels(s, d), 3, W, H))
 
 
+@query(f"WITH {PX}, b AS ({near(3, '(sum(v) // count(*))::INT')}), k AS (SELECT px.media_id, px.frame_idx, i, j, avg(px.v) AS m, avg(b.v) AS n, avg(px.v * px.v) - avg(px.v) ** 2 AS vv, avg(b.v * b.v) - avg(b.v) ** 2 AS ww, avg(px.v * b.v) - avg(px.v) * avg(b.v) AS vw FROM px JOIN b USING (media_id, frame_idx, y, x), range(3) t(i), range(3) u(j) WHERE y BETWEEN 2 * i AND 2 * i + 3 AND x BETWEEN 2 * j AND 2 * j + 3 GROUP BY 1, 2, 3, 4) SELECT media_id, frame_idx, {r('avg((2 * m * n + 6.5025) * (2 * vw + 58.5225) / ((m * m + n * n + 6.5025) * (vv + ww + 58.5225)))')} AS ssim FROM k GROUP BY 1, 2")
+def ssim(s, d):
+    px = A.pixels(s, d)
+    return rounded(P.ssim(px, P.box_blur(px, 3, W, H), W, H, 4, 2))
+
+
+BRIGHT = f"{PX}, bright AS (SELECT media_id, frame_idx, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM px WHERE v > 180 GROUP BY 1, 2)"
+
+
+def bright_boxes(s, d):
+    return A.pixels(s, d).where("v > 180").groupBy("media_id", "frame_idx").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"))
+
+
+@query(f"WITH {BRIGHT} SELECT media_id, frame_idx, y, x, CASE WHEN x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2 THEN 0 ELSE v END AS v FROM px LEFT JOIN bright USING (media_id, frame_idx)")
+def mask_rectangle(s, d):
+    return P.mask_boxes(A.pixels(s, d), bright_boxes(s, d))
+
+
+@query(f"WITH {BRIGHT}, q AS (SELECT *, (x - (x1 + x2) / 2) ** 2 AS xx, (y - (y1 + y2) / 2) ** 2 AS yy, ((x2 - x1) * 0.75) ** 2 AS rx, ((y2 - y1) * 0.75) ** 2 AS ry FROM px LEFT JOIN bright USING (media_id, frame_idx)) SELECT media_id, frame_idx, y, x, CASE WHEN xx * ry + yy * rx <= rx * ry THEN 128 ELSE v END AS v FROM q")
+def mask_ellipse(s, d):
+    return P.mask_boxes(A.pixels(s, d), bright_boxes(s, d), 128, True, 1.5)
+
+
+@query(f"WITH {PX}, o AS (SELECT y::INT AS y, x::INT AS x, ((x + 0.5::DOUBLE) * 2 / 6 - 1) * tan(radians(90.0) / 2) AS a, ((y + 0.5::DOUBLE) * 2 / 4 - 1) * tan(radians(90.0) / 2) * 4 / 6 AS b FROM range(4) t(y), range(6) u(x)), p AS (SELECT y, x, ((floor(((atan2(a, 1) + radians(20.0)) / (2 * pi()) + 0.5) * 8)::INT % 8 + 8) % 8)::INT AS sx, least(7, floor((atan2(b, sqrt(a * a + 1)) / pi() + 0.5) * 8))::INT AS sy FROM o) SELECT media_id, frame_idx, p.y, p.x, v FROM p JOIN px ON px.y = sy AND px.x = sx")
+def equirect_to_flat(s, d):
+    return P.equirect_to_flat(A.pixels(s, d), W, H, 6, 4, 90.0, 20.0)
+
+
+@query(f"WITH {FLOW}, z AS (SELECT media_id, frame_idx, y, x, coalesce(ix, 0) AS ix, coalesce(iy, 0) AS iy, it FROM g WHERE it IS NOT NULL), q AS ({near(5, 'struct_pack(xx := sum(ix * ix), xy := sum(ix * iy), yy := sum(iy * iy), xt := sum(ix * it), yt := sum(iy * it), det := sum(ix * ix) * sum(iy * iy) - sum(ix * iy) ** 2)', 'z')}) SELECT media_id, frame_idx, y, x, {r('CASE WHEN v.det > 1e-6 THEN (v.xy * v.yt - v.yy * v.xt) / v.det ELSE 0 END')} AS fx, {r('CASE WHEN v.det > 1e-6 THEN (v.xy * v.xt - v.xx * v.yt) / v.det ELSE 0 END')} AS fy FROM q")
+def window_flow(s, d):
+    return rounded(P.window_flow(A.pixels(s, d), 5, W, H))
+
+
+@query()
+def motion_area(s, d):
+    """Connected areas grow step by step, which is tested against a flood fill."""
+    return P.motion_area(moved(s, d), 5, 2, W, H)
+
+
 @query(f"WITH {FLOW}, m AS (SELECT media_id, frame_idx, atan2(fy, fx) AS a, sqrt(fx*fx + fy*fy) AS l FROM flow WHERE fx <> 0 OR fy <> 0), e AS (SELECT list(-pi() + k * 2 * pi() / 99 ORDER BY k) AS es FROM range(99) t(k)) SELECT media_id, frame_idx, len(list_filter(es, lambda z: z <= a))::INT AS bin, {r('sum(l)')} AS mag FROM m, e GROUP BY 1, 2, 3")
 def directogram(s, d):
     return rounded(P.directogram(P.gradient_flow(A.pixels(s, d))))
@@ -325,6 +365,52 @@ def autocorrelation(s, d):
     return rounded(S.autocorrelation(A.signal(s, d), 8), 4)
 
 
+RATE, BANDS = 22050.0, 10
+MEL = f"""{SPEC}, edge AS (SELECT i, CASE WHEN mm < 15 THEN mm * 200 / 3 ELSE 1000 * exp((mm - 15) * ln(6.4::DOUBLE) / 27) END AS f FROM (SELECT i, i * (15 + ln({RATE / 2000}::DOUBLE) / (ln(6.4::DOUBLE) / 27)) / {BANDS + 1} AS mm FROM range({BANDS + 2}) t(i))),
+fb AS (SELECT a.i::INT AS band, k::INT AS k, greatest(0, least((k * {RATE / 64}::DOUBLE - a.f) / (b.f - a.f), (c.f - k * {RATE / 64}::DOUBLE) / (c.f - b.f))) * 2 / (c.f - a.f) AS w FROM edge a JOIN edge b ON b.i = a.i + 1 JOIN edge c ON c.i = a.i + 2, range(33) t(k)),
+mel AS (SELECT media_id, frame_idx, band, sum(w * mag * mag) AS power FROM spec JOIN fb USING (k) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {MEL} SELECT media_id, frame_idx, band, {r('power', 9)} AS power FROM mel")
+def mel_power(s, d):
+    return rounded(T.mel_power(S.stft(A.clips(s, d), 64), RATE, 64, BANDS), 9)
+
+
+@query(f"WITH {SPEC}, c AS (SELECT media_id, frame_idx, (round(69 + 12 * log2(k * {RATE / 64}::DOUBLE / 440))::INT % 12)::INT AS pitch, sum(mag * mag) AS e FROM spec WHERE k > 0 GROUP BY 1, 2, 3) SELECT media_id, frame_idx, pitch, {r('coalesce(e / nullif(max(e) OVER (PARTITION BY media_id, frame_idx), 0), 0)')} AS chroma FROM c")
+def chroma(s, d):
+    return rounded(T.chroma(S.stft(A.clips(s, d), 64), RATE, 64))
+
+
+@query(f"WITH {SPEC}, m AS (SELECT *, quantile_cont(mag, 0.5) OVER (PARTITION BY media_id, k ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS h, quantile_cont(mag, 0.5) OVER (PARTITION BY media_id, frame_idx ORDER BY k ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS p FROM spec), o AS (SELECT *, coalesce(mag * h * h / nullif(h * h + p * p, 0), 0) AS hm, coalesce(mag * p * p / nullif(p * p + 25 * h * h, 0), 0) AS pm FROM m) SELECT media_id, frame_idx, k, {r('hm')} AS harmonic, {r('pm')} AS percussive, {r('mag - hm - pm')} AS residual FROM o")
+def hpss(s, d):
+    return rounded(T.harmonic_percussive(S.stft(A.clips(s, d), 64), 7))
+
+
+def onsets(s, d):
+    """Each event's value as the strength of an onset."""
+    return A.signal(s, d).select("media_id", F.col("n").alias("frame_idx"), F.col("y").alias("onset"))
+
+
+TEMPOGRAM = f"""{SIG}, w AS (SELECT a.media_id, a.n, i, b.y * (0.5 - 0.5 * cos(2 * pi() * (i + 1) / 18)) AS y FROM sig a, range(17) t(i) JOIN sig b ON b.media_id = a.media_id AND b.n = a.n - 8 + i),
+dots AS (SELECT a.media_id, a.n, lag, coalesce(sum(a.y * b.y), 0) AS dot FROM (SELECT w.*, lag FROM w, range(9) t(lag)) a LEFT JOIN w b ON b.media_id = a.media_id AND b.n = a.n AND b.i = a.i + a.lag GROUP BY 1, 2, 3),
+tg AS (SELECT media_id, n AS frame_idx, lag::INT AS lag, coalesce(dot / nullif(max(CASE WHEN lag = 0 THEN dot END) OVER (PARTITION BY media_id, n), 0), 0) AS r FROM dots)"""
+
+
+@query(f"WITH {TEMPOGRAM} SELECT media_id, frame_idx, lag, {r('r')} AS r FROM tg")
+def tempogram(s, d):
+    return rounded(T.tempogram(onsets(s, d), 8))
+
+
+@query(f"WITH {TEMPOGRAM}, m AS (SELECT media_id, lag, avg(r) AS r FROM tg WHERE lag > 0 GROUP BY 1, 2) SELECT media_id, {r('arg_max(240.0::DOUBLE / lag, ln(1 + 1e6 * greatest(r, 0)) - 0.5 * (log2(240.0::DOUBLE / lag) - log2(120.0::DOUBLE)) ** 2)')} AS bpm FROM m GROUP BY 1")
+def tempo(s, d):
+    return rounded(T.tempo(T.tempogram(onsets(s, d), 8), 4.0))
+
+
+@query(f"WITH {SIG}, c AS (SELECT media_id, count(*) AS c FROM sig GROUP BY 1), o AS (SELECT media_id, t::INT AS t, floor(t * 0.75)::INT AS n FROM c, range((SELECT (max(c) * 2) FROM c)) q(t) WHERE floor(t * 0.75) < c) SELECT media_id, n, t, y FROM o JOIN sig USING (media_id, n)")
+def audio_dilate(s, d):
+    return T.dilate(A.signal(s, d), 0.75)
+
+
 def ssm_sql(size: str) -> str:
     return f"WITH {CLIP}, z AS (SELECT media_id, frame_idx, list_transform(vec, lambda e: e::DOUBLE) AS u FROM clip), f AS (SELECT media_id, frame_idx, CASE WHEN {size} >= 1e-3 THEN list_transform(u, lambda e: e / {size}) ELSE u END AS w FROM z) SELECT a.media_id, a.frame_idx AS i, b.frame_idx AS j, {r('list_dot_product(a.w, b.w)')} AS s FROM f a JOIN f b ON a.media_id = b.media_id AND a.frame_idx <= b.frame_idx"
 

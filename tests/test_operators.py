@@ -4,11 +4,14 @@ import wave
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelytics.functions import scalars as X
 from framelytics.operators import frames as P
 from framelytics.operators import series as S
+from framelytics.operators import spectra as T
+from framelytics.operators.spectra import in_blocks
 from framelytics.sources import adapters as A
 from framelytics.sources import media
 from framelytics.streaming import streams
@@ -89,3 +92,43 @@ def test_stream_equals_batch(spark, data, tmp_path):
     got = {(r["w"]["start"], r["event_type"], r["n"]) for r in spark.sql("SELECT * FROM days").collect()}
     want = {(r["w"]["start"], r["event_type"], r["n"]) for r in streams.tumbling(e.withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     assert got == want
+
+
+def test_motion_area_is_the_largest_flood_filled_area(spark):
+    random = np.random.default_rng(3)
+    clips = random.integers(0, 256, (12, 6, 7)) * (random.random((12, 6, 7)) < 0.6)
+    px = spark.createDataFrame([(1, f, y, x, int(clips[f, y, x])) for f in range(12) for y in range(6) for x in range(7)], "media_id int, frame_idx int, y int, x int, v int")
+    got = {r["frame_idx"]: tuple(r)[2:] for r in P.motion_area(px, 3, 2, 7, 6).collect()}
+    for f in range(12):
+        near = lambda y, x: clips[f, max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].mean()
+        left = {(y, x) for y in range(6) for x in range(7) if not clips[f, y, x] > near(y, x) - 2}
+        best = []
+        for start in sorted(left):
+            area, todo = [], [start] if start in left else []
+            left -= {start}
+            while todo:
+                y, x = todo.pop()
+                area.append((y, x))
+                found = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= found
+                todo += found
+            best = max(best, area, key=len)
+        ys, xs = zip(*best)
+        assert got[f] == pytest.approx((min(xs) / 7, min(ys) / 6, (max(xs) + 1) / 7, (max(ys) + 1) / 6))
+
+
+def test_blocks_give_what_one_window_gives(spark):
+    s = spark.range(50).selectExpr("cast(id % 2 as int) AS media_id", "cast(id div 2 as int) AS n", "cast(id * id as double) AS y")
+    blocks, order, own = in_blocks(s, ["media_id"], "n", 3, 2, block=4)
+    got = blocks.withColumn("z", F.sum("y").over(order.rowsBetween(-3, 2))).where(own).drop("_b")
+    want = s.withColumn("z", F.sum("y").over(Window.partitionBy("media_id").orderBy("n").rowsBetween(-3, 2)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_harmonic_and_percussive_parts(spark):
+    """A steady tone is harmonic, a click in one frame percussive."""
+    spec = spark.createDataFrame([(1, f, k, 10.0 if k == 4 or f == 8 else 0.0) for f in range(17) for k in range(9)], "media_id int, frame_idx int, k int, mag double")
+    found = {(r["frame_idx"], r["k"]): r for r in T.harmonic_percussive(spec, 5, (1.0, 1.0)).collect()}
+    assert found[2, 4]["harmonic"] == 10 and found[2, 4]["percussive"] == 0
+    assert found[8, 1]["percussive"] == 10 and found[8, 1]["harmonic"] == 0
+    assert found[8, 4]["harmonic"] == found[8, 4]["percussive"] == 5
