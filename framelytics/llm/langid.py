@@ -37,6 +37,11 @@ PER_LANGUAGE = 1000
 EPOCHS, PENALTY = 30, 1e-4
 #: Scores are logistic in the margin times this.
 STEEPNESS = 4.0
+#: A text is unfamiliar if it is further from its language's held-out texts than this share of the way to random n-grams,
+#: and further than all but this share of those texts.
+STRETCH, STRAY = 0.25, 0.01
+#: Held-out texts from which a bound is set; a language with fewer has none.
+LEAST_HELD = 5
 
 
 def family(lang: str) -> str:
@@ -85,13 +90,27 @@ def features(texts: list[str]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Machines: a row of weights and a bias each. pairs[k] names the two sides of machine k; positive margins are for the first."""
+    """Machines: a row of weights and a bias each. pairs[k] names the two sides of machine k; positive margins are for the first.
+
+    logs and bounds are by language: log frequencies of the n-grams, and the least familiarity of a recognised text.
+    """
 
     langs: tuple[str, ...]
     families: tuple[str, ...]
     pairs: tuple[tuple[str, str], ...]
     weights: np.ndarray
     bias: np.ndarray
+    logs: np.ndarray
+    bounds: np.ndarray
+
+    def familiar(self, texts: list[str], found: list[str]) -> np.ndarray:
+        """Of each text, if its n-grams are as usual in the language found for it as the bound asks. All of an unlisted language are not."""
+        at = np.array([self.langs.index(x) if x in self.langs else -1 for x in found], np.int64)
+        total = np.zeros(len(texts))
+        for buckets, which in _grams(texts) if self.langs else ():
+            n = np.maximum(np.bincount(which, minlength=len(texts)), 1)
+            total += np.bincount(which, self.logs[at[which], buckets], minlength=len(texts)) / n
+        return (at >= 0) & (total >= np.append(self.bounds, np.inf)[at])
 
     def margins(self, texts: list[str]) -> np.ndarray:
         out = np.tile(self.bias, (len(texts), 1)).astype(np.float64)
@@ -139,6 +158,16 @@ def _machine(pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, float]:
     return w, float(b)
 
 
+def _usual(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of one language's features: log frequencies from every other text, and the bound from the texts between."""
+    logs = np.log(x[::2].mean(axis=0) / len(ORDERS) + 1e-6)
+    held = x[1::2] @ logs
+    if len(held) < LEAST_HELD:
+        return logs, -np.inf
+    middle, chance = np.median(held), len(ORDERS) * logs.mean()
+    return logs, float(min(middle - STRETCH * (middle - chance), np.quantile(held, STRAY)))
+
+
 def train(x: np.ndarray, langs: list[str]) -> Model:
     """x: features of the training texts, in the order of (family, language); they are scaled in place.
 
@@ -147,20 +176,23 @@ def train(x: np.ndarray, langs: list[str]) -> Model:
     """
     names = sorted(set(langs))
     kin = sorted({family(a) for a in names})
-    spread = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32) if len(x) else np.ones(BUCKETS, np.float32)
-    x *= spread
     own, labels = np.array(langs), np.array(["family " + family(a) for a in langs])
 
     def rows(name: str) -> np.ndarray:
         at = np.flatnonzero((labels if name.startswith("family ") else own) == name)
         return x[at[0] : at[-1] + 1]
 
+    usual = [_usual(rows(a)) for a in names]
+    spread = (1 / np.sqrt(x.mean(axis=0) + 1e-5)).astype(np.float32) if len(x) else np.ones(BUCKETS, np.float32)
+    x *= spread
+
     pairs = [("family " + a, "family " + b) for a, b in combinations(kin, 2)] + [(a, b) for a, b in combinations(names, 2) if family(a) == family(b)]
     weights, bias = np.zeros((len(pairs), BUCKETS)), np.zeros(len(pairs))
     for k, (a, b) in enumerate(pairs):
         w, bias[k] = _machine(rows(a), rows(b))
         weights[k] = w * spread
-    return Model(tuple(names), tuple(kin), tuple(pairs), weights, bias)
+    logs = np.array([a for a, _ in usual]) if usual else np.zeros((0, BUCKETS), np.float32)
+    return Model(tuple(names), tuple(kin), tuple(pairs), weights, bias, logs, np.array([b for _, b in usual]))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -193,8 +225,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     return train(x, langs)
 
 
-def predicted(docs: DataFrame, model: Model, text_col: str, carry: list[str]) -> DataFrame:
-    """The columns to carry, then _lang and _score."""
+def predicted(docs: DataFrame, model: Model, text_col: str, carry: list[str], strict: bool = False) -> DataFrame:
+    """The columns to carry, then _lang and _score. If strict, an unfamiliar text gets `und` and score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     taken = docs.select(*[F.col(f"`{c}`") for c in carry])
 
@@ -206,7 +238,9 @@ def predicted(docs: DataFrame, model: Model, text_col: str, carry: list[str]) ->
             for k, text in enumerate(texts + [""]):
                 if k == len(texts) or size > 2_000_000:
                     part = [x or "" for x in texts[start:k]]
-                    found += [p if any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t, p in zip(part, shared.value.predict(part))]
+                    told = shared.value.predict(part)
+                    known = shared.value.familiar(part, [x for x, _ in told]) if strict else [True] * len(part)
+                    found += [p if ok and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t, p, ok in zip(part, told, known)]
                     start, size = k, 0
                 size += len(text or "")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names[:-1], "_lang", "_score"])
@@ -231,7 +265,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.1, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is recognised: not `und`, with a score of at least `least`."""
+    """The rows of docs, with all their columns, whose language is recognised: not `und`, with a score of at least `least`.
+
+    The score says which language is nearest; texts in none of the languages are told by n-grams that are unusual in
+    the nearest one.
+    """
     model = fit(docs, text_col, lang_col, per_language)
-    found = predicted(docs, model, text_col, docs.columns)
+    found = predicted(docs, model, text_col, docs.columns, strict=True)
     return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")

@@ -1,6 +1,10 @@
 """Cases in which a stage once did less than its whole job."""
 
-from framelytics.llm import quality
+import random
+
+from pyspark.sql import functions as F
+
+from framelytics.llm import langid, quality
 
 
 def test_signs_between_words_are_rejected(spark):
@@ -8,3 +12,22 @@ def test_signs_between_words_are_rejected(spark):
     rows = [(1, " | ".join(words)), (2, " ".join(words)), (3, "# " + " ".join(words))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {2, 3}
+
+
+UNLEARNED = {
+    "fi": "Vanha kirjasto suljettiin syksyllä, ja kaupungin asukkaat kokoontuivat torille keskustelemaan siitä, mitä rakennukselle pitäisi tehdä seuraavana vuonna.",
+    "pl": "Stara biblioteka została zamknięta jesienią, a mieszkańcy miasta zebrali się na rynku, żeby porozmawiać o tym, co zrobić z budynkiem w przyszłym roku.",
+    "tr": "Eski kütüphane sonbaharda kapatıldı ve şehir sakinleri gelecek yıl bina ile ne yapılması gerektiğini konuşmak için meydanda toplandı.",
+    "ru": "Старая библиотека была закрыта осенью, и жители города собрались на площади, чтобы обсудить, что делать со зданием в следующем году.",
+    "zh": "旧图书馆在秋天关闭了,城里的居民聚集在广场上,讨论明年应该如何处理这座建筑。",
+    "noise": " ".join("".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=2 + k % 8)) for k in range(40)),
+}
+
+
+def test_unlearned_languages_are_not_recognised(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").cast("string"), "text", "lang")
+    docs = docs.where("length(text) >= 60")
+    strange = spark.createDataFrame([(k, t, None) for k, t in UNLEARNED.items()], docs.schema)
+    kept = {r["doc_id"] for r in langid.keep_recognised(docs.union(strange)).select("doc_id").collect()}
+    assert not kept & set(UNLEARNED)
+    assert len(kept) >= 0.995 * docs.count()
