@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import staged
 
@@ -294,6 +295,13 @@ def components(edges: DataFrame) -> DataFrame:
         edges = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
+def _rooted(prints: DataFrame, key: str, bits: int) -> DataFrame:
+    """(fp, root, key): of each distinct fp of prints its component's root and its least key."""
+    nodes = staged(prints.groupBy("fp").agg(F.min(key).alias(key)), "distinct")
+    merged = staged(components(links(nodes.select("fp"), bits)), "components")
+    return nodes.join(merged, nodes["fp"] == merged["node"], "left").select("fp", F.coalesce("least", "fp").alias("root"), key)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """Per row of docs: the id, fingerprint (16 hex digits) and component_id.
 
@@ -306,9 +314,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     prints = staged(slim.mapInArrow(_fingerprints, f"id {kind}, fp long"), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    merged = staged(components(links(nodes.select("fp"), bits)), "components")
-    rooted = nodes.join(merged, nodes["fp"] == merged["node"], "left").select("fp", F.coalesce("least", "fp").alias("root"), "id")
+    rooted = _rooted(prints, "id", bits)
     # The least id of each component of two or more; most fingerprints are alone.
     lows = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = rooted.join(lows, "root").select("fp", "component_id")
@@ -316,12 +322,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their component.
+    """One row of docs, with all its columns, of each component: the one with the least id, nulls last.
 
-    That is the row whose id is component_id. Rows that repeat its id are the same
-    document and stay with it; rows without id are kept.
+    Rows are told apart by a key that is written with them, so rows that share an id, or
+    have none, each stand or fall by their own text; among equal ids the least key stays.
     """
-    found = near_duplicates(docs, id_col, text_col, bits)
-    later = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_later")).distinct()
-    later = staged(later, "later")
-    return docs.join(later, docs[id_col] == later["_later"], "left_anti")
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    own = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("_row").alias("row"))
+    slim = keyed.select(own.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    schema = T.StructType([slim.schema["id"], T.StructField("fp", T.LongType())])
+    prints = staged(slim.mapInArrow(_fingerprints, schema), "fingerprints")
+    first = _rooted(prints, "id", bits).groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.row").alias("_row"))
+    later = staged(prints.select(F.col("id.row").alias("_row")).join(staged(first, "first"), "_row", "left_anti"), "later")
+    return keyed.join(later, "_row", "left_anti").select(docs.columns)

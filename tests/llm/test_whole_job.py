@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from framelytics.llm import langid, quality
+from framelytics.llm import langid, quality, simhash
 
 
 def test_signs_between_words_are_rejected(spark):
@@ -31,3 +31,15 @@ def test_unlearned_languages_are_not_recognised(spark):
     kept = {r["doc_id"] for r in langid.keep_recognised(docs.union(strange)).select("doc_id").collect()}
     assert not kept & set(UNLEARNED)
     assert len(kept) >= 0.995 * docs.count()
+
+
+def prose(k):
+    return " ".join(f"w{random.Random(k * 100 + j).randrange(10**6)}" for j in range(40))
+
+
+def test_near_copies_are_told_apart_by_row(spark):
+    same = prose(1)
+    rows = [(1, same)] * 5 + [(None, same)] * 5 + [(7, same), (7, prose(2)), (None, prose(3)), (None, prose(4)), (None, prose(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in simhash.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(1, same), (7, prose(2)), (None, prose(3)), (None, prose(4))], key=str)
