@@ -140,14 +140,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
-def clean_only(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id has no shared span.
+def clean_only(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that have no shared span.
 
-    Rows with one id are one document and share its fate; so do the rows without id.
+    Rows are told apart by a key that is written with them, so rows that share an id, or
+    have none, each stand or fall by their own text.
     """
-    found = decontaminate(docs, items, id_col, text_col)
-    bad = staged(found.where("contaminated").select(F.col(id_col).alias("_bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]), "left_anti")
+    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = decontaminate(keyed, items, "_row", text_col)
+    bad = staged(found.where("contaminated").select("_row"), "contaminated")
+    return keyed.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 #: DuckDB SQL of op10 over the tables documents and benchmark.

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from framelytics.llm import langid, quality, simhash
+from framelytics.llm import decontam, langid, quality, simhash
 
 
 def test_signs_between_words_are_rejected(spark):
@@ -43,3 +43,11 @@ def test_near_copies_are_told_apart_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((tuple(r) for r in simhash.keep_first(docs).collect()), key=str)
     assert kept == sorted([(1, same), (7, prose(2)), (None, prose(3)), (None, prose(4))], key=str)
+
+
+def test_contaminated_rows_leave_alone(spark):
+    items = spark.createDataFrame([(1, prose(1))], "item_id long, text string")
+    rows = [(None, prose(1)), (None, prose(2)), (3, "see " + prose(1)), (3, prose(3)), (4, prose(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {tuple(r) for r in decontam.clean_only(docs, items).collect()}
+    assert kept == {(None, prose(2)), (3, prose(3)), (4, prose(4))}
