@@ -4,7 +4,8 @@ A text is cut into sentences, each normalised to its letters and digits. Known
 normalised sentences have identifiers; the sequence of identifiers in a text, unknown
 sentences left out, is matched against ordered licence rules. A rule that matches
 takes its identifiers out of the sequence, so that a later, weaker rule doesn't see
-them. Everything is one map over the rows; the two tables are literals.
+them. Sentences are known also where lines wrap within them, with or without comment
+prefixes. Everything is one map over the rows; the tables are literals.
 """
 
 from __future__ import annotations
@@ -63,14 +64,40 @@ RULES = (
     ("proprietary", ("AllRights",)),
 )
 
-BREAK = r"[.!?:;]+(\s+|$)|\n+"
+#: Forms that only files carry, and rules for them. They are apart from the tables of the SQL, which knows no wrapped lines.
+FILE_SENTENCES = {
+    "ApacheShort": ("Licensed under the Apache License, Version 2.0 (the \"License\")", "Licensed to the Apache Software Foundation (ASF) under the Apache License, Version 2.0 (the \"License\")"),
+    "ApacheObtain": ("You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",),
+    "ApacheTitle": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Apache License Version 2.0, January 2004 https://www.apache.org/licenses/", "Apache License Version 2.0, January 2004"),
+    "GPLTerms": ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
+    "GPL2Later": ("either version 2 of the License, or (at your option) any later version",),
+    "GPL2Title": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "GPL3Title": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "BSDEndorse": ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "MPLShort": ("Mozilla Public License Version 2.0",),
+    "CCBYShort": ("This work is licensed under the Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International Public License"),
+    "CCBYSAShort": ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    "CCBYNCShort": ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    "CC0Short": ("CC0 1.0 Universal",),
+}
+FILE_RULES = (
+    ("GPL-2.0-or-later", ("GPLTerms", "GPL2Later", "GPLNoWarranty", "GPLSee")),
+    ("GPL-2.0-or-later", ("GPLTerms", "GPL2Later")),
+    ("Apache-2.0", ("ApacheTitle",)),
+    ("GPL-2.0-only", ("GPL2Title",)),
+    ("GPL-3.0-only", ("GPL3Title",)),
+)
+
+#: Marks that end a sentence; those that start a line are comment prefixes.
+MARKS = r"[.!?:;]+(?<!\n[ \t]{0,8}[.!?:;]{1,4})(?:\s+|$)"
+#: Prefixes that are words, over lines that hold nothing else too.
+PREFIX = r"(?:(?:dnl|rem) [ \n]*+)*+"
 
 
-def normalised(text: Column) -> Column:
-    """The sentences: lower case, ASCII letters and digits, single spaces between."""
-    cut = F.regexp_replace(F.lower(text), BREAK, "\u0001")
-    bare = F.regexp_replace(cut, "[^a-z0-9\u0001]+", " ")
-    return F.split(bare, " *\u0001 *")
+def marked(text: Column) -> Column:
+    """Lower case, ASCII letters and digits, single spaces between; \u0001 where a sentence ends by a mark, \n where lines do."""
+    cut = F.regexp_replace(F.lower(F.concat(F.lit("\n"), text, F.lit("\n"))), MARKS, "\u0001")
+    return F.regexp_replace(F.concat(cut, F.lit("\n")), "[^a-z0-9\u0001\n]+", " ")
 
 
 def _plain(sentence: str) -> str:
@@ -78,12 +105,18 @@ def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def known_sentences() -> dict[str, str]:
+def _known_pattern(known: dict[str, str]) -> str:
+    """Finds each known sentence between two ends of sentences or lines; lines may end within it. Longer ones come first."""
+    forms = "|".join(s.replace(" ", rf"[ \n]++{PREFIX}") for s in sorted(known, key=len, reverse=True))
+    return rf"[\u0001\n] ?{PREFIX}(?:{forms})(?= ?[\u0001\n])"
+
+
+def known_sentences(table: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
     """Normalised sentence -> identifier. A printed sentence that holds breaks of its own counts by its last part's start."""
     import re
 
     out = {}
-    for name, forms in SENTENCES.items():
+    for name, forms in table.items():
         for form in forms:
             parts = [_plain(p) for p in re.split(r"[.!?:;]+(?:\s+|$)|\n+", form)]
             out[max(parts, key=len)] = name
@@ -96,21 +129,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_sentences counts sentences that have a letter or digit; sentence_ids are the
     identifiers in order, licences the distinct licences in the order of their rules,
     unexplained the identifiers that no rule took (all comma-joined, empty if none).
+    Wrapped sentences count by their lines in n_sentences, and once in sentence_ids.
     A null or empty text has none of them; a null id stays null; repeated rows each get
     their row; an empty table gives an empty result; other columns are ignored.
     """
-    known = known_sentences()
+    known = known_sentences(FILE_SENTENCES) | known_sentences()
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), F.filter(normalised(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), lambda s: F.trim(s) != "").alias("sentences"))
-    ids = F.transform(F.filter("sentences", lambda s: F.trim(s).isin(*known)), lambda s: F.element_at(table, F.trim(s)))
-    found = found.select("id", F.size("sentences").cast("long").alias("n_sentences"), ids.alias("ids"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), marked(text).alias("marked"))
+    sentences = F.filter(F.split("marked", "[\u0001\n]"), lambda s: F.trim(s) != "")
+    hits = F.regexp_extract_all("marked", F.lit(_known_pattern(known)), F.lit(0))
+    ids = F.transform(hits, lambda s: F.element_at(table, F.trim(F.regexp_replace(s, rf"[ \u0001\n]+{PREFIX}", " "))))
+    found = found.select("id", F.size(sentences).cast("long").alias("n_sentences"), ids.alias("ids"))
     found = found.withColumn("left0", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")))
-    licences = []
-    for k, (licence, names) in enumerate(RULES):
+    licences, rules = [], RULES + FILE_RULES
+    for k, (licence, names) in enumerate(rules):
         sequence = "," + ",,".join(names) + ","
         found = found.withColumn(f"left{k + 1}", F.replace(F.col(f"left{k}"), F.lit(sequence), F.lit("")))
         licences.append(F.when(F.col(f"left{k}") != F.col(f"left{k + 1}"), F.lit(licence)))
-    rest = F.array_join(F.filter(F.split(f"left{len(RULES)}", ","), lambda x: x != ""), ",")
+    rest = F.array_join(F.filter(F.split(f"left{len(rules)}", ","), lambda x: x != ""), ",")
     return found.select(
         F.col("id").alias(id_col),
         "n_sentences",

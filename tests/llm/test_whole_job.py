@@ -1,10 +1,11 @@
 """Cases in which a stage once did less than its whole job."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from framelytics.llm import decontam, langid, quality, simhash
+from framelytics.llm import decontam, langid, licenses, quality, simhash
 
 
 def test_signs_between_words_are_rejected(spark):
@@ -51,3 +52,69 @@ def test_contaminated_rows_leave_alone(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {tuple(r) for r in decontam.clean_only(docs, items).collect()}
     assert kept == {(None, prose(2)), (3, prose(3)), (4, prose(4))}
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = GPL3.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+FILES = {"Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "MPL-2.0": MPL}
+
+
+def test_wrapped_licences_are_recognised(spark):
+    prefixes = {"": "", "hash": "# ", "slash": "// ", "star": " * ", "lisp": ";; ", "dnl": "dnl "}
+    rows = [(f"{name}/{kind}", "import x\n" + re.sub("^", p, text, flags=re.M) + "\nreturn 1") for name, text in FILES.items() for kind, p in prefixes.items()]
+    # A notice of one line stays known between lines that end without a mark.
+    rows += [("MIT/line", "some words\nLicensed under the MIT License\nmore words"), ("/none", "the licence\nof this\nwork")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["licences"] for r in found} == {k: k.split("/")[0] for k, _ in rows}
+    assert {r["doc_id"] for r in found if r["unexplained"]} == set()
