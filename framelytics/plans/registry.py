@@ -558,3 +558,33 @@ def sliding(s, d):
 def scalar_functions(s, d):
     t, p = A.table(s, d, "orders"), F.col("o_totalprice")
     return rounded(t.select("o_orderkey", X.roundup(F.col("o_custkey"), 7).alias("up"), X.clamp(p, 1000.0, 50000.0).alias("clamped"), X.scale_num(p, 1000, 50000, -1.0, 1.0).alias("scaled"), X.frame2ms(F.col("o_orderkey"), 29.97).alias("ms"), X.hz_to_mel(p).alias("mel")))
+
+
+@query(f"WITH {PX}, n AS (SELECT media_id, max(frame_idx) + 1 AS n FROM px GROUP BY 1), starts AS (SELECT media_id, coalesce(sum(n) OVER (ORDER BY media_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM n) SELECT 0 AS media_id, (frame_idx + ahead)::INT AS frame_idx, y, x, v FROM px JOIN starts USING (media_id)")
+def concat_all_clips(s, d):
+    """concat_clips over every clip, by frame offsets that are a running sum over the clips' lengths."""
+    px = A.pixels(s, d)
+    ends = px.groupBy("media_id").agg((F.max("frame_idx") + 1).alias("n"))
+    before = Window.orderBy("media_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("media_id", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("at"))
+    return px.join(F.broadcast(starts), "media_id").select(F.lit(0).alias("media_id"), (F.col("frame_idx") + F.col("at")).alias("frame_idx"), "y", "x", "v")
+
+
+@query("SELECT c_nationkey AS k, 'c' AS side FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY 1 UNION ALL SELECT DISTINCT s_nationkey, 's' FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer)")
+def set_ops_all(s, d):
+    """set_ops over every key."""
+    c = A.table(s, d, "customer").select(F.col("c_nationkey").alias("k"))
+    p = A.table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return c.join(p, "k", "left_anti").distinct().withColumn("side", F.lit("c")).unionByName(p.join(c, "k", "left_semi").distinct().withColumn("side", F.lit("s")))
+
+
+FEATURES = {"q": "l_quantity", "p": "l_extendedprice", "d": "l_discount", "t": "l_tax"}
+PAIRS = [(a, b) for k, a in enumerate(FEATURES) for b in list(FEATURES)[k + 1 :]]
+STATS = {"mean": "avg", "std": "stddev_samp", "least": "min", "most": "max"}
+
+
+@query("SELECT " + ", ".join([f"{r(f'corr({FEATURES[a]}, {FEATURES[b]})')} AS {a}{b}" for a, b in PAIRS] + [f"{r(f'{f}({c})')} AS {k}_{n}" for k, c in FEATURES.items() for n, f in STATS.items()]) + " FROM lineitem")
+def corr_columns(s, d):
+    """Every pair of corr_matrix's columns, and each column's statistics."""
+    pairs = [F.corr(FEATURES[a], FEATURES[b]).alias(f"{a}{b}") for a, b in PAIRS]
+    return rounded(A.table(s, d, "lineitem").agg(*pairs, *[F.expr(f"{f}({c})").alias(f"{k}_{n}") for k, c in FEATURES.items() for n, f in STATS.items()]))
