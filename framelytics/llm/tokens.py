@@ -3,7 +3,8 @@
 Both cut texts into pre-tokens and look each distinct one up; only one not seen before is
 merged by the library's model. Plain texts are cut together as arrays of bytes, others of
 Latin letters, digits and common punctuation by a pattern in which Unicode's classes are
-spelled out; a text with any other character or a special string goes to the library whole.
+spelled out. Texts of all other scripts are cut at special strings, which are a token each,
+and the parts between by the library's own normaliser and pre-tokeniser.
 """
 
 from __future__ import annotations
@@ -43,27 +44,38 @@ def spelled(pre_token: str) -> str:
 
 
 class Merger:
-    """One tokenizer file in one process: what the library gives for a pre-token or a whole text."""
+    """One tokenizer file in one process: its pre-tokens of any text, and what the library's model gives for one."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = {t.content: number for number, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.at_special = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or "(?!)")
+        self.back = {ord(c): b for b, c in byte_letters().items()}
 
     def ids(self, pre_token: str) -> list[int]:
         return [t.id for t in self.model.tokenize(spelled(pre_token))]
 
     def usual(self, text: str) -> bool:
-        return not any(s in text for s in self.special) and (text.isascii() or not UNUSUAL.search(text))
+        return not self.at_special.search(text) and (text.isascii() or not UNUSUAL.search(text))
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def cut(self, text: str) -> Iterator[tuple[int, list[bytes]]]:
+        """For each special string its id, and for the text before it, and at the end, -1 and the pre-tokens as bytes."""
+        normalise = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else lambda x: x
+        at = 0
+        for found in [*self.at_special.finditer(text), None]:
+            part = text[at : found.start() if found else len(text)]
+            if part:
+                yield -1, [x.translate(self.back).encode("latin-1") for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normalise(part))]
+            if found:
+                yield self.special[found.group()], []
+                at = found.end()
 
 
 def proven_whole(path: str, suffix: str = "</w>") -> frozenset[str]:
-    """The vocabulary strings that are one pre-token and that the model gives back as that one token.
+    """The vocabulary strings of any script that alone are one pre-token, unchanged, and that the model gives back as that one token.
 
     At most the size of the vocabulary.
     """
@@ -77,7 +89,7 @@ def proven_whole(path: str, suffix: str = "</w>") -> frozenset[str]:
             text = bytes(back[c] for c in entry.removesuffix(suffix)).decode()
         except UnicodeDecodeError:
             continue
-        if not UNUSUAL.search(text) and text == text.lower() and WORD_PATTERN.fullmatch(text) and merger.ids(text) == [number]:
+        if [*merger.cut(text)] == [(-1, [text.encode()])] and merger.ids(text) == [number]:
             out.add(text)
     return frozenset(out)
 
@@ -182,7 +194,7 @@ def count_tokens(texts: list[str], path: str, whole: frozenset[str]) -> np.ndarr
     lowered = []
     for k, text in enumerate(texts):
         if not merger.usual(text):
-            out[k] = len(merger.whole(text))
+            out[k] = sum(1 if special >= 0 else sum(map(known.__getitem__, found)) for special, found in merger.cut(text))
         elif _ODD.search(low := text.lower().encode()):
             out[k] = sum(known[x.encode()] for x in WORD_PATTERN.findall(text.lower()))
         elif low:
@@ -211,7 +223,7 @@ def encode(texts: list[str], path: str) -> Iterator[tuple[int, memoryview | byte
     plain, raw = [], []
     for k, text in enumerate(texts):
         if not merger.usual(text):
-            yield k, packed(merger.whole(text))
+            yield k, b"".join(packed([special]) if special >= 0 else b"".join(map(known.__getitem__, found)) for special, found in merger.cut(text))
         elif _ODD.search(data := text.encode()) or not data:
             yield k, b"".join(known[x.encode()] for x in BYTE_PATTERN.findall(text))
         else:

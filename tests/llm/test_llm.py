@@ -17,6 +17,12 @@ LONG = "word " * 30000
 TEXTS = [None, "", " ", "a", "The same text here.", "The same text here.", "one two three four five six seven eight nine ten eleven", "ÉCOLE à côté\n\n", "中文 <|endoftext|> ½ it's", "#*$ %%% |||", LONG]
 
 
+OTHER_SCRIPTS = [
+    "Старая библиотека была ЗАКРЫТА осенью, 1987 год.", "旧图书馆在秋天关闭了,城里的居民聚集在广场上。", "ΟΔΥΣΣΕΥΣ ὁ ἀνήρ", "नमस्ते दुनिया १२३", "مرحبا بالعالم ١٢", "İstanbul'da I'll 😀👩‍👩‍👧 ok🇫🇷",
+    "a<|endoftext|>b <|endoftext|><|startoftext|> мир<|endoftext|>", "<|endoftext|>", "<|endoftext", "e\u0301<|endoftext|>\u0301 Å Ω", "\u3000全角\u3000 \u200b x\u2028y", "한국어 텍스트 ﬁ ﬀ ß ẞ",
+]
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(k if k != 3 else None, t, ["en", None][k % 2], k, "s", 5) for k, t in enumerate(TEXTS)] + [(4, TEXTS[4], "en", 4, "s", 5)]
@@ -131,7 +137,7 @@ def test_tokens_are_the_librarys(spark, data, docs):
     count = lambda t, x: len(t.encode(x, add_special_tokens=False).ids)
     for r in queries.op5_token_counts(spark, data).collect():
         assert r["n_tokens"] == count(word, docs[r["doc_id"]]) and r["n_bytes"] == len(docs[r["doc_id"]].encode())
-    strange = [t or "" for t in TEXTS] + ["ǅ Ⱥ ʼn \x1c\x85\xa0 …“x”", "I'll  we're\n\n x ", "²½ 1234", "é"]
+    strange = [t or "" for t in TEXTS] + ["ǅ Ⱥ ʼn \x1c\x85\xa0 …“x”", "I'll  we're\n\n x ", "²½ 1234", "é", *OTHER_SCRIPTS]
     whole = tokens.proven_whole(queries.tokenizer("word_bpe_49k.json"))
     assert tokens.count_tokens(strange, queries.tokenizer("word_bpe_49k.json"), whole).tolist() == [count(word, x) for x in strange]
     for k, ids in tokens.encode(strange, queries.tokenizer("byte_bpe_50k.json")):
@@ -158,6 +164,20 @@ def test_tokens_are_the_librarys(spark, data, docs):
     assert len(sequences) <= math.ceil(1.02 * total / 1024) + 1
 
 
+def test_other_scripts_meet_the_shortcut():
+    """Whole tokens of any script are proven, and texts of other scripts are looked up in them."""
+    path = queries.tokenizer("word_bpe_49k.json")
+    whole = tokens.proven_whole(path)
+    assert any(not x.isascii() and tokens.UNUSUAL.search(x) for x in whole)
+    one = next(x for x in sorted(whole) if tokens.UNUSUAL.search(x))
+    _, known = tokens._counter(path, whole)
+    known.give, give = lambda x: pytest.fail("merged") if x == one else give(x), known.give
+    try:
+        assert tokens.count_tokens([f"{one} {one}"], path, whole)[0] == 2
+    finally:
+        known.give = give
+
+
 def test_language_model(spark, data, docs):
     counts, pairs, held = collections.Counter(), collections.Counter(), {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in docs}
     words = {k: [*t.encode().lower().split(), None] for k, t in docs.items()}
