@@ -26,9 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = LOCAL_FOLDER
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
-    return posixpath.join(base, f"framelytics-{_RUN}")
+    return posixpath.join(qualified(spark, base), f"framelytics-{_RUN}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI; one without a scheme is in the session's default file system."""
+    if "://" in path:
+        return path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return found if "://" in found else found.replace(":/", ":///", 1)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -53,11 +60,23 @@ def _remove(uri: str) -> None:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: lineage ends here."""
-    path = new_folder(df.sparkSession, name)
+    return table_at(df, new_folder(df.sparkSession, name))
+
+
+def table_at(df: DataFrame, path: str) -> DataFrame:
+    """Write df to this path and read it."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as keep it apart from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; a null id has fold -1."""
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % of).cast("int"), F.lit(-1))
@@ -70,4 +89,5 @@ def where_late(df: DataFrame, condition: Column) -> DataFrame:
     arrays that later steps read element by element, it would compute them anew for each
     element. A row id in the condition keeps the filter where it is written.
     """
-    return df.withColumn("_late", F.monotonically_increasing_id()).where(condition & (F.col("_late") >= 0)).drop("_late")
+    late = free_name(df, "late")
+    return df.withColumn(late, F.monotonically_increasing_id()).where(condition & (F.col(late) >= 0)).drop(late)

@@ -13,15 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPAN, GRAM = 10, 5
 #: A fingerprint holds 32 bits of hash above 31 bits of position, so the least one is the leftmost least.
 PLACE_BITS = 31
-#: Distinct benchmark fingerprints up to which they are sent to every task; beyond, both sides are shuffled.
-LITERAL_PRINTS = 20_000
+#: Distinct benchmark fingerprints, and bytes of all their rows with the items' words, up to which they are sent to every
+#: task; beyond either, both sides are shuffled. The rows of the result are the same.
+LITERAL_PRINTS, BROADCAST_BYTES = 20_000, 32_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -69,7 +70,7 @@ def _agreeing(step: int) -> Column:
     return F.when(far <= 0, F.lit(0)).when(stop == 0, far).otherwise(stop - 1)
 
 
-def shared_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", literal_prints: int = LITERAL_PRINTS) -> DataFrame:
+def shared_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", literal_prints: int = LITERAL_PRINTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row per row of docs: id, n_words, spans and items.
 
     spans holds shared spans [start, end) in words, sorted and distinct, whose union is
@@ -85,44 +86,51 @@ def shared_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # explode_outer: from explode() Spark infers a filter, which it would push down with the whole expression.
     tests = _fingerprints(bench, "item_words", short, True).select("item", "item_words", F.explode_outer("prints").alias("p"))
     tests = tests.where(F.col("p").isNotNull()).select("item", "item_words", _hash("p").alias("h"), _place("p").alias("item_at"))
-    hashes = [x["h"] for x in tests.select("h").distinct().limit(literal_prints + 1).collect()]
-    small = len(hashes) <= literal_prints
+    size = tests.agg(F.count("*").alias("n"), F.sum(F.aggregate("item_words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16) + 32).alias("bytes")).first()
+    hashes = [x["h"] for x in tests.select("h").distinct().limit(literal_prints + 1).collect()] if (size["bytes"] or 0) <= broadcast_bytes else None
+    small = hashes is not None and len(hashes) <= literal_prints
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), words_of(F.col(f"`{text_col}`")).alias("words"))
     if small:
         found = _fingerprints(base, "words", short, False)
         found = found.withColumn("hot", F.filter("prints", lambda p: F.shiftright(p, PLACE_BITS).isin(hashes)) if hashes else F.array().cast("array<bigint>")).drop("prints")
-    else:  # only prints and places are shuffled; what they match goes back to the words
+        found = _extended(found, F.broadcast(tests), True)
+    else:  # Only prints and places are shuffled; what they match goes back to the words. Documents without a match stay out of the joins.
         base = staged(base, "words")
-        hot = _fingerprints(base, "words", short, False).select("row", F.explode_outer("prints").alias("p")).withColumn("h", _hash("p"))
-        hot = hot.join(tests, "h", "left_semi").groupBy("row").agg(F.collect_list("p").alias("hot"))
-        found = base.join(hot, "row", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
+        hot = _fingerprints(base, "words", short, False).select("row", F.explode_outer("prints").alias("p")).where(F.col("p").isNotNull()).withColumn("h", _hash("p"))
+        hot = hot.join(tests.select("h").distinct(), "h", "left_semi").groupBy("row").agg(F.collect_list("p").alias("hot"))
+        found = _extended(base.join(hot, "row"), tests, False)
+        own = base.select("row", "id", F.size("words").alias("n_words"), *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("span", "item")])
+        found = own.unionByName(found)
+    return found.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("item").alias("items")).drop("row")
+
 
-    # No print is negative: -1 stands for the document itself, so that it stays without a hit.
+def _extended(found: DataFrame, tests: DataFrame, own: bool) -> DataFrame:
+    """(row, id, n_words, span, item) for each hit of the prints `hot` in `words`; with own a row without a hit for each document too, which only alone has n_words."""
     reach = SPAN - GRAM
     place = lambda p: p.bitwiseAND(F.lit(2**PLACE_BITS - 1)).cast("int")
     from_ = lambda p: F.greatest(F.lit(0), place(p) - reach)
     spots = F.transform("hot", lambda p: F.struct(p.alias("p"), F.slice("words", from_(p) + 1, place(p) - from_(p) + SPAN).alias("near"), from_(p).alias("from")))
-    own = F.struct(F.lit(-1).cast("bigint").alias("p"), F.array().cast("array<string>").alias("near"), F.lit(0).alias("from"))
-    found = found.select("row", "id", F.size("words").alias("n_words"), F.explode_outer(F.concat(F.array(own), spots)).alias("spot"))
+    if own:  # No print is negative: -1 stands for the document itself.
+        spots = F.concat(F.array(F.struct(F.lit(-1).cast("bigint").alias("p"), F.array().cast("array<string>").alias("near"), F.lit(0).alias("from"))), spots)
+    found = found.select("row", "id", F.size("words").alias("n_words"), F.explode_outer(spots).alias("spot"))
     found = found.select("row", "id", "n_words", "spot.near", "spot.from", F.when(F.col("spot.p") >= 0, F.shiftright("spot.p", PLACE_BITS)).alias("h"), (place(F.col("spot.p")) - F.col("spot.from")).alias("near_at"), (F.col("spot.p") < 0).alias("own"))
-    found = found.join(F.broadcast(tests) if small else tests, "h", "left").where(F.col("own") | F.col("item").isNotNull())
+    found = found.join(tests, "h", "left").where(F.col("own") | F.col("item").isNotNull()) if own else found.join(tests, "h")
     found = found.withColumns({"back": F.when(~F.col("own"), _agreeing(-1)), "ahead": F.when(~F.col("own"), _agreeing(1))})
     hit = F.col("back") + F.col("ahead") >= F.least(F.lit(SPAN), F.size("item_words"))
     at = F.col("from") + F.col("near_at")
     span = F.struct((at - F.col("back")).alias("start"), (at + F.col("ahead")).alias("end"))
-    found = found.where(F.col("own") | hit).select("row", "id", F.when(F.col("own"), F.col("n_words")).alias("n_words"), F.when(hit, span).alias("span"), F.when(hit, F.col("item")).alias("item"))
-    return found.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("item").alias("items")).drop("row")
+    return found.where(F.col("own") | hit).select("row", "id", F.when(F.col("own"), F.col("n_words")).alias("n_words"), F.when(hit, span).alias("span"), F.when(hit, F.col("item")).alias("item"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", literal_prints: int = LITERAL_PRINTS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", literal_prints: int = LITERAL_PRINTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row of docs: the id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     A null or empty text has no words and no hit; a null id stays null; repeated rows
     each get their row; either table may be empty; other columns are ignored. Equal
     items count apart, by their ids.
     """
-    found = shared_spans(docs, items, id_col, text_col, item_id, item_text, literal_prints)
+    found = shared_spans(docs, items, id_col, text_col, item_id, item_text, literal_prints, broadcast_bytes)
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -146,10 +154,11 @@ def clean_only(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Dat
     Rows are told apart by a key that is written with them, so rows that share an id, or
     have none, each stand or fall by their own text.
     """
-    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = decontaminate(keyed, items, "_row", text_col)
-    bad = staged(found.where("contaminated").select("_row"), "contaminated")
-    return keyed.join(bad, "_row", "left_anti").select(docs.columns)
+    row = free_name(docs, "row")
+    keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = decontaminate(keyed, items, row, text_col)
+    bad = staged(found.where("contaminated").select(row), "contaminated")
+    return keyed.join(bad, row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL of op10 over the tables documents and benchmark.
