@@ -18,28 +18,43 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, staged
+from .common import join_hot, new_folder, staged
 
 FRAME_BYTES, ARCHIVE_BYTES, LEVEL = 1 << 20, 64 << 20, 3
+#: Archives that a task reads, once there are enough for all cores.
+ARCHIVES_A_TASK = 4
 LEAST_BYTES = 100
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
 
-def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> tuple[str, bytes]:
-    """The record id and the record of a page. A revisit has the HTTP header of the full payload, without it."""
-    target = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
-    name = f"urn:uuid:{uuid.uuid5(SPACE, f'{page_id}/{target}/{digest}')}"
+DATE = "1970-01-01T00:00:00Z"
+
+
+def target_of(page_id: str | None, url: str | None) -> str:
+    return (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_name(row: int, page_id: str | None, target: str, digest: str) -> str:
+    """The id of a record: of its row's key too, so that equal rows have records of their own."""
+    return f"urn:uuid:{uuid.uuid5(SPACE, f'{row}/{page_id}/{target}/{digest}')}"
+
+
+def record(row: int, page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: dict | None) -> tuple[str, bytes]:
+    """The record id and the record of a page. refers_to: row, id and url of a revisit's response; a revisit has the HTTP header of the full payload, without it."""
+    target = target_of(page_id, url)
+    name = record_name(row, page_id, target, digest)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if revisit else http + payload
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}")]
-    if revisit:
-        fields += [("WARC-Profile", PROFILE)] + [("X-Refers-To-Page-ID", refers_to)] * (refers_to is not None)
+    block = http if refers_to else http + payload
+    fields = [("WARC-Type", "revisit" if refers_to else "response"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    if refers_to:
+        first = target_of(refers_to["id"], refers_to["url"])
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{record_name(refers_to['row'], refers_to['id'], first, digest)}>"), ("WARC-Refers-To-Target-URI", first), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", refers_to["id"])]
     fields += [("X-Page-ID", page_id)] * (page_id is not None) + [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return name, head.encode() + block + b"\r\n\r\n"
@@ -129,9 +144,9 @@ def _write(folder: str):
         rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), INDEX.types)], schema=INDEX)
         for batch in batches:
             for k in range(len(batch)):
-                page_id, url, payload, digest, refers_to, revisit = (batch.column(c)[k].as_py() for c in range(6))
+                row, page_id, url, payload, digest, refers_to = (batch.column(c)[k].as_py() for c in range(6))
                 archive = archive or _Archive(folder)
-                archive.add(page_id, *record(page_id, url, payload, digest, refers_to, revisit))
+                archive.add(page_id, *record(row, page_id, url, payload, digest, refers_to))
                 if archive.plain >= ARCHIVE_BYTES:
                     yield rows(archive.close())
                     archive = None
@@ -152,21 +167,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     files, path = pafs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
     payload = F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit("").cast("binary"))
-    whole = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
-    keyed = whole.where(F.octet_length("payload") >= least_bytes).select("id", F.sha2("payload", 256).alias("digest"))
-    keyed = staged(keyed, "digests")
-    repeated = keyed.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("no_id")).where("n > 1 AND first IS NOT NULL")
-    # Ids, not payloads, are shuffled by digest; a page finds its own decision by id and digest.
-    fate = keyed.join(repeated.select("digest", "first"), "digest").groupBy("id", "digest").agg(F.first("first").alias("first"), F.count("*").alias("same"))
-    fate = staged(fate.select(F.col("id").alias("fate_id"), F.col("digest").alias("fate_digest"), "first", (F.col("same") > 1).alias("tied")), "fates")
-    known = whole.withColumn("digest", F.sha2("payload", 256))
-    known = known.join(fate, known["id"].eqNullSafe(fate["fate_id"]) & (known["digest"] == fate["fate_digest"]), "left")
-    later = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
-    if fate.where("tied").limit(1).count():
-        place = F.row_number().over(Window.partitionBy("id", "digest").orderBy("url"))
-        known = known.withColumn("place", place)
-        later = later | (F.col("first").isNotNull() & (F.col("place") > 1))
-    rows = known.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.when(later, F.col("first").cast("string")).alias("refers_to"), later.alias("revisit"))
+    whole = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
+    whole = staged(whole.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload")), "pages")
+    # Keys, not payloads, are shuffled by digest; a page finds its own decision by its row's key.
+    keyed = whole.where(F.col("size") >= least_bytes).select("row", "id", "url", "digest")
+    known = F.when(F.col("id").isNotNull(), F.struct("id", "row", "url"))
+    repeated = keyed.groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    fate = join_hot(keyed.select("row", "digest"), staged(repeated, "repeated"), "digest").where("row <> first.row").select("row", F.struct(F.col("first.row").alias("row"), F.col("first.id").cast("string").alias("id"), F.col("first.url").alias("url")).alias("refers_to"))
+    rows = whole.join(staged(fate, "fates"), "row", "left").select("row", F.col("id").cast("string").alias("id"), "url", "payload", "digest", "refers_to")
     schema = "page_id string, record_id string, archive string, frame int, frame_start long, offset long, length long"
     return staged(rows.mapInArrow(_write(folder), schema), "index")
 
@@ -198,6 +206,9 @@ def read_archives(index: DataFrame, id_type: str | T.DataType = "long", with_pay
     """A row per record of the archives that the index names, read frame by frame; each payload is checked against its digest."""
     columns = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
     names = index.select("archive").distinct()
+    n = names.count()
+    # Names are few bytes, archives are not: a number of tasks that is asked for isn't coalesced.
+    names = names.repartition(max(1, min(n, max(2 * index.sparkSession.sparkContext.defaultParallelism, n // ARCHIVES_A_TASK))))
 
     def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _read(batches):

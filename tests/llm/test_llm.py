@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framelytics.llm import decontam, langid, licenses, lm, packing, quality, queries, simhash, tokens, toxicity, warc
@@ -86,6 +87,26 @@ def test_pages(spark):
         assert head["WARC-Record-ID"] == f"<{row['record_id']}>"
 
 
+def test_equal_rows_have_records_of_their_own(spark):
+    page = "z" * 300
+    pages = spark.createDataFrame([(1, "u", page)] * 3 + [(2, None, page), (3, "w", page)], "page_id long, url string, html string")
+    index = warc.write_archives(pages, warc.new_folder(spark, "t")).collect()
+    assert len({r["record_id"] for r in index}) == 5
+    heads = [warc.fetch(r)[0] for r in index]
+    response = [h for h in heads if h["WARC-Type"] == "response"]
+    assert len(response) == 1
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            assert h["WARC-Refers-To"] == response[0]["WARC-Record-ID"] and h["WARC-Refers-To-Target-URI"] == "u" and h["WARC-Refers-To-Date"]
+
+
+def test_archives_are_read_in_many_tasks(spark, monkeypatch):
+    pages = spark.range(8, numPartitions=8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), F.lit(50)).alias("html"))
+    index = warc.write_archives(pages, warc.new_folder(spark, "t"))
+    n = index.select("archive").distinct().count()
+    assert n > 1 and warc.read_archives(index).rdd.getNumPartitions() == n
+
+
 def test_tied_response(spark):
     pages = spark.createDataFrame([(1, "a", "y" * 150), (1, "b", "y" * 150)], "page_id long, url string, html string")
     assert sorted(r["record_type"] for r in warc.round_trip(pages).collect()) == ["response", "revisit"]
