@@ -1,15 +1,18 @@
-"""An n-gram language model as an Elias-Fano trie of two levels, built and queried by Spark.
+"""An n-gram language model as an Elias-Fano trie of three levels, built and queried by Spark.
 
 Level 1 holds the words: their sorted 64-bit hashes as an Elias-Fano sequence, and their
-counts. A word's number is its place there. Level 2 holds the pairs: for each context the
-sorted numbers of its successors, made one monotone sequence by adding the context's base,
-Elias-Fano coded, with monotone pointers to where each context starts and a quantised
-probability each. A pair is found by a successor search from its context's base. Both
-levels are cut into slices, files in the shared folder that tasks map into memory.
-
-A pair's probability is discounted, and interpolated with the smoothed word probability:
-    p(w|u) = max(c(uw) - D, 0) / c(u) + D * N(u) / c(u) * p(w),  p(w) = (c(w) + a) / (n + a (V + 1))
-where N(u), the number of successors, comes from the pointers.
+counts. A word's number is its place there. Level n holds the n-grams: for each context,
+an entry of the level above, the sorted numbers of its successors, made one monotone
+sequence by adding the context's base, Elias-Fano coded, with monotone pointers to where
+each context starts, a quantised probability for each n-gram and a quantised weight for
+each context. An n-gram's number is its place in its level. It is found by a successor
+search from its context's base. Levels are cut into slices of about as many n-grams,
+wherever these bounds fall, also within a context; slices are files in the shared folder.
+
+Probabilities are discounted, and interpolated with those of the level above:
+    p(w|uv) = max(c(uvw) - D, 0) / c(uv) + D * N(uv) / c(uv) * p(w|v),  N: different successors
+    p(w|v) likewise by p(w) = (c(w) + a) / (n + a (V + 1))
+Contexts that were never seen leave the level above as it is.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import fold, new_folder
 
-ADDED, DISCOUNT = 0.1, 0.75
-#: Slices of level 1, and pairs' tokens that a slice of level 2 is meant for.
-WORD_SLICES, SLICE_TOKENS = 32, 2_000_000
+ADDED, DISCOUNT, ORDER, CODE_BITS = 0.1, 0.75, 3, 8
+#: Bytes of text that a slice of level 1 is meant for, tokens for a slice of the others, and n-grams sampled to place their bounds.
+WORD_SLICE_BYTES, SLICE_TOKENS, BOUND_SAMPLE = 16_000_000, 2_000_000, 200_000
+#: Bytes of slices that a task keeps where the shared folder can't be mapped into memory.
+KEPT_BYTES = 256_000_000
 #: Bytes of text worked on at once, and keys that a task gathers before it sends them.
 TEXT_BYTES, GATHERED = 12_000_000, 6_000_000
 
@@ -148,15 +153,30 @@ def save(folder: str, arrays: dict[str, np.ndarray]) -> str:
     return uri
 
 
-@lru_cache(maxsize=2048)
+@lru_cache(maxsize=4096)
+def _mapped(path: str) -> np.ndarray:
+    return np.memmap(path, np.uint8, "r")
+
+
+_kept: dict[str, np.ndarray] = {}
+
+
+def _fetched(uri: str, files: pafs.FileSystem, path: str) -> np.ndarray:
+    """A slice read whole; what was used longest ago goes beyond KEPT_BYTES. Keys are looked up slice by slice."""
+    data = _kept.pop(uri, None)
+    if data is None:
+        with files.open_input_file(path) as file:
+            data = np.frombuffer(file.read(), np.uint8)
+        while _kept and sum(map(len, _kept.values())) + len(data) > KEPT_BYTES:
+            _kept.pop(next(iter(_kept)))
+    _kept[uri] = data
+    return data
+
+
 def load(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, mapped into memory if the shared folder is mounted, else read."""
     files, path = pafs.FileSystem.from_uri(uri)
-    if isinstance(files, pafs.LocalFileSystem):
-        data = np.memmap(path, np.uint8, "r")
-    else:
-        with files.open_input_file(path) as file:
-            data = np.frombuffer(file.read(), np.uint8)
+    data = _mapped(path) if isinstance(files, pafs.LocalFileSystem) else _fetched(uri, files, path)
     n = int.from_bytes(bytes(data[:8]), "little")
     head = json.loads(bytes(data[8 : 8 + n]))
     return {k: data[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (kind, size, at) in head.items()}
@@ -259,12 +279,17 @@ class Words:
     docs: int
     tokens: int
 
+    @property
+    def width(self) -> int:
+        """Numbers of tokens are under it; the last one stands for the end, and as a context for the start, of a text."""
+        return self.size + 1
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The number of each word, or -1."""
         keys = hashes(words)
         order = np.argsort(keys)
         keys, out = keys[order], np.full(len(words), -1, np.int64)
-        edge = np.searchsorted(_word_slice(keys), np.arange(len(self.slices) + 1))
+        edge = np.searchsorted(_word_slice(keys, len(self.slices)), np.arange(len(self.slices) + 1))
         for k, (first, uri) in enumerate(self.slices):
             a, b = edge[k], edge[k + 1]
             if a < b and uri:
@@ -273,7 +298,7 @@ class Words:
         return out
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
-        """Counts of sorted numbers; `size` stands for the end (or the start) of a text."""
+        """Counts of sorted numbers."""
         out = np.zeros(len(numbers), np.int64)
         out[numbers == self.size] = self.docs
         firsts = [f for f, _ in self.slices] + [self.size]
@@ -284,13 +309,16 @@ class Words:
         return out
 
 
-def _word_slice(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - (WORD_SLICES - 1).bit_length())).astype(np.int64)
+def _word_slice(keys: np.ndarray, slices: int) -> np.ndarray:
+    """slices: a power of two."""
+    return (keys >> np.uint64(64 - (slices - 1).bit_length())).astype(np.int64)
 
 
 def build_words(texts: DataFrame) -> Words:
     """texts: one binary column. Null texts count as empty."""
-    spark, folder = texts.sparkSession, _folder(texts, "lm-words")
+    folder = _folder(texts, "lm-words")
+    size = texts.agg(F.count("*").alias("docs"), F.sum(F.octet_length(F.col(texts.columns[0]))).alias("bytes")).first()
+    slices = 1 << max(4, (int(size["bytes"] or 0) // WORD_SLICE_BYTES).bit_length())
 
     def keys_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         codes, words, _ = split(part)
@@ -301,105 +329,184 @@ def build_words(texts: DataFrame) -> Words:
         uri = save(folder, EliasFano.of(keys).arrays("hash") | {"count": counts})
         return pa.table({"slice": [rows.column("slice")[0].as_py()], "uri": [uri], "n": [len(keys)], "total": [int(counts.sum())]})
 
-    rows = texts.mapInArrow(_gather(keys_of, _word_slice), "slice long, keys binary")
+    rows = texts.mapInArrow(_gather(keys_of, lambda keys: _word_slice(keys, slices)), "slice long, keys binary")
     found = {r["slice"]: r for r in rows.groupBy("slice").applyInArrow(level, "slice long, uri string, n long, total long").collect()}
-    slices, at = [], 0
-    for k in range(WORD_SLICES):
-        slices.append((at, found[k]["uri"] if k in found else None))
+    out, at = [], 0
+    for k in range(slices):
+        out.append((at, found[k]["uri"] if k in found else None))
         at += found[k]["n"] if k in found else 0
-    docs = texts.count()
-    return Words(tuple(slices), at, docs, docs + sum(r["total"] for r in found.values()))
+    return Words(tuple(out), at, size["docs"], size["docs"] + sum(r["total"] for r in found.values()))
 
 
 @dataclass(frozen=True)
-class Pairs:
-    """Level 2. slices: (first key, file), in order; a key is context * width + word."""
+class Level:
+    """A level from 2 on. slices: (first key, first number, file, file of counts), in order; a key is context * width + token."""
 
-    words: Words
-    slices: tuple[tuple[int, str], ...]
-    discount: float
-
-    @property
-    def width(self) -> int:
-        return self.words.size + 1
-
-    def spans(self, sorted_keys: np.ndarray) -> Iterator[tuple[dict, int, int]]:
-        edge = np.searchsorted(sorted_keys, np.array([f for f, _ in self.slices], np.uint64))
-        for (_, uri), a, b in zip(self.slices, edge, [*edge[1:], len(sorted_keys)]):
-            if a < b:
-                yield load(uri), int(a), int(b)
-
-    def discounted(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised discounted probability of sorted keys, 0 if unseen."""
-        out = np.zeros(len(keys))
-        for a, lo, hi in self.spans(keys):
+    width: int
+    size: int
+    slices: tuple[tuple[int, int, str, str | None], ...]
+
+    @cached_property
+    def _firsts(self) -> np.ndarray:
+        return np.array([x[0] for x in self.slices], np.uint64)
+
+    def spans(self, sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(slice, start, end) of the keys that fall into each slice; keys before the first slice are left out."""
+        edge = np.append(np.searchsorted(sorted_keys, self._firsts), len(sorted_keys))
+        for k in np.flatnonzero(edge[1:] > edge[:-1]):
+            yield int(k), int(edge[k]), int(edge[k + 1])
+
+    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sorted keys their numbers, -1 if unseen, and quantised discounted probabilities, 0 if unseen."""
+        number, p = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+        for k, lo, hi in self.spans(keys):
+            a = load(self.slices[k][2])
             place, found = EliasFano.from_arrays(a, "key").find(keys[lo:hi] - a["base"][0])
-            out[lo:hi][found] = a["book"][a["code"][place[found]]]
+            at = np.flatnonzero(found) + lo
+            number[at] = self.slices[k][1] + place[found]
+            p[at] = a["book"][a["code"][place[found]]]
+        return number, p
+
+    def weights(self, contexts: np.ndarray) -> np.ndarray:
+        """Of sorted contexts the weight of the level above: D * N / c, a sum over the slices that a context is in; 0 if unseen."""
+        out = np.zeros(len(contexts))
+        if not self.slices or not len(contexts):
+            return out
+        low = contexts.astype(np.uint64) * np.uint64(self.width)
+        first = np.maximum(np.searchsorted(self._firsts, low, "right") - 1, 0)
+        last = np.maximum(np.searchsorted(self._firsts, low + np.uint64(self.width - 1), "right") - 1, 0)
+        touched = np.zeros(len(self.slices) + 1, np.int64)
+        np.add.at(touched, first, 1)
+        np.add.at(touched, last + 1, -1)
+        for k in np.flatnonzero(np.cumsum(touched)[:-1]):
+            a = load(self.slices[k][2])
+            lo, hi = np.searchsorted(contexts, [a["contexts"][0], a["contexts"][1] + 1])
+            if lo < hi:
+                pointers, at = EliasFano.from_arrays(a, "pointer"), contexts[lo:hi] - a["contexts"][0]
+                some = np.flatnonzero(pointers.at(at + 1) > pointers.at(at))
+                out[lo + some] += a["weight_book"][a["weight"][at[some]]]
         return out
 
-    def successors(self, contexts: np.ndarray) -> np.ndarray:
-        """How many different words follow each of these sorted contexts."""
-        out = np.zeros(len(contexts), np.int64)
-        for _, uri in self.slices:
-            a = load(uri)
-            first, last = map(int, a["contexts"])
-            lo, hi = np.searchsorted(contexts, [first, last + 1])
-            if lo < hi:
-                pointers, k = EliasFano.from_arrays(a, "pointer"), contexts[lo:hi] - first
-                out[lo:hi] += (pointers.at(k + 1) - pointers.at(k)).astype(np.int64)
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Counts of sorted numbers; only the build of the next level reads them."""
+        out = np.zeros(len(numbers), np.int64)
+        edge = np.searchsorted(numbers, [x[1] for x in self.slices] + [self.size])
+        for k in np.flatnonzero(edge[1:] > edge[:-1]):
+            out[edge[k] : edge[k + 1]] = load(self.slices[k][3])["count"][numbers[edge[k] : edge[k + 1]] - self.slices[k][1]]
         return out
 
 
-def context_keys(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token of the texts, ends included: context number, own number (-1: unknown), and tokens per text."""
+@dataclass(frozen=True)
+class Model:
+    words: Words
+    levels: tuple[Level, ...]
+
+    @property
+    def contexts(self) -> Words | Level:
+        """The level whose entries are the contexts of the next one."""
+        return self.levels[-1] if self.levels else self.words
+
+
+def tokens_of(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token of the texts, ends included: its number (-1: unknown), whether it's a text's first, and tokens per text."""
     codes, distinct, counts = split(texts)
     numbers = words.numbers(distinct)[codes] if len(codes) else codes
     n = counts + 1
     ends = np.cumsum(n) - 1
-    token = np.empty(int(n.sum()), np.int64)
+    token, first = np.full(int(n.sum()), words.size, np.int64), np.zeros(int(n.sum()), bool)
     inner = np.ones(len(token), bool)
     inner[ends] = False
-    token[ends], token[inner] = words.size, numbers
-    context = np.empty_like(token)
-    context[1:] = token[:-1]
-    context[np.concatenate([[0], ends[:-1] + 1])] = words.size
-    return context, token, n
-
-
-def build_pairs(texts: DataFrame, words: Words, discount: float = DISCOUNT) -> Pairs:
-    folder, width = _folder(texts, "lm-pairs"), words.size + 1
-    slices = max(16, words.tokens // SLICE_TOKENS)
-    step = np.uint64(-(-width * width // slices))
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    token[inner] = numbers
+    first[ends + 1 - n] = True
+    return token, first, n
+
+
+def walk(model: Model, token: np.ndarray, first: np.ndarray) -> Iterator[tuple[Level, np.ndarray, np.ndarray]]:
+    """Per level: it, the context of every token (-1: none or unseen) and quantised discounted probabilities. At last the contexts of the next level alone."""
+    context = np.full(len(token), model.words.size, np.int64)
+    context[1:][~first[1:]] = token[:-1][~first[1:]]
+    for level in model.levels:
+        some = np.flatnonzero((context >= 0) & (token >= 0))
+        keys, at = np.unique(context[some].astype(np.uint64) * np.uint64(level.width) + token[some].astype(np.uint64), return_inverse=True)
+        number, p = level.look_up(keys)
+        found = np.zeros(len(token))
+        found[some] = p[at]
+        yield level, context, found
+        longer = np.full(len(token), -1, np.int64)
+        longer[some] = number[at]
+        context = np.full(len(token), -1, np.int64)
+        context[1:][~first[1:]] = longer[:-1][~first[1:]]
+    yield None, context, None
+
+
+def build_level(texts: DataFrame, model: Model, discount: float = DISCOUNT, bits: int = CODE_BITS, with_counts: bool = True) -> Level:
+    """The n-grams one longer than the model's; with their counts if there is to be a next level."""
+    folder, width, above = _folder(texts, "lm-ngrams"), model.words.width, model.contexts
+    if (above.size + 1) * width >= 1 << 64:
+        raise ValueError("the contexts and words are too many for keys of 64 bits")
+    slices = max(16, model.words.tokens // SLICE_TOKENS)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def keys_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        context, token, _ = context_keys(shared.value, part)
-        keys = context.astype(np.uint64) * np.uint64(width) + token.astype(np.uint64)
+        token, first, _ = tokens_of(shared.value.words, part)
+        *_, (_, context, _) = walk(shared.value, token, first)
+        keys = context[context >= 0].astype(np.uint64) * np.uint64(width) + token[context >= 0].astype(np.uint64)
         return keys, np.ones(len(keys), np.int64)
 
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in parts(batch.column(0).to_pylist()):
+                keys = np.unique(keys_of(part)[0])
+                keys = keys[hashed(keys) % np.uint64(1000) < np.uint64(1000 * of_keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    # Texts of ten times as many tokens are drawn, and of their n-grams a part by a hash.
+    of_texts = min(1.0, 10 * BOUND_SAMPLE / model.words.tokens)
+    of_keys = min(1.0, BOUND_SAMPLE / max(1.0, of_texts * model.words.tokens))
+    found = texts.sample(of_texts, seed=1).mapInArrow(drawn, "key long").toArrow().column("key").to_numpy().astype(np.uint64)
+    found.sort()
+    bounds = np.unique(found[np.linspace(0, len(found), slices, endpoint=False).astype(np.int64)[1:]]) if len(found) else found
+
     def level(rows: pa.Table) -> pa.Table:
         keys, counts = _merged(rows)
         context = (keys // np.uint64(width)).astype(np.int64)
         first, last = int(context[0]), int(context[-1])
         starts = np.searchsorted(context, np.arange(first, last + 2)).astype(np.uint64)
-        own, at = np.unique(context, return_inverse=True)
-        logs = np.log10(np.maximum(counts - discount, 1e-9) / shared.value.counts(own)[at])
-        code, book = quantised(logs)
+        own, at, n = np.unique(context, return_inverse=True, return_counts=True)
+        total = shared.value.contexts.counts(own)
+        code, book = quantised(np.log10(np.maximum(counts - discount, 1e-9) / total[at]), bits)
+        own_code, weight_book = quantised(np.log10(discount * n / total), bits)
+        weight = np.zeros(last - first + 1, own_code.dtype)
+        weight[own - first] = own_code
         base = np.uint64(first) * np.uint64(width)
         arrays = EliasFano.of(keys - base).arrays("key") | EliasFano.of(starts).arrays("pointer")
-        uri = save(folder, arrays | {"code": code, "book": 10.0**book, "contexts": np.array([first, last], np.int64), "base": np.array([base], np.uint64)})
-        return pa.table({"slice": [rows.column("slice")[0].as_py()], "uri": [uri], "first": [str(int(keys[0]))]})
+        uri = save(folder, arrays | {"code": code, "book": 10.0**book, "weight": weight, "weight_book": 10.0**weight_book, "contexts": np.array([first, last], np.int64), "base": np.array([base], np.uint64)})
+        return pa.table({"uri": [uri], "counts": pa.array([save(folder, {"count": counts}) if with_counts else None], pa.string()), "first": [str(int(keys[0]))], "n": [len(keys)]})
+
+    rows = texts.mapInArrow(_gather(keys_of, lambda keys: np.searchsorted(bounds, keys, "right")), "slice long, keys binary")
+    found = sorted(rows.groupBy("slice").applyInArrow(level, "uri string, counts string, first string, n long").collect(), key=lambda r: int(r["first"]))
+    ahead = np.cumsum([0, *(r["n"] for r in found)])
+    return Level(width, int(ahead[-1]), tuple((int(r["first"]), int(at), r["uri"], r["counts"]) for r, at in zip(found, ahead)))
+
+
+def hashed(keys: np.ndarray) -> np.ndarray:
+    """Mixed bits, for draws by key."""
+    return (keys ^ keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+
 
-    rows = texts.mapInArrow(_gather(keys_of, lambda keys: (keys // step).astype(np.int64)), "slice long, keys binary")
-    found = rows.groupBy("slice").applyInArrow(level, "slice long, uri string, first string").collect()
-    return Pairs(words, tuple(sorted((int(r["first"]), r["uri"]) for r in found)), discount)
+def build(texts: DataFrame, order: int = ORDER, discount: float = DISCOUNT, bits: int = CODE_BITS) -> Model:
+    """The trie of n-grams up to the order, over texts of one binary column."""
+    model = Model(build_words(texts), ())
+    for n in range(2, order + 1 if model.words.docs else 0):
+        model = Model(model.words, (*model.levels, build_level(texts, model, discount, bits, n < order)))
+    return model
 
 
-def quantised(logs: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def quantised(logs: np.ndarray, bits: int = CODE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Codes and code book: equal bins between least and greatest, each read back as the mean of its members."""
     lo, hi = float(logs.min()), float(logs.max())
     n = 1 << bits
-    code = np.minimum((logs - lo) / (hi - lo or 1) * n, n - 1).astype(np.uint8)
+    code = np.minimum((logs - lo) / (hi - lo or 1) * n, n - 1).astype(np.uint8 if bits <= 8 else np.uint16)
     size = np.bincount(code, minlength=n)
     return code, np.bincount(code, logs, minlength=n) / np.maximum(size, 1)
 
@@ -411,29 +518,26 @@ def _folder(df: DataFrame, name: str) -> str:
     return folder
 
 
-def log10_probabilities(model: Pairs, texts: list[bytes], added: float = ADDED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def log10_probabilities(model: Model, texts: list[bytes], added: float = ADDED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: tokens, known tokens, log10 of the product of word probabilities, and of the model's."""
     words = model.words
-    context, token, n = context_keys(words, texts)
+    token, first, n = tokens_of(words, texts)
     own, at = np.unique(token, return_inverse=True)
     count = words.counts(own)[at]
     p1 = (count + added) / (words.tokens + added * (words.size + 1 + (words.docs > 0)))
     p = p1.copy()
-    known = np.flatnonzero(context >= 0)
-    if words.docs and len(known):
-        contexts, at = np.unique(context[known], return_inverse=True)
-        seen = words.counts(contexts)
-        weight = np.where(seen > 0, model.discount * model.successors(contexts) / np.maximum(seen, 1), 1.0)[at]
-        p[known] = weight * p1[known]
-        pair = known[token[known] >= 0]
-        keys, at = np.unique(context[pair].astype(np.uint64) * np.uint64(model.width) + token[pair].astype(np.uint64), return_inverse=True)
-        p[pair] += model.discounted(keys)[at]
-    first = np.cumsum(n) - n
-    add = lambda x: np.add.reduceat(x, first) if len(first) else x
+    for level, context, found in walk(model, token, first):
+        if level:
+            some = np.flatnonzero(context >= 0)
+            contexts, at = np.unique(context[some], return_inverse=True)
+            weight = level.weights(contexts)[at]
+            p[some] = np.where(weight > 0, weight * p[some] + found[some], p[some])
+    start = np.cumsum(n) - n
+    add = lambda x: np.add.reduceat(x, start) if len(start) else x
     return n, add((count > 0).astype(np.int64)), add(np.log10(p1)), add(np.log10(p))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, discount: float = DISCOUNT) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, discount: float = DISCOUNT, order: int = ORDER, bits: int = CODE_BITS) -> DataFrame:
     """Per row of docs: the id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Learns from rows whose crc32(id as text) mod folds is not held. A null text is empty: its
@@ -444,8 +548,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     at = fold(F.col(f"`{id_col}`"), folds)
     text = F.col(f"`{text_col}`").cast("binary").alias("text")
     texts = docs.where((at >= 0) & (at != held)).select(text)
-    words = build_words(texts)
-    model = docs.sparkSession.sparkContext.broadcast(build_pairs(texts, words, discount) if words.docs else Pairs(words, (), discount))
+    built = build(texts, order, discount, bits)
+    words, model = built.words, docs.sparkSession.sparkContext.broadcast(built)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

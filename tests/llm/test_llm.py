@@ -142,6 +142,30 @@ def test_anchors_cover():
     assert {q for p, q in zip(a[r == 1].tolist(), k[r == 1].tolist()) if (p, q) in homes} == set(range(3000))
 
 
+def test_every_link_of_all_documents(spark):
+    """At sf0.1: components equal those of all pairs of fingerprints within 4 bits."""
+    found = queries.op3_simhash_near_dedup(spark, "/root/testdata/sf0.1").collect()
+    fps = {int(r["fingerprint"], 16) for r in found}
+    x, near = np.array(sorted(fps), np.uint64), []
+    for k in range(0, len(x), 500):
+        i, j = np.nonzero(np.bitwise_count(x[k : k + 500, None] ^ x[None, :]) <= 4)
+        near += [(a + k, b) for a, b in zip(i.tolist(), j.tolist()) if a + k < b]
+    root = list(range(len(x)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for a, b in near:
+        root[find(a)] = find(b)
+    at, least = {f: k for k, f in enumerate(x.tolist())}, {}
+    for r in found:
+        k = find(at[int(r["fingerprint"], 16)])
+        least[k] = min(least.get(k, r["doc_id"]), r["doc_id"])
+    assert near and all(r["component_id"] == least[find(at[int(r["fingerprint"], 16)])] for r in found)
+
+
 def test_crowded_anchors_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(1)
     fps = sorted({int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 3), replace=False))) for _ in range(600)})
@@ -200,24 +224,51 @@ def test_other_scripts_meet_the_shortcut():
 
 
 def test_language_model(spark, data, docs):
-    counts, pairs, held = collections.Counter(), collections.Counter(), {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in docs}
-    words = {k: [*t.encode().lower().split(), None] for k, t in docs.items()}
+    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in docs}
+    words = {k: ["<s>", *t.encode().lower().split(), None] for k, t in docs.items()}
+    grams = [collections.Counter() for _ in range(3)]
     for k, w in words.items():
         if not held[k]:
-            counts.update(w)
-            pairs.update(zip([0, *w[:-1]], w))
-    n, v = sum(counts.values()), len(counts)
+            grams[0].update(w[1:])
+            grams[1].update(zip(w, w[1:]))
+            grams[2].update(zip(w, w[1:], w[2:]))
+    n, v = sum(grams[0].values()), len(grams[0])
     context, kinds = collections.Counter(), collections.Counter()
-    for (u, _), c in pairs.items():
-        context[u] += c
-        kinds[u] += 1
-    one = lambda x: (counts[x] + 0.1) / (n + 0.1 * (v + 1))
+    for level in grams[1:]:
+        for g, c in level.items():
+            context[g[:-1]] += c
+            kinds[g[:-1]] += 1
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[0][g[0]] + 0.1) / (n + 0.1 * (v + 1))
+        own = g[:-1]
+        return max(grams[len(g) - 1][g] - 0.75, 0) / context[own] + 0.75 * kinds[own] / context[own] * p(g[1:]) if context[own] else p(g[1:])
+
+    fine = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.read.parquet(f"{data}/documents.parquet"), bits=16).collect()}
     for r in queries.op9_lm_scoring(spark, data).collect():
         w = words[r["doc_id"]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(counts[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10(one(x)) for x in w))
-        exact = sum(math.log10(max(pairs[u, x] - 0.75, 0) / context[u] + 0.75 * kinds[u] / context[u] * one(x) if context[u] else one(x)) for u, x in zip([0, *w[:-1]], w))
-        assert abs(r["score"] - exact) < 0.03 * len(w)
+        size = len(w) - 1
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], size, sum(grams[0][x] > 0 for x in w[1:]), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10(p((x,))) for x in w[1:]))
+        exact = sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(1, len(w)))
+        assert abs(fine[r["doc_id"]] - exact) < 1e-4 * size
+        assert abs(r["score"] - exact) < 0.02 * size
+
+
+def test_slices_within_a_context(spark, monkeypatch):
+    """A context with most of the n-grams is cut into slices, which change no probability."""
+    texts = [f"the w{k} x{k % 7}" for k in range(3000)] + ["a b"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    own = docs.select(F.col("text").cast("binary"))
+    model = lm.build(own)
+    firsts = [x[0] for x in model.levels[0].slices]
+    the = model.words.numbers([b"the"])[0]
+    assert sum(f // model.words.width == the for f in firsts) > 3
+    assert model.levels[0].weights(np.array([the]))[0] == pytest.approx(0.75, rel=0.02)
+    score = lm.log10_probabilities(model, [b"the w5 x5"])[3][0]
+    monkeypatch.setattr(lm, "BOUND_SAMPLE", 0)
+    assert score == pytest.approx(lm.log10_probabilities(lm.build(own), [b"the w5 x5"])[3][0], abs=0.1)
 
 
 def test_held_out_accuracy(spark):
