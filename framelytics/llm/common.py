@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder and runs in one process (tests).
 LOCAL_FOLDER = "file:///tmp/checkpoints/framelytics"
-#: A key is hot if it has more rows than all rows divided by this.
-HOT_SHARE = 1000
 _RUN = uuid.uuid4().hex[:12]
 
 
@@ -71,17 +69,9 @@ def table_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """The inner join by key, where a few keys may hold a large part of left.
-
-    right is read from a table, has each key once and a column n, left's rows of it. The keys
-    with over a HOT_SHARE-th of all rows, fewer than HOT_SHARE, are sent to all tasks, so no
-    row of left moves for them; the others are joined as usual. n goes.
-    """
-    bound = (right.agg(F.sum("n").alias("n")).first()["n"] or 0) / HOT_SHARE
-    hot = F.broadcast(right.where(F.col("n") > bound))  # fewer than HOT_SHARE rows
-    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= bound), key)
-    return left.join(hot, key).unionByName(rest).drop("n")
+def discard(path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    _remove(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

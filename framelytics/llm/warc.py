@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_hot, new_folder, staged
+from .common import new_folder, staged
 
 FRAME_BYTES, ARCHIVE_BYTES, LEVEL = 1 << 20, 64 << 20, 3
 #: Archives that a task reads, once there are enough for all cores.
@@ -172,8 +172,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     # Keys, not payloads, are shuffled by digest; a page finds its own decision by its row's key.
     keyed = whole.where(F.col("size") >= least_bytes).select("row", "id", "url", "digest")
     known = F.when(F.col("id").isNotNull(), F.struct("id", "row", "url"))
-    repeated = keyed.groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    fate = join_hot(keyed.select("row", "digest"), staged(repeated, "repeated"), "digest").where("row <> first.row").select("row", F.struct(F.col("first.row").alias("row"), F.col("first.id").cast("string").alias("id"), F.col("first.url").alias("url")).alias("refers_to"))
+    repeated = keyed.groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
+    fate = keyed.select("row", "digest").join(staged(repeated, "repeated"), "digest").where("row <> first.row").select("row", F.struct(F.col("first.row").alias("row"), F.col("first.id").cast("string").alias("id"), F.col("first.url").alias("url")).alias("refers_to"))
     rows = whole.join(staged(fate, "fates"), "row", "left").select("row", F.col("id").cast("string").alias("id"), "url", "payload", "digest", "refers_to")
     schema = "page_id string, record_id string, archive string, frame int, frame_start long, offset long, length long"
     return staged(rows.mapInArrow(_write(folder), schema), "index")
