@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule rejects a document on its own, so the verdict does not depend on their
-order. The order is chosen for cost: every rule is timed and counted on a bounded
-sample, and rules run by rejected documents per second, best first. The cascade is
-one CASE expression, so a rule's expression is evaluated only where all before it
-passed.
+order. The order is chosen for cost: on a bounded sample every rule is timed, less the
+time of a rule that does nothing, and which rules reject a row is counted together. Rules run by rejected documents per second, best first, where only
+documents count that the rules before let pass. The cascade is one CASE expression, so
+a rule's expression is evaluated only where all before it passed.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import where_late
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
-#: Partitions of the sample on which rules are timed.
-SAMPLE_PARTS = 6
+#: Times that a rule is timed, and the share of a second that is told apart.
+RUNS, TICK = 3, 0.02
 
 
 @dataclass(frozen=True)
@@ -80,8 +80,9 @@ def with_words(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
 def with_repeats(worded: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words within 5-word windows that occur twice or more.
 
-    Windows are compared by their 64-bit hashes. Only a text in which some hash
-    occurs twice is sorted, so most texts cost one pass; time is n log n at worst.
+    Windows are compared by their 64-bit hashes, and those of equal hashes by their words.
+    Only a text in which some hash occurs twice is sorted, so most texts cost one pass;
+    time is n log n at worst.
     """
     n = F.size("words")
     spots = F.sequence(F.lit(0), n - WINDOW)
@@ -90,7 +91,9 @@ def with_repeats(worded: DataFrame) -> DataFrame:
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     pairs = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     found = found.withColumn("pairs", F.when(F.col("windows").isNotNull() & repeats, pairs))
-    twice = F.filter("pairs", lambda e, i: F.coalesce((i > 0) & (F.get("pairs", i - 1)["h"] == e["h"]), F.lit(False)) | F.coalesce(F.get("pairs", i + 1)["h"] == e["h"], F.lit(False)))
+    words = lambda e: F.slice("words", e["i"] + 1, WINDOW)
+    same = lambda e, other: F.coalesce(F.when(other["h"] == e["h"], words(other) == words(e)), F.lit(False))
+    twice = F.filter("pairs", lambda e, i: same(e, F.get("pairs", i - 1)) | same(e, F.get("pairs", i + 1)))
     found = found.withColumn("spots", F.sort_array(F.transform(twice, lambda e: e["i"])))
     steps = F.transform("spots", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("spots", i + 1) - p, F.lit(WINDOW))))
     covered = F.aggregate(steps, F.lit(0), lambda a, x: a + x)
@@ -98,28 +101,44 @@ def with_repeats(worded: DataFrame) -> DataFrame:
 
 
 def cascade_order(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[Rule]:
-    """The rules by rejections per second on a random sample of about sample_rows rows.
+    """The rules by rejections per second on a random sample of about sample_rows rows, each by what those before it let pass.
 
-    The sample decides the order alone, never a verdict. An empty table keeps the
-    given order. Only sampled rows are moved, to a few partitions.
+    The sample decides the order alone, never a verdict. An empty table keeps the given
+    order. The sampled rows are one partition, so a rule is
+    timed in one task, over as many copies of them as make up sample_rows.
     """
     share = min(1.0, sample_rows / max(1, docs.count()))
-    few = docs.select(F.col(f"`{text_col}`").alias("text")).sample(share, seed=1).repartition(SAMPLE_PARTS)
+    few = docs.select(F.col(f"`{text_col}`").alias("text")).sample(share, seed=1).repartition(1)
     few = with_words(few, keep=[]).select("text", "words").persist()
     try:
-        if not few.count():
+        verdicts = few.select(F.concat(*[F.when(F.coalesce(rule.fails(), F.lit(False)), "1").otherwise("0") for rule in rules]).alias("v")) if rules else few.select(F.lit("").alias("v"))
+        counts = {r["v"]: r["count"] for r in verdicts.groupBy("v").count().collect()}  # at most two to the number of rules
+        if not counts:
             return list(rules)
-        told = []
-        for k, rule in enumerate(rules):
-            seconds = []
-            for _ in range(2):  # the first run also compiles
+        times = -(-sample_rows // sum(counts.values()))
+        copies = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+        def seconds(fails: Column) -> float:
+            took = []
+            for _ in range(RUNS):  # the first run also compiles
                 start = time.perf_counter()
-                rejected = few.agg(F.count_if(rule.fails()).alias("n")).first()["n"]
-                seconds.append(time.perf_counter() - start)
-            told.append((-(rejected + 0.5) / min(seconds), k, rule))
-        return [rule for _, _, rule in sorted(told, key=lambda x: x[:2])]
+                copies.agg(F.count_if(fails)).collect()
+                took.append(time.perf_counter() - start)
+            return min(took)
+
+        empty = seconds(F.col("copy") < 0)
+        # Costs within a tick of each other count as equal; then the rule that comes first in the table goes first.
+        cost = [1 + round(max(0.0, seconds(F.coalesce(rule.fails(), F.lit(False)) & (F.col("copy") > 0)) - empty) / TICK) for rule in rules]
     finally:
         few.unpersist()
+    left, order = list(range(len(rules))), []
+    while left:
+        rejected = {k: sum(n for v, n in counts.items() if v[k] == "1") for k in left}
+        best = max(left, key=lambda k: ((rejected[k] + 0.5) / cost[k], -k))
+        order.append(rules[best])
+        left.remove(best)
+        counts = {v: n for v, n in counts.items() if v[best] == "0"}
+    return order
 
 
 def failed_rule(order: list[Rule]) -> Column:
