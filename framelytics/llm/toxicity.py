@@ -5,8 +5,10 @@ linear classifier over words is trained in numpy on the risk
     prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
 with logistic l: the second term is the risk on clean text, corrected by the class prior;
 where a batch drives it below zero, the step goes the other way, which keeps a flexible
-model from fitting the positives alone. The score is the mean over a few classifiers,
-each trained against its own part of the unlabelled sample.
+model from fitting the positives alone. Every text that may be learned from is unlabelled
+text of one classifier: classifiers are trained by tasks, each against a shard of bounded
+size and all positives, and Spark averages their weights. Only the labelled positives are
+a bounded sample.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,31 +25,56 @@ from pyspark.sql import functions as F
 
 from .common import fold, staged
 
-#: The samples' bounds: positives and unlabelled documents, drawn by a hash of the id.
-POSITIVES, UNLABELLED = 3000, 9000
-MODELS, EPOCHS, BATCH, RATE, PENALTY = 3, 150, 1024, 0.03, 1e-4
-#: A word or prefix is a feature if it is in so many positives and surely likelier there than in unlabelled text.
-LEAST_POSITIVES, LEAST_RATIO, MOST_FEATURES = 4, 0.7, 4000
-PREFIXES = (4, 5, 6, 7)
+#: The bound of the labelled sample, drawn by a hash of the id, and unlabelled texts that a classifier is meant for.
+POSITIVES, SHARD_TEXTS = 3000, 4000
+EPOCHS, BATCH, RATE, PENALTY = 150, 1024, 0.03, 1e-4
+#: A feature is used if it is in more than so many positives, or no ratio could be told from chance, and surely so much likelier there.
+LEAST_POSITIVES, LEAST_RATIO = 4, 0.7
+#: Lengths of word beginnings that are features beside the words.
+BEGINNINGS = (4, 5, 6, 7)
+#: Words whose features a task remembers.
+REMEMBERED = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features_of(text: str | None) -> set[str]:
-    """The words of a text, and their first letters up to PREFIXES marked by a hyphen: many insults are inflected."""
-    words = set(WORD.findall(text.lower())) if text else set()
-    return words.union(*[{w[:n] + "-" for w in words if len(w) >= n} for n in PREFIXES])
+def features_of_word(word: str) -> list[str]:
+    """The word, and its beginnings marked by a hyphen: many insults are inflected."""
+    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n)]
+
+
+class Lookup(dict):
+    """The numbers of each word's features; features that aren't numbered have none."""
+
+    def __init__(self, numbers: dict[str, int]) -> None:
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = tuple(self.numbers[f] for f in features_of_word(word) if f in self.numbers)
+        return found
+
+    def of(self, text: str | None) -> list[int]:
+        """The numbers of the features of a whole text, each once."""
+        return sorted({k for w in set(WORD.findall(text.lower())) for k in self[w]}) if text else []
 
 
 @dataclass(frozen=True)
 class Model:
-    """The mean over classifiers of the logistic of the sum of a text's word weights. weights: a row of numbers per word, the bias under ''."""
+    """The logistic of the sum of a text's feature weights and the bias."""
+
+    numbers: dict[str, int]
+    weights: np.ndarray
+    bias: float
 
-    weights: dict[str, np.ndarray]
+    @cached_property
+    def _lookup(self) -> Lookup:
+        return Lookup(self.numbers)
 
     def score(self, text: str | None) -> float:
-        found = [self.weights[w] for w in features_of(text) if w in self.weights]
-        margins = np.sum(found, axis=0) + self.weights[""] if found else self.weights[""]
-        return float(np.mean(1 / (1 + np.exp(-np.clip(margins, -30, 30)))))
+        margin = self.bias + float(self.weights[self._lookup.of(text)].sum())
+        return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
 def _train_one(pos: np.ndarray, unl: np.ndarray, prior: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
@@ -78,74 +106,102 @@ def _train_one(pos: np.ndarray, unl: np.ndarray, prior: float, rng: np.random.Ge
     return w, float(b)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: list[str], scale: np.ndarray, prior: float, models: int = MODELS, seed: int = 0) -> Model:
-    """Texts are arrays of the numbers of their features; scale is how large each feature is."""
+def _rows(texts: list[bytes], scale: np.ndarray) -> np.ndarray:
+    """A row per text of feature numbers (32-bit): each feature as large as its scale."""
+    out = np.zeros((len(texts), len(scale)), np.float32)
+    for k, x in enumerate(texts):
+        at = np.frombuffer(x, "<i4")
+        out[k, at] = scale[at]
+    return out
 
-    def rows(texts: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(texts), len(words)), np.float32)
-        for k, x in enumerate(texts):
-            out[k, x] = scale[x]
-        return out
 
-    if not positive or not unlabelled or not words:
-        return Model({"": np.array([np.log(prior / (1 - prior))])})
-    rng, pos = np.random.default_rng(seed), rows(positive)
-    found = [_train_one(pos, rows(unlabelled[k::models] or unlabelled), prior, rng) for k in range(models)]
-    weights = {w: np.array([x[k] for x, _ in found]) * scale[k] for k, w in enumerate(words)}
-    return Model(weights | {"": np.array([b for _, b in found])})
+def _counted(texts: DataFrame, numbers, size: int) -> DataFrame:
+    """(k, n): in how many of the texts each numbered feature is. numbers: a broadcast; a task sends one row per feature."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, total = Lookup(numbers.value), np.zeros(size, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total[lookup.of(text)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0], pa.int64())], names=["k", "n"])
+
+    return texts.select("text").mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def select_features(chosen: DataFrame) -> list[tuple[str, float]]:
-    """At most MOST_FEATURES (feature, scale), counted over the sample (p, text) by Spark.
+def select_features(positive: DataFrame, unlabelled: DataFrame) -> list[tuple[str, float]]:
+    """(feature, scale): what is in enough positives and likelier there than in all unlabelled texts; both have a column text.
 
     A feature is as large as the low end of its log ratio between positives and unlabelled texts.
     """
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list[int]] = {}
-            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in features_of(text):
-                    found.setdefault(w, [0, 0])[not p] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([m for _, m in found.values()], pa.int64())], names=["w", "n", "m"])
-
-    sizes = chosen.agg(F.count_if("p").alias("n"), F.count_if(~F.col("p")).alias("m")).first()
-    total = chosen.mapInArrow(counts, "w string, n long, m long").groupBy("w").agg((F.sum("n") + 0.5).alias("n"), (F.sum("m") + 0.5).alias("m")).where(F.col("n") > LEAST_POSITIVES)
-    ratio = F.ln(F.col("n") / (sizes["n"] + 1)) - F.ln(F.col("m") / (sizes["m"] + 1)) - 1.64 * F.sqrt(1 / F.col("n") + 1 / F.col("m"))
-    best = total.select("w", ratio.alias("r")).where(F.col("r") > LEAST_RATIO).orderBy(F.desc("r"), "w").limit(MOST_FEATURES)
-    return [(x["w"], float(x["r"])) for x in best.collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+            own = [f for t in batch.column(0).to_pylist() for f in {f for w in set(WORD.findall((t or "").lower())) for f in features_of_word(w)}]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["w"])
+
+    counts = positive.select("text").mapInArrow(found, "w string").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_POSITIVES)
+    mine = {r["w"]: r["n"] for r in counts.collect()}  # at most the features of POSITIVES texts over LEAST_POSITIVES
+    if not mine:
+        return []
+    names = sorted(mine)
+    numbers = positive.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names)})
+    m = np.full(len(names), 0.5)
+    for r in _counted(unlabelled, numbers, len(names)).collect():
+        m[r["k"]] += r["n"]
+    n = np.array([mine[w] for w in names]) + 0.5
+    ratio = np.log(n / (positive.count() + 1)) - np.log(m / (unlabelled.count() + 1)) - 1.64 * np.sqrt(1 / n + 1 / m)
+    return [(w, float(r)) for w, r in zip(names, ratio) if r > LEAST_RATIO]
+
+
+def train(positive: list[bytes], unlabelled: DataFrame, names: list[str], scale: np.ndarray, prior: float) -> Model:
+    """positive: texts as feature numbers; unlabelled: a table (shard, x) of such. The mean of the shards' classifiers."""
+    bias = float(np.log(prior / (1 - prior)))
+    if not positive or not names:
+        return Model({}, np.zeros(0, np.float32), bias)
+    shared = unlabelled.sparkSession.sparkContext.broadcast((positive, scale))
+
+    def classifier(rows: pa.Table) -> pa.Table:
+        positive, scale = shared.value
+        w, b = _train_one(_rows(positive, scale), _rows(sorted(rows.column("x").to_pylist()), scale), prior, np.random.default_rng(rows.column("shard")[0].as_py()))
+        return pa.table({"w": pa.array([np.append(w * scale, b).astype(np.float64)], pa.list_(pa.float64()))})
+
+    found = unlabelled.groupBy("shard").applyInArrow(classifier, "w array<double>").select(F.posexplode("w").alias("k", "w")).groupBy("k").agg(F.avg("w").alias("w")).collect()
+    weights = np.zeros(len(names) + 1)
+    weights[-1] = bias
+    for r in found:
+        weights[r["k"]] = r["w"]
+    return Model({w: k for k, w in enumerate(names)}, weights[:-1], float(weights[-1]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable, positives: int = POSITIVES, shard_texts: int = SHARD_TEXTS) -> Model:
     """The prior is the share of toxic ones among all labelled, usable ids."""
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(usable(F.col("id")) & F.col("text").isNotNull())
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(usable(F.col("id")) & F.col("toxic").isNotNull())
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     prior = float(np.clip(((counts["toxic"] or 0) + 1) / (counts["n"] + 2), 1e-3, 0.5))
     order = F.xxhash64("id")
     toxic = marks.where("toxic = 1").orderBy(order, "id").limit(positives).select("id")
-    rate = min(1.0, 1.3 * unlabelled / max(1, docs.count()))
-    some = own.select("id").where(usable(F.col("id")) & (F.pmod(order, F.lit(1_000_000)) < rate * 1e6)).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(unlabelled)
-    # Both samples are bounded, so the texts are found by their ids in a map over the documents.
-    drawn = toxic.select("id", F.lit(True).alias("p")).union(some.select("id", F.lit(False).alias("p")))
-    chosen = staged(own.join(F.broadcast(drawn), "id").where("text IS NOT NULL").select("p", "text", "id"), "sample")
-    features = select_features(chosen)
-    numbers = chosen.sparkSession.sparkContext.broadcast({w: k for k, (w, _) in enumerate(features)})
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = numbers.value
+    # The ids are bounded by a parameter, so texts are found by them in a map over the documents; an id that repeats does not lift the bound.
+    chosen = staged(own.join(F.broadcast(toxic), "id").select("id", "text").orderBy(order, "id", F.xxhash64("text")).limit(positives).select("text"), "positives")
+    features = select_features(chosen, own)
+    names, scale = [w for w, _ in features], np.array([r for _, r in features], np.float32)
+    numbers = docs.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names)})
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(numbers.value)
         for batch in batches:
-            found = [np.array(sorted(at[w] for w in features_of(x) if w in at), "<i4").tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["p", "id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(lookup.of(x), "<i4").tobytes() for x in batch.column(0).to_pylist()], pa.binary())], names=["x"])
 
-    kind = own.schema["id"].dataType.simpleString()
-    rows = sorted(chosen.mapInArrow(known, f"p boolean, id {kind}, x binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))
-    pos, unl = ([np.frombuffer(r["x"], "<i4") for r in rows if r["p"] == p] for p in (True, False))
-    return train(pos, unl, [w for w, _ in features], np.array([r for _, r in features], np.float32), prior)
+    positive = sorted(r["x"] for r in chosen.mapInArrow(numbered, "x binary").collect())
+    if not positive or not names:
+        return train(positive, own, [], scale, prior)
+    table = staged(own.select("text").mapInArrow(numbered, "x binary").withColumn("row", F.monotonically_increasing_id()), "unlabelled")
+    shards = max(1, -(-table.count() // shard_texts))
+    return train(positive, table.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "x"), names, scale, prior)
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, positives: int = POSITIVES, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """Per row of docs: the id, held_out, score (0 to 1) and predicted (score >= 0.5).
 
     Learns from rows whose crc32(id as text) mod folds is not held, labels included. An id
@@ -155,7 +211,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the prior. Other columns are ignored.
     """
     usable = lambda c: (fold(c, folds) >= 0) & (fold(c, folds) != held)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, usable, positives, unlabelled))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, usable, positives, shard_texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
