@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, free_name
 
 UNKNOWN = "und"
 #: Language families by code; a language not listed is a family of its own.
@@ -32,8 +32,8 @@ FAMILIES = {
     "indo-aryan": ("hi", "ur", "bn", "pa", "mr", "gu", "ne"),
 }
 BUCKETS, ORDERS = 4096, (1, 2, 3)
-#: Training documents of each language at most; they are drawn by a hash of the text.
-PER_LANGUAGE = 1000
+#: The bounds of the labelled sample: different texts of each language, texts in all, and languages, those of most texts first.
+PER_LANGUAGE, IN_ALL, LANGUAGES = 1000, 20_000, 200
 EPOCHS, PENALTY = 30, 1e-4
 #: Scores are logistic in the margin times this.
 STEEPNESS = 4.0
@@ -196,16 +196,19 @@ def train(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Trained on at most per_language texts of each label; texts without a letter are left out."""
+    """Trained on at most per_language different texts of each label; texts without a letter are left out.
+
+    Texts are drawn by a hash; however often a text is repeated, it is one of them.
+    """
     labelled = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    keyed = labelled.select("lang", F.xxhash64("text").alias("k"))
-    # The least hashes of each language: max_by keeps no more than it returns, in each task.
-    least = keyed.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not least:
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
         return train(np.zeros((0, BUCKETS), np.float32), [])
-    shares = F.create_map(*[F.lit(x) for r in least for x in (r["lang"], float(2 * per_language / r["n"]))])
+    per_language = min(per_language, IN_ALL // len(counts))
+    # Twice as many as asked for, as the counts are estimates; at most LANGUAGES literals.
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(2 * per_language / max(1, r["n"])))])
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    drawn = labelled.where(chance < F.element_at(shares, F.col("lang")))
+    drawn = labelled.where(chance < F.element_at(shares, F.col("lang"))).groupBy("lang", F.xxhash64("text").alias("k")).agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +217,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
                 some = features(texts[at : at + 200])
                 yield pa.RecordBatch.from_arrays([pa.array(langs[at : at + 200]), pa.array([x.astype(np.float16).tobytes() for x in some], pa.binary())], names=["lang", "x"])
 
-    ranked = drawn.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"))).alias("r")).where(F.col("r") <= per_language)
+    ranked = drawn.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy("k")).alias("r")).where(F.col("r") <= per_language)
     rows = ranked.select("text", "lang").mapInArrow(vectors, "lang string, x binary").collect()
     rows = sorted((r for r in rows if any(r["x"])), key=lambda r: (family(r["lang"]), r["lang"], bytes(r["x"])))
     x = np.empty((len(rows), BUCKETS), np.float32)
@@ -225,8 +228,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     return train(x, langs)
 
 
-def predicted(docs: DataFrame, model: Model, text_col: str, carry: list[str], strict: bool = False) -> DataFrame:
-    """The columns to carry, then _lang and _score. If strict, an unfamiliar text gets `und` and score 0."""
+def predicted(docs: DataFrame, model: Model, text_col: str, carry: list[str], names: tuple[str, str], strict: bool = False) -> DataFrame:
+    """The columns to carry, then language and score by these names. If strict, an unfamiliar text gets `und` and score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     taken = docs.select(*[F.col(f"`{c}`") for c in carry])
 
@@ -243,10 +246,10 @@ def predicted(docs: DataFrame, model: Model, text_col: str, carry: list[str], st
                     found += [p if ok and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t, p, ok in zip(part, told, known)]
                     start, size = k, 0
                 size += len(text or "")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names[:-1], "_lang", "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names[:-1], *names])
 
-    schema = T.StructType([*taken.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([*taken.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias(free_name(taken, "whole"))).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -260,8 +263,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     at = fold(F.col(f"`{id_col}`"), folds)
     model = fit(docs.where((at >= 0) & (at != held)), text_col, lang_col, per_language)
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), (at == held).alias("held_out"))
-    found = predicted(slim, model, "text", ["id", "held_out"])
-    return found.select(F.col("id").alias(id_col), "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    found = predicted(slim, model, "text", ["id", "held_out"], ("lang_pred", "score"))
+    return found.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")
 
 
 def keep_recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: float = 0.1, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -271,5 +274,6 @@ def keep_recognised(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     the nearest one.
     """
     model = fit(docs, text_col, lang_col, per_language)
-    found = predicted(docs, model, text_col, docs.columns, strict=True)
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
+    lang, score = free_name(docs, "lang_found"), free_name(docs, "score_found")
+    found = predicted(docs, model, text_col, docs.columns, (lang, score), strict=True)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select([F.col(f"`{c}`") for c in docs.columns])
