@@ -8,9 +8,10 @@ of codewords. A fingerprint goes once to its home anchor and is replicated to ev
 anchor within covering radius plus threshold that can be the home of a fingerprint so
 close; each home is then compared with the replicas at its anchor only.
 
-Only distinct fingerprints are replicated, so copies cost nothing. An anchor that would
-hold many is split into a grid of cells. Tasks return a spanning forest of the links
-that they find, not the links, and components are merged by joins.
+Only distinct fingerprints are replicated, so copies cost nothing; each gives about 137
+rows of 16 bytes over the three tables. An anchor that would hold many is split into a
+grid of cells. Tasks return a spanning forest of the links that they find, not the links,
+and components are merged by joins of tables, whose hot keys Spark splits as it runs.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import discard, free_name, new_folder, staged, table_at
 
 SHINGLE, BITS, SEED = 4, 4, 42
 BLOCKS = (22, 21, 21)
@@ -35,8 +36,9 @@ BLOCKS = (22, 21, 21)
 #: block, and one that the second misses too in at most 1 of the second.
 TABLES = ((0, 1, 2, 2), (0, 2, 2, 1), (1, 2, 1, 1))
 GOLAY = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
-#: Fingerprints sampled to find crowded anchors (this decides the cells, never a result) and rows a cell should hold.
-CROWD_SAMPLE, CELL_ROWS = 20_000, 50_000
+#: Rows that a cell should hold. Anchors are counted on a share of the fingerprints of which so many rows would fall into a
+#: full cell, whatever the size of the input; this decides the cells, never a result.
+CELL_ROWS, CROWD_HITS = 50_000, 50
 #: Pairs compared at once in a task.
 PAIRS = 2_000_000
 DIGESTS = 65_536
@@ -260,13 +262,11 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """
     if bits > BITS:
         raise ValueError("the tables cover up to 4 bits")
-    total = fps.count()
-    share = min(1.0, CROWD_SAMPLE / max(1, total))
+    share = min(1.0, CROWD_HITS / CELL_ROWS)
     none = np.empty(0, np.int64)
-    some = fps.sample(share, seed=1).limit(2 * CROWD_SAMPLE).mapInArrow(_replicate(none, none), "key long, fp long")
-    # Each sampled fingerprint has under 200 rows, so at most 2 * 200 anchors for each percent asked for can be crowded.
-    least = max(20, CROWD_SAMPLE // 1000)
-    found = some.groupBy(F.shiftright("key", 1).alias("anchor")).count().where(F.col("count") >= least).where(F.col("count") * F.lit(1 / share) > CELL_ROWS).collect()
+    some = fps.sample(share, seed=1).mapInArrow(_replicate(none, none), "key long, fp long")
+    # A crowded anchor has over CELL_ROWS rows and each fingerprint about 137, so there is at most one for each CELL_ROWS / 137.
+    found = some.groupBy(F.shiftright("key", 1).alias("anchor")).count().where(F.col("count") * F.lit(1 / share) > CELL_ROWS).collect()
     found = sorted((r["anchor"], math.ceil(r["count"] / share / CELL_ROWS)) for r in found)
     crowded, sides = np.array([a for a, _ in found], np.int64), np.array([s for _, s in found], np.int64)
     rows = fps.mapInArrow(_replicate(crowded, sides), "key long, fp long")
@@ -280,26 +280,36 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is a table in the shared folder; it ends when a round changes nothing.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before, edges = None, staged(edges, "links")
+    spark, before = edges.sparkSession, None
+    paths = [new_folder(spark, "links")]
+    edges = table_at(edges, paths[0])
+
+    def table(df: DataFrame) -> DataFrame:
+        paths.append(new_folder(spark, "links"))
+        return table_at(df, paths[-1])
+
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
         before = now
+        # Both sides of a join are read from tables: an aggregation next to it would keep a hot key in one task.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = table(large.where("u <> v").distinct())
+        least = table(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = table(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        while len(paths) > 1:
+            discard(paths.pop(0))
 
 
 def _rooted(prints: DataFrame, key: str, bits: int) -> DataFrame:
-    """(fp, root, key): of each distinct fp of prints its component's root and its least key."""
+    """(fp, root, key), a table: of each distinct fp of prints its component's root and its least key."""
     nodes = staged(prints.groupBy("fp").agg(F.min(key).alias(key)), "distinct")
-    merged = staged(components(links(nodes.select("fp"), bits)), "components")
-    return nodes.join(merged, nodes["fp"] == merged["node"], "left").select("fp", F.coalesce("least", "fp").alias("root"), key)
+    merged = components(links(nodes.select("fp"), bits))
+    return staged(nodes.join(merged, nodes["fp"] == merged["node"], "left").select("fp", F.coalesce("least", "fp").alias("root"), key), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -315,9 +325,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = slim.schema["id"].dataType.simpleString()
     prints = staged(slim.mapInArrow(_fingerprints, f"id {kind}, fp long"), "fingerprints")
     rooted = _rooted(prints, "id", bits)
-    # The least id of each component of two or more; most fingerprints are alone.
-    lows = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "component_id")
+    lows = staged(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "lows")
+    named = staged(rooted.join(lows, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -327,11 +336,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are told apart by a key that is written with them, so rows that share an id, or
     have none, each stand or fall by their own text; among equal ids the least key stays.
     """
-    keyed = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    own = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("_row").alias("row"))
+    key = free_name(docs, "row")
+    keyed = staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    own = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(key).alias("row"))
     slim = keyed.select(own.alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     schema = T.StructType([slim.schema["id"], T.StructField("fp", T.LongType())])
     prints = staged(slim.mapInArrow(_fingerprints, schema), "fingerprints")
-    first = _rooted(prints, "id", bits).groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.row").alias("_row"))
-    later = staged(prints.select(F.col("id.row").alias("_row")).join(staged(first, "first"), "_row", "left_anti"), "later")
-    return keyed.join(later, "_row", "left_anti").select(docs.columns)
+    first = _rooted(prints, "id", bits).groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.row").alias(key))
+    later = staged(prints.select(F.col("id.row").alias(key)).join(staged(first, "first"), key, "left_anti"), "later")
+    return keyed.join(later, key, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
