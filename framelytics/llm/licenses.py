@@ -5,11 +5,14 @@ normalised sentences have identifiers; the sequence of identifiers in a text, un
 sentences left out, is matched against ordered licence rules. A rule that matches
 takes its identifiers out of the sequence, so that a later, weaker rule doesn't see
 them. Sentences are known also where lines wrap within them, with or without comment
-prefixes. Everything is one map over the rows; the tables are literals.
+prefixes; names of licences are known within any sentence that puts something under
+them, and tags of SPDX with their expressions. Everything is one map over the rows; the
+tables are literals.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -79,8 +82,64 @@ FILE_SENTENCES = {
     "CCBYSAShort": ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
     "CCBYNCShort": ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
     "CC0Short": ("CC0 1.0 Universal",),
+    "GPL3Later": ("either version 3 of the License, or (at your option) any later version",),
+    "LGPLTerms": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
+    "LGPL21Later": ("either version 2.1 of the License, or (at your option) any later version",),
+    "LGPL3Free": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "LGPLSee": ("See the GNU Lesser General Public License for more details",),
+    "LGPL21Title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "LGPL3Title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "AGPL3Free": ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "AGPLSee": ("See the GNU Affero General Public License for more details",),
+    "AGPL3Title": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "GPLHope": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    "BSDDisclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+        "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+        "THIS SOFTWARE IS PROVIDED BY THE AUTHOR \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    ),
+    "ISCPermission": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "ISCAsIs": ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",),
+    "EPL2Available": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    "UnlicenseFree": ("This is free and unencumbered software released into the public domain",),
+    "ZlibAsIs": ("This software is provided 'as-is', without any express or implied warranty",),
+    "ZlibPermission": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
+    "BoostShort": ("Distributed under the Boost Software License, Version 1.0",),
 }
+#: Rules that come before RULES, as they take more sentences.
+LONG_RULES = (
+    ("BSD-3-Clause", ("BSDRedistribution", "BSDSource", "BSDBinary", "BSDEndorse", "BSDDisclaimer")),
+    ("BSD-2-Clause", ("BSDRedistribution", "BSDSource", "BSDBinary", "BSDDisclaimer")),
+    ("LGPL-2.1-or-later", ("LGPLTerms", "LGPL21Later", "GPLHope", "GPLNoWarranty", "LGPLSee")),
+    ("LGPL-2.1-or-later", ("LGPLTerms", "LGPL21Later", "GPLHope", "LGPLSee")),
+    ("LGPL-2.1-or-later", ("LGPLTerms", "LGPL21Later", "GPLNoWarranty", "LGPLSee")),
+    ("LGPL-3.0-or-later", ("LGPL3Free", "GPLHope", "GPLNoWarranty", "LGPLSee")),
+    ("LGPL-3.0-or-later", ("LGPL3Free", "GPLHope", "LGPLSee")),
+    ("LGPL-3.0-or-later", ("LGPL3Free", "GPLNoWarranty", "LGPLSee")),
+    ("AGPL-3.0-or-later", ("AGPL3Free", "GPLHope", "GPLNoWarranty", "AGPLSee")),
+    ("AGPL-3.0-or-later", ("AGPL3Free", "GPLHope", "AGPLSee")),
+    ("AGPL-3.0-or-later", ("AGPL3Free", "GPLNoWarranty", "AGPLSee")),
+    ("GPL-2.0-or-later", ("GPLTerms", "GPL2Later", "GPLHope", "GPLNoWarranty", "GPLSee")),
+    ("GPL-2.0-or-later", ("GPLTerms", "GPL2Later", "GPLHope", "GPLSee")),
+    ("GPL-3.0-or-later", ("GPLTerms", "GPL3Later", "GPLHope", "GPLNoWarranty", "GPLSee")),
+    ("GPL-3.0-or-later", ("GPLTerms", "GPL3Later", "GPLHope", "GPLSee")),
+    ("GPL-3.0-or-later", ("GPLFree", "GPLHope", "GPLNoWarranty", "GPLSee")),
+    ("GPL-3.0-or-later", ("GPLFree", "GPLHope", "GPLSee")),
+    ("ISC", ("ISCPermission", "ISCAsIs")),
+    ("Zlib", ("ZlibAsIs", "ZlibPermission")),
+)
 FILE_RULES = (
+    ("LGPL-2.1-or-later", ("LGPLTerms", "LGPL21Later")),
+    ("LGPL-3.0-or-later", ("LGPL3Free",)),
+    ("AGPL-3.0-or-later", ("AGPL3Free",)),
+    ("LGPL-2.1-only", ("LGPL21Title",)),
+    ("LGPL-3.0-only", ("LGPL3Title",)),
+    ("AGPL-3.0-only", ("AGPL3Title",)),
+    ("ISC", ("ISCPermission",)),
+    ("Zlib", ("ZlibPermission",)),
+    ("EPL-2.0", ("EPL2Available",)),
+    ("Unlicense", ("UnlicenseFree",)),
+    ("BSL-1.0", ("BoostShort",)),
     ("GPL-2.0-or-later", ("GPLTerms", "GPL2Later", "GPLNoWarranty", "GPLSee")),
     ("GPL-2.0-or-later", ("GPLTerms", "GPL2Later")),
     ("Apache-2.0", ("ApacheTitle",)),
@@ -88,6 +147,31 @@ FILE_RULES = (
     ("GPL-3.0-only", ("GPL3Title",)),
 )
 
+#: Licence -> its names, as texts put things under them, in normal form.
+NAMES = {
+    "MIT": ("mit license", "mit licence"),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache software license version 2 0"),
+    "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"),
+    "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
+    "BSD": ("bsd license",),
+    "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2", "gpl version 2", "gpl v2", "gplv2"),
+    "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license v3", "gpl version 3", "gpl v3", "gplv3"),
+    "LGPL-2.1-only": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "lgpl version 2 1", "lgpl v2 1", "lgplv2 1"),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3", "gnu lesser general public license v3", "lgpl version 3", "lgpl v3", "lgplv3"),
+    "AGPL-3.0-only": ("gnu affero general public license version 3", "gnu affero general public license v3", "agpl version 3", "agpl v3", "agplv3"),
+    "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"),
+    "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license v2 0", "eclipse public license 2 0"),
+    "EPL-1.0": ("eclipse public license version 1 0", "eclipse public license v1 0", "eclipse public license 1 0"),
+    "ISC": ("isc license",),
+    "Zlib": ("zlib license",),
+    "Unlicense": ("unlicense",),
+    "BSL-1.0": ("boost software license version 1 0",),
+}
+#: Identifiers of SPDX.
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "Unlicense", "WTFPL", "BSL-1.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Artistic-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later")
+TAG = "spdx license identifier"
+UNDER = "under (?:the )?(?:terms of the )?"
+
 #: Marks that end a sentence; those that start a line are comment prefixes.
 MARKS = r"[.!?:;]+(?<!\n[ \t]{0,8}[.!?:;]{1,4})(?:\s+|$)"
 #: Prefixes that are words, over lines that hold nothing else too.
@@ -105,10 +189,32 @@ def _plain(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
-def _known_pattern(known: dict[str, str]) -> str:
-    """Finds each known sentence between two ends of sentences or lines; lines may end within it. Longer ones come first."""
-    forms = "|".join(s.replace(" ", rf"[ \n]++{PREFIX}") for s in sorted(known, key=len, reverse=True))
-    return rf"[\u0001\n] ?{PREFIX}(?:{forms})(?= ?[\u0001\n])"
+def _gap(pattern: str) -> str:
+    """The pattern with each space as a gap that a line may end in."""
+    return pattern.replace(" ", rf"[ \n]++{PREFIX}")
+
+
+def _any_of(forms: Iterable[str]) -> str:
+    return "(?:" + "|".join(_gap(s) for s in sorted(forms, key=len, reverse=True)) + ")"
+
+
+def _known_pattern(sentences: Iterable[str]) -> str:
+    """Finds each known sentence between two ends of sentences or lines; lines may end within it. Longer ones come first.
+
+    Finds names of licences within sentences too, and tags with each identifier of their expression.
+    """
+    whole = rf"[\u0001\n] ?{PREFIX}{_any_of(sentences)}(?= ?[\u0001\n])"
+    named = rf"(?<![a-z0-9]){_gap(UNDER)}{_any_of(n for names in NAMES.values() for n in names)}(?![a-z0-9])"
+    tags = _any_of(_plain(x) for x in SPDX)
+    return rf"{whole}|{named}|{TAG} ?\u0001? ?{tags}(?![a-z0-9])|\G (?:or|and) {tags}(?![a-z0-9])"
+
+
+def _named() -> tuple[dict[str, str], list[tuple[str, tuple[str]]]]:
+    """What _known_pattern finds beside whole sentences -> identifier, and a rule for each."""
+    table = {f"under {n}": f"Under{licence}" for licence, names in NAMES.items() for n in names}
+    table |= {f"{lead} {_plain(x)}": f"Spdx{x}" for lead in (TAG, "or", "and") for x in SPDX}
+    only = {x: f"{x}-only" if f"{x}-only" in SPDX else x for x in SPDX}  # names without an ending are old ones
+    return table, [(x, (f"Under{x}",)) for x in NAMES] + [(only[x], (f"Spdx{x}",)) for x in SPDX]
 
 
 def known_sentences(table: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
@@ -134,15 +240,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     their row; an empty table gives an empty result; other columns are ignored.
     """
     known = known_sentences(FILE_SENTENCES) | known_sentences()
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
+    named, named_rules = _named()
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((known | named).items())])
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = docs.select(F.col(f"`{id_col}`").alias("id"), marked(text).alias("marked"))
     sentences = F.filter(F.split("marked", "[\u0001\n]"), lambda s: F.trim(s) != "")
     hits = F.regexp_extract_all("marked", F.lit(_known_pattern(known)), F.lit(0))
-    ids = F.transform(hits, lambda s: F.element_at(table, F.trim(F.regexp_replace(s, rf"[ \u0001\n]+{PREFIX}", " "))))
+    plain = lambda s: F.trim(F.regexp_replace(s, rf"[ \u0001\n]+{PREFIX}", " "))
+    ids = F.transform(hits, lambda s: F.element_at(table, F.regexp_replace(plain(s), f"^{UNDER}", "under ")))
     found = found.select("id", F.size(sentences).cast("long").alias("n_sentences"), ids.alias("ids"))
     found = found.withColumn("left0", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")))
-    licences, rules = [], RULES + FILE_RULES
+    licences, rules = [], [*LONG_RULES, *RULES, *FILE_RULES, *named_rules]
     for k, (licence, names) in enumerate(rules):
         sequence = "," + ",,".join(names) + ","
         found = found.withColumn(f"left{k + 1}", F.replace(F.col(f"left{k}"), F.lit(sequence), F.lit("")))

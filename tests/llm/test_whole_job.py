@@ -118,3 +118,29 @@ def test_wrapped_licences_are_recognised(spark):
     found = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert {r["doc_id"]: r["licences"] for r in found} == {k: k.split("/")[0] for k, _ in rows}
     assert {r["doc_id"] for r in found if r["unexplained"]} == set()
+
+
+LGPL = GPL2.replace("This program", "This library").replace("General Public", "Lesser General Public").replace("version 2 of", "version 2.1 of")
+PROBES = {
+    "apache": (APACHE, "Apache-2.0"),
+    "apache commented": (re.sub("^", "# ", APACHE, flags=re.M), "Apache-2.0"),
+    "mit with title": ("MIT License\n\n" + MIT, "MIT"),
+    "mit without title": (MIT, "MIT"),
+    "lgpl": (LGPL, "LGPL-2.1-or-later"),
+    "gpl 2 or later": (GPL2, "GPL-2.0-or-later"),
+    "spdx": ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+    "embedded": ("The code is licensed under the MIT License and provided as is.", "MIT"),
+    "spdx expression": ("# SPDX-License-Identifier: (Apache-2.0 OR MIT)\n", "MIT,Apache-2.0"),
+    "spdx old name": ("SPDX-License-Identifier: GPL-3.0", "GPL-3.0-only"),
+    "embedded wrapped": ("This tool is released under the terms of the\n * GNU Affero General Public License version 3, see\n * the file", "AGPL-3.0-only"),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    "bsd with disclaimer": (BSD3 + '\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.', "BSD-3-Clause"),
+    "not a licence": ("The bridge under the MIT campus and the public license of a driver.", ""),
+}
+
+
+def test_notices_of_files(spark):
+    found = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in PROBES.items()], "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["licences"] for r in found} == {k: x for k, (_, x) in PROBES.items()}
+    assert {r["doc_id"]: r["unexplained"] for r in found if r["unexplained"]} == {}
