@@ -69,3 +69,31 @@ def hz_to_mel(hz: Column) -> Column:
 def metres(pixels: Column, side: float, angle: float, distance: float) -> Column:
     """A length in pixels at a distance, from the camera's angle of view over a side of so many pixels."""
     return pixels / (((side / 2) / F.tan(F.lit(angle / 2))) / distance)
+
+
+def scale_array(df, keys: list[str], value: str, out_low: float, out_high: float):
+    """df with value scaled, per keys, so that its least becomes out_low and its greatest out_high; where all are equal, out_low."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) * (out_high - out_low) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0) + out_low
+    return df.join(ends, keys).withColumn(value, scaled).drop("_lo", "_hi")
+
+
+def scale_boxes(boxes, scale: float):
+    """Boxes grown on each side by scale - 1 times their own side, to whole pixels, halves to even."""
+    w, h = (F.col("x2") - F.col("x1")) * (scale - 1), (F.col("y2") - F.col("y1")) * (scale - 1)
+    grown = {"x1": F.col("x1") - w, "y1": F.col("y1") - h, "x2": F.col("x2") + w, "y2": F.col("y2") + h}
+    return boxes.withColumns({k: F.rint(v).cast("int") for k, v in grown.items()})
+
+
+def skip_factors(width: Column, height: Column, frames: Column) -> tuple[Column, Column]:
+    """Of how many frames one has to be taken, so that grams along x and along y stay within the size of a signed 32-bit image."""
+    most = 2147483647
+    x = F.ceil(frames * 8 / (most / (height + 128.0) - 1024))
+    y = F.ceil(frames / (most / (width * 8 + 1024.0) - 128))
+    return x.cast("long"), y.cast("long")
+
+
+def frame_groups(frames: int, parts: int) -> list[tuple[int, int]]:
+    """(first, count) of so many runs of frames; each but the last has one frame more, which the next begins with."""
+    size = -(-frames // parts)
+    return [(k, min(size, frames - k) + (k + size < frames)) for k in range(0, frames, size)]

@@ -6,7 +6,7 @@ frames come before windows, as a filter does not pass below a lag.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 FRAME, PIXEL = ["media_id", "frame_idx"], ["media_id", "y", "x"]
@@ -26,6 +26,40 @@ def skip(px: DataFrame, n: int) -> DataFrame:
     return px.where(F.col("frame_idx") % (n + 1) == 0).withColumn("frame_idx", F.floor(F.col("frame_idx") / (n + 1)).cast("int"))
 
 
+def frame_at(px: DataFrame, frame: int | None = None, time: float | None = None, fps: float = 25.0) -> DataFrame:
+    """One frame of each clip, by number or by time in seconds."""
+    if (frame is None) == (time is None):
+        raise ValueError("give either a frame or a time")
+    return px.where(F.col("frame_idx") == (frame if frame is not None else int(round(time * fps))))
+
+
+def keyframes(px: DataFrame, coded: DataFrame) -> DataFrame:
+    """The frames that are coded whole (type I), numbered anew. coded: (media_id, frame_idx, type), each frame once."""
+    own = coded.where("type = 'I'").select("media_id", "frame_idx")
+    order = Window.partitionBy("media_id").orderBy("frame_idx")
+    numbered = own.withColumn("k", F.row_number().over(order) - 1)
+    return px.join(numbered, FRAME).select("media_id", F.col("k").alias("frame_idx"), "y", "x", "v")
+
+
+def rotate(px: DataFrame, angle: float, width: int, height: int, fill: int = 0) -> DataFrame:
+    """Turned clockwise by so many radians about the centre, on the same canvas: each place shows the nearest source pixel, or fill.
+
+    The map of places is as large as a frame, whatever the number of frames.
+    """
+    import math
+
+    cx, cy, c, s = (width - 1) / 2, (height - 1) / 2, math.cos(angle), math.sin(angle)
+    places = lambda id_: ((id_ % width).cast("int").alias("x"), F.floor(id_ / width).cast("int").alias("y"))
+    dx, dy = F.col("x") - cx, F.col("y") - cy
+    # A nudge decides halves the same way on every machine.
+    source = {"sx": F.floor(dx * c + dy * s + cx + 0.5 + 1e-9).cast("int"), "sy": F.floor(dy * c - dx * s + cy + 0.5 + 1e-9).cast("int")}
+    every = px.sparkSession.range(width * height).select(*places(F.col("id"))).withColumns(source)
+    turned = px.withColumnsRenamed({"y": "sy", "x": "sx"}).join(F.broadcast(every), ["sy", "sx"]).select(*FRAME, "y", "x", "v")  # a row a pixel of one frame
+    outside = px.where("y = 0 AND x = 0").select(*FRAME, F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("id")).select(*FRAME, *places(F.col("id"))).withColumns(source)
+    outside = outside.where(~(F.col("sx").between(0, width - 1) & F.col("sy").between(0, height - 1))).select(*FRAME, "y", "x", F.lit(fill).cast(px.schema["v"].dataType).alias("v"))
+    return turned.unionByName(outside)
+
+
 def fixed_frames(px: DataFrame, frames: int) -> DataFrame:
     """Each clip resampled to so many frames: output k shows frame floor(k * length / frames)."""
     length = px.groupBy("media_id").agg((F.max("frame_idx") + 1).alias("len"))
@@ -75,39 +109,66 @@ def threshold(px: DataFrame, thresh: float, binary: bool = False) -> DataFrame:
     return px.withColumn("v", F.when(F.col("v") > thresh * 255, F.lit(255) if binary else F.col("v")).otherwise(0))
 
 
-def _shifted(px: DataFrame, k: int) -> DataFrame:
-    """Each pixel's value at all places of its k x k neighbourhood; k * k rows a pixel."""
-    r = k // 2
-    step = lambda name: F.explode(F.sequence(F.lit(-r), F.lit(r))).alias(name)
-    spread = px.select("*", step("dy")).select("*", step("dx"))
-    return spread.select("media_id", "frame_idx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
+def _around(k: int) -> tuple[WindowSpec, WindowSpec]:
+    """Windows over k places of a row and of a column of a frame; an even k has one more before than after."""
+    before, after = k // 2, k - 1 - k // 2
+    along, down = Window.partitionBy(*FRAME, "y").orderBy("x"), Window.partitionBy(*FRAME, "x").orderBy("y")
+    return along.rangeBetween(-before, after), down.rangeBetween(-before, after)
 
 
-def neighbourhood(px: DataFrame, value: Column, k: int, width: int, height: int) -> DataFrame:
-    """value: an aggregate over the values `v` within k x k around each pixel, those outside the frame left out."""
-    inside = _shifted(px, k).where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
-    return inside.groupBy(*FRAME, "y", "x").agg(value.alias("v"))
+def box_sums(px: DataFrame, k: int, **values: Column) -> DataFrame:
+    """px with the sum of each value over k x k around each pixel, and n, how many of these places are inside; one axis after the other."""
+    along, down = _around(k)
+    values = {**values, "n": F.lit(1)}
+    once = px.select("*", *[F.sum(v).over(along).alias(f"_{name}") for name, v in values.items()])
+    return once.select(*px.columns, *[F.sum(f"_{name}").over(down).alias(name) for name in values])
 
 
-def erode(px: DataFrame, k: int, width: int, height: int) -> DataFrame:
-    return neighbourhood(px, F.min("v"), k, width, height)
+def erode(px: DataFrame, k: int) -> DataFrame:
+    along, down = _around(k)
+    return px.withColumn("v", F.min("v").over(along)).withColumn("v", F.min("v").over(down))
 
 
-def median(px: DataFrame, k: int, width: int, height: int) -> DataFrame:
-    """k x k median with zeros outside the frame."""
-    found = F.sort_array(F.concat(F.collect_list("v"), F.array_repeat(F.lit(0), k * k - F.count("v").cast("int"))))
-    return neighbourhood(px, F.get(found, F.lit(k * k // 2)), k, width, height)
+def median(px: DataFrame, k: int) -> DataFrame:
+    """k x k median with zeros outside the frame. Values are gathered along rows, then the gathered along columns."""
+    along, down = _around(k)
+    near = px.withColumn("near", F.collect_list("v").over(along)).withColumn("near", F.flatten(F.collect_list("near").over(down)))
+    padded = F.sort_array(F.concat("near", F.array_repeat(F.lit(0).cast(px.schema["v"].dataType), k * k - F.size("near"))))
+    return near.withColumn("v", F.get(padded, F.lit(k * k // 2))).drop("near")
 
 
-def box_blur(px: DataFrame, k: int, width: int, height: int) -> DataFrame:
+def box_blur(px: DataFrame, k: int) -> DataFrame:
     """Mean over the k x k places that are inside, whole part."""
-    return neighbourhood(px, F.floor(F.sum("v") / F.count("v")).cast("int"), k, width, height)
+    return box_sums(px, k, s=F.col("v")).withColumn("v", F.floor(F.col("s") / F.col("n")).cast("int")).drop("s", "n")
 
 
-def adaptive_mean(px: DataFrame, k: int, c: int, width: int, height: int) -> DataFrame:
+def adaptive_mean(px: DataFrame, k: int, c: int) -> DataFrame:
     """255 where a pixel exceeds its neighbourhood's mean less c."""
-    mean = neighbourhood(px, F.avg("v"), k, width, height).withColumnRenamed("v", "mean")
-    return px.join(mean, [*FRAME, "y", "x"]).select(*FRAME, "y", "x", F.when(F.col("v") > F.col("mean") - c, 255).otherwise(0).alias("v"))
+    return box_sums(px, k, s=F.col("v")).withColumn("v", F.when(F.col("v") > F.col("s") / F.col("n") - c, 255).otherwise(0)).drop("s", "n")
+
+
+def gaussian_weights(k: int) -> list[float]:
+    """Weights of k places that add up to 1; the deviation grows with k in the usual way of image libraries."""
+    import math
+
+    sigma = 0.3 * ((k - 1) * 0.5 - 1) + 0.8
+    raw = [math.exp(-((i - (k - 1) / 2) ** 2) / (2 * sigma * sigma)) for i in range(k)]
+    return [x / sum(raw) for x in raw]
+
+
+def _smoothed(px: DataFrame, value: str, line: str, at: str, k: int) -> DataFrame:
+    """value as its weighted mean along the axis `at`, edge values going on beyond the frame. A row or a column is one array."""
+    lines = px.groupBy(*FRAME, line).agg(F.array_sort(F.collect_list(F.struct(at, value, *[c for c in px.columns if c not in (*FRAME, line, at, value)]))).alias("cells"))
+    level = lambda i: F.get("cells", F.least(F.greatest(i, F.lit(0)), F.size("cells") - 1))[value]
+    mean = lambda cell, i: cell.withField(value, sum((w * level(i + j - k // 2) for j, w in enumerate(gaussian_weights(k))), F.lit(0.0)))
+    return lines.select(*FRAME, line, F.explode(F.transform("cells", mean)).alias("cell")).select(*FRAME, line, "cell.*")
+
+
+def adaptive_gaussian(px: DataFrame, k: int = 11, c: int = 2) -> DataFrame:
+    """255 where a pixel exceeds the rounded Gaussian mean around it less c."""
+    both = px.select(*FRAME, "y", "x", "v", F.col("v").cast("double").alias("mean"))
+    both = _smoothed(_smoothed(both, "mean", "y", "x", k), "mean", "x", "y", k)
+    return both.select(*FRAME, "y", "x", F.when(F.col("v") - F.rint("mean") > -c, 255).otherwise(0).alias("v"))
 
 
 def subtract_background(px: DataFrame, thresh: float) -> DataFrame:
@@ -176,18 +237,60 @@ def blend(px: DataFrame) -> DataFrame:
     return px.groupBy(*PIXEL).agg(F.avg("v").alias("average"), F.max("v").alias("lighten"), F.min("v").alias("darken"))
 
 
-def history(px: DataFrame, weights: list[float], fixed: bool = False) -> DataFrame:
-    """Whole weighted mean of a frame and those before it, newest weight first.
-
-    The weights of frames that exist are used, or with fixed all of them.
-    """
+def history(px: DataFrame, weights: list[float]) -> DataFrame:
+    """Whole weighted mean of a frame and those before it that exist, newest weight first."""
     order = Window.partitionBy(*PIXEL).orderBy("frame_idx")
     terms = [(w, F.lag("v", k).over(order)) for k, w in enumerate(weights)]
     total = sum((F.coalesce(w * t, F.lit(0.0)) for w, t in terms), F.lit(0.0))
-    mass = F.lit(float(sum(weights))) if fixed else sum((F.when(t.isNotNull(), F.lit(float(w))).otherwise(0.0) for w, t in terms), F.lit(0.0))
+    mass = sum((F.when(t.isNotNull(), F.lit(float(w))).otherwise(0.0) for w, t in terms), F.lit(0.0))
     return px.select(*FRAME, "y", "x", F.floor(total / mass).cast("int").alias("v"))
 
 
+def blend_pyramid(px: DataFrame, mode: str = "average") -> DataFrame:
+    """(media_id, y, x, v): a clip's frames blended by twos, and the results again, until one is left; a last odd one falls out.
+
+    So the frame left is of the first 2^k frames, where 2^k is the greatest power within the
+    length, and blends that know no order or number of steps are one aggregation over them.
+    """
+    length = px.groupBy("media_id").agg((F.max("frame_idx") + 1).alias("len"))
+    used = px.join(length, "media_id").withColumn("most", F.expr("cast(pow(2, floor(log2(len))) as int)")).where(F.col("frame_idx") < F.col("most"))
+    if mode in ("lighten", "darken"):
+        return used.groupBy(*PIXEL).agg((F.max if mode == "lighten" else F.min)("v").alias("v"))
+    if mode not in ("average", "difference"):
+        raise ValueError(f"unknown mode {mode}")
+    join = (lambda a, b: F.floor((a + b) / 2).cast("int")) if mode == "average" else (lambda a, b: F.abs(a - b))
+    line = used.groupBy(*PIXEL).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "v"))), lambda e: e["v"]).alias("line"))
+    for _ in range(31):  # a line has under 2^31 frames; one of a single frame stays as it is
+        twos = F.transform(F.sequence(F.lit(0), F.floor(F.size("line") / 2).cast("int") - 1), lambda k: join(F.get("line", 2 * k), F.get("line", 2 * k + 1)))
+        line = line.withColumn("line", F.when(F.size("line") > 1, twos).otherwise(F.col("line")))
+    return line.select(*PIXEL, F.get("line", F.lit(0)).alias("v"))
+
+
+def exact_history(px: DataFrame, length: int, weights: list[float] | float = 1.0) -> DataFrame:
+    """A clip's first frame as it is; then a frame and up to `length` before it, over a constant mass.
+
+    The first weight is the frame's own; the next ones are those of the frames before it,
+    from the oldest that is still there on. The mass counts 1 for each of length + 1
+    frames, and what weights are over 1, also while there are fewer frames.
+    """
+    weights = [float(w) for w in (weights if isinstance(weights, list) else [weights])]
+    mass = length + 1 + sum(w - 1 for w in weights)
+    weights = (weights + [1.0] * (length + 1))[: length + 1]
+    order = Window.partitionBy(*PIXEL).orderBy("frame_idx")
+    before = F.collect_list("v").over(order.rowsBetween(-length, -1))  # oldest first
+    seen = px.withColumn("before", before)
+    own = F.array(*[F.lit(w) for w in weights[1:]])
+    total = F.aggregate(F.zip_with("before", F.slice(own, 1, F.size("before")), lambda v, w: v * w), F.lit(0.0), lambda a, x: a + x)
+    v = F.when(F.size("before") == 0, F.col("v")).otherwise(F.floor((F.col("v") * weights[0] + total) / mass).cast("int"))
+    return seen.select(*FRAME, "y", "x", v.alias("v"))
+
+
+def motion_history(motion: DataFrame, length: int) -> DataFrame:
+    """Whole mean of a motion frame and up to `length` before it, over as many as there are."""
+    order = Window.partitionBy(*PIXEL).orderBy("frame_idx").rowsBetween(-length, 0)
+    return motion.select(*FRAME, "y", "x", F.floor(F.sum("v").over(order) / F.count("v").over(order)).cast("int").alias("v"))
+
+
 def denoise(px: DataFrame, radius: int, most: float) -> DataFrame:
     """Mean over frames within radius if it's within `most` of the pixel, else the pixel."""
     around = Window.partitionBy(*PIXEL).orderBy("frame_idx").rowsBetween(-radius, radius)
@@ -252,9 +355,9 @@ def equirect_to_flat(px: DataFrame, width: int, height: int, out_width: int, out
     return source.join(places, ["sy", "sx"]).select(*FRAME, "y", "x", "v")
 
 
-def motion_score(px: DataFrame, k: int, width: int, height: int) -> DataFrame:
+def motion_score(px: DataFrame, k: int) -> DataFrame:
     """Mean absolute change of blurred frames per clip."""
-    return difference(box_blur(px, k, width, height)).groupBy("media_id").agg(F.avg("v").alias("score"))
+    return difference(box_blur(px, k)).groupBy("media_id").agg(F.avg("v").alias("score"))
 
 
 def gradient_flow(px: DataFrame) -> DataFrame:
@@ -267,14 +370,14 @@ def gradient_flow(px: DataFrame) -> DataFrame:
     return g.where(F.col("it").isNotNull()).select(*FRAME, "y", "x", part("ix").alias("fx"), part("iy").alias("fy"))
 
 
-def window_flow(px: DataFrame, k: int, width: int, height: int) -> DataFrame:
+def window_flow(px: DataFrame, k: int) -> DataFrame:
     """(fx, fy) per pixel by least squares over the gradients in k x k around it; 0 where these leave it open."""
     across, down = (Window.partitionBy(*FRAME, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
     time = Window.partitionBy(*PIXEL).orderBy("frame_idx")
     slope = lambda w: F.coalesce((F.lead("v").over(w) - F.lag("v").over(w)) / 2, F.lit(0.0))
-    g = px.select(*FRAME, "y", "x", F.struct(slope(across).alias("ix"), slope(down).alias("iy"), (F.lead("v").over(time) - F.col("v")).alias("it")).alias("v")).where("v.it IS NOT NULL")
+    g = px.select(*FRAME, "y", "x", slope(across).alias("ix"), slope(down).alias("iy"), (F.lead("v").over(time) - F.col("v")).alias("it")).where("it IS NOT NULL")
     names = [("ix", "ix"), ("ix", "iy"), ("iy", "iy"), ("ix", "it"), ("iy", "it")]
-    sums = neighbourhood(g, F.struct(*[F.sum(F.col(f"v.{a}") * F.col(f"v.{b}")).alias(a[1:] + b[1:]) for a, b in names]), k, width, height).select(*FRAME, "y", "x", "v.*")
+    sums = box_sums(g, k, **{a[1:] + b[1:]: F.col(a) * F.col(b) for a, b in names})
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     solved = lambda a, b, c: F.when(det > 1e-6, (F.col("xy") * F.col(c) - F.col(a) * F.col(b)) / det).otherwise(0.0) + 0.0
     return sums.select(*FRAME, "y", "x", solved("yy", "xt", "yt").alias("fx"), solved("xx", "yt", "xt").alias("fy"))
@@ -311,7 +414,7 @@ def motion_area(px: DataFrame, k: int, c: int, width: int, height: int) -> DataF
         return pd.DataFrame([[*frame[FRAME].iloc[0], *box]], columns=[*FRAME, "AomX1", "AomY1", "AomX2", "AomY2"])
 
     schema = ", ".join([f"{c} {px.schema[c].dataType.simpleString()}" for c in FRAME] + [f"{c} double" for c in ("AomX1", "AomY1", "AomX2", "AomY2")])
-    return adaptive_mean(px, k, c, width, height).groupBy(*FRAME).applyInPandas(largest, schema)
+    return adaptive_mean(px, k, c).groupBy(*FRAME).applyInPandas(largest, schema)
 
 
 def directogram(flow: DataFrame, bins: int = 100) -> DataFrame:
@@ -325,9 +428,10 @@ def directogram(flow: DataFrame, bins: int = 100) -> DataFrame:
     return moved.groupBy(*FRAME, found.alias("bin")).agg(F.sum("length").alias("mag"))
 
 
-def flow_velocity(flow: DataFrame, timestep: float = 1.0) -> DataFrame:
-    """Mean flow per frame over the time of a step."""
-    return flow.groupBy(*FRAME).agg((F.sum("fx") / F.count("*") / timestep).alias("vx"), (F.sum("fy") / F.count("*") / timestep).alias("vy"))
+def flow_velocity(flow: DataFrame, timestep: float = 1.0, move_step: int = 1) -> DataFrame:
+    """Summed flow per frame over the pixels at every move_step and the time of a step."""
+    each = F.count("*") / float(move_step**2) * timestep
+    return flow.groupBy(*FRAME).agg((F.sum("fx") / each).alias("vx"), (F.sum("fy") / each).alias("vy"))
 
 
 def flow_acceleration(velocity: DataFrame, fps: float) -> DataFrame:

@@ -20,7 +20,8 @@ def _order():
 
 
 def quartiles(s: DataFrame) -> DataFrame:
-    """Of y over the clip's greatest: quartiles, and whiskers clipped to the first and last value in time."""
+    """Of y over the clip's greatest, without its first value: quartiles, and whiskers clipped to the first and last value in time."""
+    s = s.where("n >= 1")
     scaled = s.join(s.groupBy("media_id").agg(F.max("y").alias("most")), "media_id").withColumn("q", F.col("y") / F.col("most"))
     p = scaled.groupBy("media_id").agg(F.percentile("q", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.min_by("q", "n").alias("first"), F.max_by("q", "n").alias("last"))
     q1, q3 = F.get("p", F.lit(0)), F.get("p", F.lit(2))
@@ -37,11 +38,29 @@ def smooth_downsample(s: DataFrame, length: int, step: int) -> DataFrame:
     return blocks.select("media_id", "n", "_b", total.alias("y")).where(own & (F.col("n") % step == 0)).drop("_b").withColumn("n", F.floor(F.col("n") / step).cast("int"))
 
 
-def impact_envelope(s: DataFrame, share: float = 0.98) -> DataFrame:
-    """Rises of y; those over the percentile become 0, the rest is divided by the greatest left."""
-    rise = s.select("media_id", "n", F.greatest(F.col("y") - F.lag("y", 1).over(_order()), F.lit(0.0)).alias("d")).fillna(0.0, ["d"])
-    limit = rise.groupBy("media_id").agg(F.percentile("d", F.lit(share)).alias("limit"))
-    cut = rise.join(limit, "media_id").select("media_id", "n", F.when(F.col("d") > F.col("limit"), 0.0).otherwise(F.col("d")).alias("d"))
+def impact_envelope(directograms: DataFrame, bins: int = 100, k: int = 5, share: float = 0.98) -> DataFrame:
+    """(media_id, n, y) of (media_id, frame_idx, bin, mag): summed rises of the k x k median over frames and bins.
+
+    Beyond the ends there are zeros; the first frame has no rise; sums over the percentile
+    become 0, the rest is divided by the greatest left. Frames are arrays of their bins.
+    frame_idx counts 0, 1, ... up to the last frame that has any bin.
+    """
+    r = k // 2
+    lengths = directograms.groupBy("media_id").agg(F.max("frame_idx").alias("last"))
+    every = lengths.select("media_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("frame_idx"))
+    found = directograms.groupBy("media_id", "frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("bin", "mag"))).alias("m"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0.0)))
+    frames = every.join(found, ["media_id", "frame_idx"], "left").select("media_id", "frame_idx", vec.alias("vec"))
+    blocks, order, own = in_blocks(frames, ["media_id"], "frame_idx", r + 1, r)
+    near = blocks.withColumn("near", F.collect_list("vec").over(order.rowsBetween(-r, r)))
+    seen = lambda b: F.flatten(F.transform("near", lambda v: F.slice(v, F.greatest(b - r + 1, F.lit(1)), F.least(b + r, F.lit(bins - 1)) - F.greatest(b - r, F.lit(0)) + 1)))
+    middle = lambda values: F.get(F.sort_array(F.concat(values, F.array_repeat(F.lit(0.0), k * k - F.size(values)))), F.lit(k * k // 2))
+    smooth = near.withColumn("vec", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: middle(seen(b)))).drop("near")
+    before = F.lag("vec").over(order)
+    rise = F.aggregate(F.zip_with("vec", before, lambda a, b: F.greatest(a - b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    rises = smooth.select("media_id", F.col("frame_idx").alias("n"), F.col("frame_idx"), "_b", F.coalesce(rise, F.lit(0.0)).alias("d")).where(own).drop("_b", "frame_idx")
+    limit = rises.groupBy("media_id").agg(F.percentile("d", F.lit(share)).alias("limit"))
+    cut = rises.join(limit, "media_id").select("media_id", "n", F.when(F.col("d") > F.col("limit"), 0.0).otherwise(F.col("d")).alias("d"))
     most = cut.groupBy("media_id").agg(F.max("d").alias("most"))
     return cut.join(most, "media_id").select("media_id", "n", F.when(F.col("most") > 0, F.col("d") / F.col("most")).otherwise(0.0).alias("y"))
 
@@ -58,10 +77,15 @@ def impacts(s: DataFrame, k: int, m: int, share: float = 0.1) -> DataFrame:
     return seen.join(most, "media_id").where(inside & (F.col("y") > F.col("near")) & (F.col("y") - F.col("mean") > share * F.col("most"))).select("media_id", "n", "y")
 
 
-def intervals(beats: DataFrame) -> DataFrame:
-    """Steps between beats, the first from 0, and their running sum."""
-    step = beats.select("media_id", "n", (F.col("n") - F.lag("n", 1, 0).over(_order())).alias("step"))
-    return step.select("*", F.sum("step").over(_order()).alias("total"))
+def intervals(beats: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(media_id, k, n, step, total): the first beat, steps between beats, and what is left of the length after the last; total is their running sum.
+
+    That sum is the beat itself, and the length at the end, so it needs no second window.
+    """
+    step = beats.select("media_id", (F.row_number().over(_order()) - 1).cast("long").alias("k"), "n", (F.col("n") - F.lag("n", 1, 0).over(_order())).cast("long").alias("step"), F.col("n").cast("long").alias("total"))
+    ends = beats.groupBy("media_id").agg(F.count("*").alias("k"), F.max("n").alias("last")).join(lengths, "media_id")
+    tail = ends.select("media_id", "k", F.lit(None).cast(beats.schema["n"].dataType).alias("n"), (F.col("len") - F.col("last")).cast("long").alias("step"), F.col("len").cast("long").alias("total"))
+    return step.unionByName(tail)
 
 
 def asof(left: DataFrame, right: DataFrame, at: str = "ts", value: str = "v") -> DataFrame:
@@ -136,9 +160,15 @@ def autocorrelation(s: DataFrame, lags: int) -> DataFrame:
     return products.select("media_id", F.posexplode("p").alias("lag", "p")).groupBy("media_id", "lag").agg(F.sum("p").alias("r"))
 
 
-def normalised(features: DataFrame, norm: str = "max", threshold: float = 1e-3) -> DataFrame:
-    """vec divided by its largest absolute value or its Euclidean length, unless that is under the threshold."""
-    size = F.array_max(F.transform("vec", F.abs)) if norm == "max" else F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+def normalised(features: DataFrame, norm: float | str = "max", threshold: float = 1e-3) -> DataFrame:
+    """vec divided by its norm, unless that is under the threshold. norm: 1, 2, inf or -inf (largest and least absolute value); "max" and "l2" are inf and 2."""
+    norm = {"max": math.inf, "l2": 2}.get(norm, norm)
+    size = {
+        1: F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.abs(x)),
+        2: F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)),
+        math.inf: F.array_max(F.transform("vec", F.abs)),
+        -math.inf: F.array_min(F.transform("vec", F.abs)),
+    }[norm]
     return features.withColumn("_size", size).withColumn("vec", F.transform("vec", lambda x: F.when(F.col("_size") >= threshold, x / F.col("_size")).otherwise(x))).drop("_size")
 
 

@@ -23,7 +23,8 @@ FPS = 25.0
 CLIP = "clip AS (SELECT label AS media_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS frame_idx, embedding AS vec FROM embeddings)"
 PX = f"{CLIP}, px AS (SELECT media_id, frame_idx, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, floor(least(greatest((vec[i]::DOUBLE + 0.5) * 255, 0), 255))::INT AS v FROM clip, range(1, 65) t(i))"
 DIFF = f"{PX}, lagged AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY media_id, y, x ORDER BY frame_idx)) AS d FROM px), diff AS (SELECT media_id, frame_idx - 1 AS frame_idx, y, x, d AS v FROM lagged WHERE d IS NOT NULL)"
-MOT = f"{DIFF}, mot AS (SELECT media_id, frame_idx, y, x, CASE WHEN v > 0.05 * 255 THEN v ELSE 0 END AS v FROM diff)"
+MOT = f"""{DIFF}, hot AS (SELECT media_id, frame_idx, y, x, CASE WHEN v > 0.05 * 255 THEN v ELSE 0 END AS v FROM diff),
+ mot AS (SELECT media_id, frame_idx, y + dy AS y, x + dx AS x, (list_sort(list_concat(list(v), list_resize([]::INT[], 9 - count(*), 0)))[5])::INT AS v FROM hot, (SELECT unnest(range(-1, 2))::INT AS dy), (SELECT unnest(range(-1, 2))::INT AS dx) WHERE y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7 GROUP BY 1, 2, 3, 4)"""
 SIG = "sig AS (SELECT user_id AS media_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS n, ts, value AS y FROM events)"
 GRAM = f"{MOT}, lines AS (SELECT media_id, frame_idx + 1 AS frame_idx, x AS pos, floor(avg(v))::INT AS v FROM mot GROUP BY 1, 2, 3), gram AS (SELECT * FROM lines UNION ALL SELECT DISTINCT media_id, 0, pos, 0 FROM lines)"
 BOX = "box AS (SELECT l_orderkey AS frame_idx, l_linenumber AS box, l_quantity AS x1, l_linenumber::DOUBLE AS y1, l_quantity + floor(l_discount * 100) AS x2, l_linenumber + floor(l_tax * 100) AS y2, l_extendedprice AS score FROM lineitem)"
@@ -59,7 +60,8 @@ def r(expression: str, digits: int = 6) -> str:
 
 
 def moved(s: SparkSession, d: str) -> DataFrame:
-    return P.threshold(P.difference(A.pixels(s, d)), 0.05)
+    """The motion chain: difference, threshold, median."""
+    return P.median(P.threshold(P.difference(A.pixels(s, d)), 0.05), 3)
 
 
 @query(f"WITH {MOT}, m AS (SELECT media_id, frame_idx, sum(v)::BIGINT AS q, sum(x*v)::DOUBLE AS sx, sum(y*v)::DOUBLE AS sy FROM mot GROUP BY 1, 2) SELECT media_id, frame_idx, round_even(frame_idx / 25.0 * 1000, 0)::BIGINT AS \"Time\", q AS \"Qom\", {r('CASE WHEN q > 0 THEN sx / q ELSE 0 END / 8')} AS \"ComX\", {r('(8 - CASE WHEN q > 0 THEN sy / q ELSE 0 END) / 8')} AS \"ComY\" FROM m")
@@ -89,22 +91,25 @@ def thresh_binary(s, d):
 
 @query(f"WITH {PX} {near(3, 'min(v)')}")
 def erode3(s, d):
-    return P.erode(A.pixels(s, d), 3, W, H)
+    return P.erode(A.pixels(s, d), 3)
 
 
 @query(f"WITH {PX} {near(3, 'list_sort(list_concat(list(v), list_resize([]::INT[], 9 - count(*), 0)))[5]')}")
 def median3(s, d):
-    return P.median(A.pixels(s, d), 3, W, H)
+    return P.median(A.pixels(s, d), 3)
 
 
 @query(f"WITH {PX} {near(5, '(sum(v) // count(*))::INT')}")
 def box_blur(s, d):
-    return P.box_blur(A.pixels(s, d), 5, W, H)
+    return P.box_blur(A.pixels(s, d), 5)
 
 
-@query(f"WITH {PX}, mean AS ({near(3, 'avg(v)')}) SELECT media_id, frame_idx, y, x, CASE WHEN px.v > mean.v - 2 THEN 255 ELSE 0 END AS v FROM px JOIN mean USING (media_id, frame_idx, y, x)")
+ROWS = "RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING"
+
+
+@query(f"WITH {PX}, a AS (SELECT *, sum(v) OVER w AS s, count(*) OVER w AS n FROM px WINDOW w AS (PARTITION BY media_id, frame_idx, y ORDER BY x {ROWS})), m AS (SELECT *, sum(s) OVER w / sum(n) OVER w AS mean FROM a WINDOW w AS (PARTITION BY media_id, frame_idx, x ORDER BY y {ROWS})) SELECT media_id, frame_idx, y, x, CASE WHEN v > mean - 2 THEN 255 ELSE 0 END AS v FROM m")
 def adaptive_mean(s, d):
-    return P.adaptive_mean(A.pixels(s, d), 3, 2, W, H)
+    return P.adaptive_mean(A.pixels(s, d), 3, 2)
 
 
 @query(f"WITH {PX} SELECT media_id, frame_idx, y, x, 255 - v AS v FROM px")
@@ -202,9 +207,15 @@ def history_equal(s, d):
     return P.history(A.pixels(s, d), [1.0] * 4)
 
 
-@query(f"WITH {PX} SELECT media_id, frame_idx, y, x, floor((2.0 * v + coalesce(lag(v, 1) OVER w, 0) + coalesce(lag(v, 2) OVER w, 0)) / 4.0)::INT AS v FROM px WINDOW w AS (PARTITION BY media_id, y, x ORDER BY frame_idx)")
+@query(f"WITH {PX}, l AS (SELECT *, array_agg(v) OVER (PARTITION BY media_id, y, x ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b FROM px) SELECT media_id, frame_idx, y, x, CASE WHEN b IS NULL THEN v ELSE floor((2.0::DOUBLE * v + 1.5::DOUBLE * b[1] + coalesce(b[2], 0) + coalesce(b[3], 0)) / 5.5)::INT END AS v FROM l")
 def history_weighted(s, d):
-    return P.history(A.pixels(s, d), [2.0, 1.0, 1.0], fixed=True)
+    """Up to three frames before; the second weight is the oldest one's."""
+    return P.exact_history(A.pixels(s, d), 3, [2.0, 1.5])
+
+
+@query(f"WITH {MOT} SELECT media_id, frame_idx, y, x, floor(avg(v) OVER (PARTITION BY media_id, y, x ORDER BY frame_idx ROWS 3 PRECEDING))::INT AS v FROM mot")
+def motion_history(s, d):
+    return P.motion_history(moved(s, d), 3)
 
 
 @query(f"WITH {PX}, m AS (SELECT *, floor(avg(v) OVER (PARTITION BY media_id, y, x ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))::INT AS m FROM px) SELECT media_id, frame_idx, y, x, CASE WHEN abs(m - v) < 20 THEN m ELSE v END AS v FROM m")
@@ -215,18 +226,18 @@ def denoise(s, d):
 @query(f"WITH {PX}, b AS ({near(3, '(sum(v) // count(*))::INT')}) SELECT media_id, frame_idx, {r('CASE WHEN sum((px.v - b.v) ** 2) > 0 THEN 10 * log10(65025.0 / avg((px.v - b.v) ** 2)) END')} AS psnr FROM px JOIN b USING (media_id, frame_idx, y, x) GROUP BY 1, 2")
 def psnr(s, d):
     px = A.pixels(s, d)
-    return rounded(P.psnr(px, P.box_blur(px, 3, W, H)))
+    return rounded(P.psnr(px, P.box_blur(px, 3)))
 
 
 @query(f"WITH {PX}, b AS ({near(3, '(sum(v) // count(*))::INT')}), l AS (SELECT media_id, abs(v - lag(v) OVER (PARTITION BY media_id, y, x ORDER BY frame_idx)) AS d FROM b) SELECT media_id, {r('avg(d)')} AS score FROM l GROUP BY 1")
 def motion_score(s, d):
-    return rounded(P.motion_score(A.pixels(s, d), 3, W, H))
+    return rounded(P.motion_score(A.pixels(s, d), 3))
 
 
 @query(f"WITH {PX}, b AS ({near(3, '(sum(v) // count(*))::INT')}), k AS (SELECT px.media_id, px.frame_idx, i, j, avg(px.v) AS m, avg(b.v) AS n, avg(px.v * px.v) - avg(px.v) ** 2 AS vv, avg(b.v * b.v) - avg(b.v) ** 2 AS ww, avg(px.v * b.v) - avg(px.v) * avg(b.v) AS vw FROM px JOIN b USING (media_id, frame_idx, y, x), range(3) t(i), range(3) u(j) WHERE y BETWEEN 2 * i AND 2 * i + 3 AND x BETWEEN 2 * j AND 2 * j + 3 GROUP BY 1, 2, 3, 4) SELECT media_id, frame_idx, {r('avg((2 * m * n + 6.5025) * (2 * vw + 58.5225) / ((m * m + n * n + 6.5025) * (vv + ww + 58.5225)))')} AS ssim FROM k GROUP BY 1, 2")
 def ssim(s, d):
     px = A.pixels(s, d)
-    return rounded(P.ssim(px, P.box_blur(px, 3, W, H), W, H, 4, 2))
+    return rounded(P.ssim(px, P.box_blur(px, 3), W, H, 4, 2))
 
 
 BRIGHT = f"{PX}, bright AS (SELECT media_id, frame_idx, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM px WHERE v > 180 GROUP BY 1, 2)"
@@ -253,12 +264,16 @@ def equirect_to_flat(s, d):
 
 @query(f"WITH {FLOW}, z AS (SELECT media_id, frame_idx, y, x, coalesce(ix, 0) AS ix, coalesce(iy, 0) AS iy, it FROM g WHERE it IS NOT NULL), q AS ({near(5, 'struct_pack(xx := sum(ix * ix), xy := sum(ix * iy), yy := sum(iy * iy), xt := sum(ix * it), yt := sum(iy * it), det := sum(ix * ix) * sum(iy * iy) - sum(ix * iy) ** 2)', 'z')}) SELECT media_id, frame_idx, y, x, {r('CASE WHEN v.det > 1e-6 THEN (v.xy * v.yt - v.yy * v.xt) / v.det ELSE 0 END')} AS fx, {r('CASE WHEN v.det > 1e-6 THEN (v.xy * v.xt - v.xx * v.yt) / v.det ELSE 0 END')} AS fy FROM q")
 def window_flow(s, d):
-    return rounded(P.window_flow(A.pixels(s, d), 5, W, H))
+    return rounded(P.window_flow(A.pixels(s, d), 5))
 
 
-@query()
+@query(f"""WITH RECURSIVE {MOT}, mean AS ({near(5, 'avg(v)', 'mot')}), o AS (SELECT media_id, frame_idx, y, x, y * 8 + x AS p FROM mot JOIN mean m USING (media_id, frame_idx, y, x) WHERE mot.v <= m.v - 2),
+ reach AS (SELECT media_id, frame_idx, p AS root, p, y, x FROM o UNION SELECT r.media_id, r.frame_idx, r.root, o.p, o.y, o.x FROM reach r JOIN o ON r.media_id = o.media_id AND r.frame_idx = o.frame_idx AND abs(r.y - o.y) <= 1 AND abs(r.x - o.x) <= 1),
+ area AS (SELECT media_id, frame_idx, p, any_value(y) AS y, any_value(x) AS x, min(root) AS root FROM reach GROUP BY 1, 2, 3),
+ boxes AS (SELECT media_id, frame_idx, root, count(*) AS n, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM area GROUP BY 1, 2, 3),
+ best AS (SELECT media_id, frame_idx, arg_max(boxes, n * 100 - root) AS b FROM boxes GROUP BY 1, 2)
+ SELECT media_id, frame_idx, coalesce(b.x1 / 8, 0.0) AS "AomX1", coalesce(b.y1 / 8, 0.0) AS "AomY1", coalesce((b.x2 + 1) / 8, 0.0) AS "AomX2", coalesce((b.y2 + 1) / 8, 0.0) AS "AomY2" FROM (SELECT DISTINCT media_id, frame_idx FROM mot) LEFT JOIN best USING (media_id, frame_idx)""")
 def motion_area(s, d):
-    """Connected areas grow step by step, which is tested against a flood fill."""
     return P.motion_area(moved(s, d), 5, 2, W, H)
 
 
@@ -277,7 +292,7 @@ def flow_accel_entropy(s, d):
     return rounded(P.flow_acceleration(P.flow_velocity(P.gradient_flow(A.pixels(s, d))), FPS))
 
 
-@query(f"WITH {SIG}, q AS (SELECT media_id, n, y / max(y) OVER (PARTITION BY media_id) AS q FROM sig), p AS (SELECT media_id, quantile_cont(q, 0.25) AS q1, quantile_cont(q, 0.5) AS q2, quantile_cont(q, 0.75) AS q3, arg_min(q, n) AS f, arg_max(q, n) AS l FROM q GROUP BY 1) SELECT media_id, {r('q1')} AS q1, {r('q2')} AS q2, {r('q3')} AS q3, {r('least(greatest(q1 - 1.5 * (q3 - q1), f), q1)')} AS lower, {r('least(greatest(q3 + 1.5 * (q3 - q1), q3), l)')} AS upper FROM p")
+@query(f"WITH {SIG}, q AS (SELECT media_id, n, y / max(y) OVER (PARTITION BY media_id) AS q FROM sig WHERE n >= 1), p AS (SELECT media_id, quantile_cont(q, 0.25) AS q1, quantile_cont(q, 0.5) AS q2, quantile_cont(q, 0.75) AS q3, arg_min(q, n) AS f, arg_max(q, n) AS l FROM q GROUP BY 1) SELECT media_id, {r('q1')} AS q1, {r('q2')} AS q2, {r('q3')} AS q3, {r('least(greatest(q1 - 1.5 * (q3 - q1), f), q1)')} AS lower, {r('least(greatest(q3 + 1.5 * (q3 - q1), q3), l)')} AS upper FROM p")
 def qom_quartiles(s, d):
     return rounded(S.quartiles(A.signal(s, d)))
 
@@ -287,11 +302,6 @@ def smooth_downsample(s, d):
     return rounded(S.smooth_downsample(A.signal(s, d), 41, 10))
 
 
-@query(f"WITH {SIG}, e AS (SELECT media_id, n, coalesce(greatest(y - lag(y) OVER (PARTITION BY media_id ORDER BY n), 0), 0) AS e FROM sig), c AS (SELECT media_id, n, CASE WHEN e > quantile_cont(e, 0.98) OVER (PARTITION BY media_id) THEN 0 ELSE e END AS e FROM e) SELECT media_id, n, {r('coalesce(e / nullif(max(e) OVER (PARTITION BY media_id), 0), 0)')} AS y FROM c")
-def impact_envelope(s, d):
-    return rounded(S.impact_envelope(A.signal(s, d)))
-
-
 @query(f"WITH {SIG}, z AS (SELECT *, (avg(y) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) + avg(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) / 2 AS m, greatest(max(y) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), max(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS near, max(y) OVER (PARTITION BY media_id) AS top, count(*) OVER (PARTITION BY media_id) AS len FROM sig WINDOW w AS (PARTITION BY media_id ORDER BY n)) SELECT media_id, n, y FROM z WHERE n >= 7 AND n < len - 7 AND y > near AND y - m > 0.1 * top")
 def impact_detect(s, d):
     return S.impacts(A.signal(s, d), 2, 3)
@@ -304,9 +314,11 @@ def beats(s, d):
     return A.signal(s, d).where("y > 150").select("media_id", "n")
 
 
-@query(f"WITH {BEATS} SELECT media_id, n, n - lag(n, 1, 0) OVER (PARTITION BY media_id ORDER BY n) AS step, n::BIGINT AS total FROM beats")
+@query(f"WITH {BEATS}, len AS (SELECT media_id, count(*) AS len FROM sig GROUP BY 1), k AS (SELECT media_id, n, row_number() OVER (PARTITION BY media_id ORDER BY n) - 1 AS k FROM beats), z AS (SELECT media_id, k, n, n - lag(n, 1, 0) OVER (PARTITION BY media_id ORDER BY n) AS step FROM k UNION ALL SELECT media_id, max(k) + 1, NULL, any_value(len) - max(n) FROM k JOIN len USING (media_id) GROUP BY 1) SELECT media_id, k::BIGINT AS k, n, step::BIGINT AS step, sum(step) OVER (PARTITION BY media_id ORDER BY k)::BIGINT AS total FROM z")
 def beat_intervals(s, d):
-    return S.intervals(beats(s, d))
+    """The first beat, steps between beats and what is left after the last, with their running sum."""
+    lengths = A.signal(s, d).groupBy("media_id").agg(F.count("*").alias("len"))
+    return S.intervals(beats(s, d), lengths)
 
 
 @query(f"WITH clicks AS (SELECT user_id AS media_id, ts, event_id, value FROM events WHERE event_type = (SELECT min(event_type) FROM events)), views AS (SELECT user_id AS media_id, ts, max(value) AS v FROM events WHERE event_type = (SELECT max(event_type) FROM events) GROUP BY 1, 2) SELECT c.media_id, c.event_id, v.v FROM clicks c ASOF LEFT JOIN views v ON c.media_id = v.media_id AND c.ts >= v.ts")
@@ -425,9 +437,15 @@ def ssm_l2(s, d):
     return rounded(S.self_similarity(S.normalised(A.clips(s, d), "l2")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOX}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY score DESC, box) AS k FROM box),
+ step AS (SELECT frame_idx, k, [k] AS kept, [struct_pack(x1, y1, x2, y2)] AS held FROM o WHERE k = 1
+ UNION ALL SELECT o.frame_idx, o.k, CASE WHEN free THEN list_append(kept, o.k) ELSE kept END, CASE WHEN free THEN list_append(held, struct_pack(x1, y1, x2, y2)) ELSE held END FROM (
+  SELECT o.*, kept, held, len(list_filter(held, lambda q: greatest(0, least(q.x2, o.x2) - greatest(q.x1, o.x1) + 1) * greatest(0, least(q.y2, o.y2) - greatest(q.y1, o.y1) + 1) >=
+   0.3 * ((q.x2 - q.x1 + 1) * (q.y2 - q.y1 + 1) + (o.x2 - o.x1 + 1) * (o.y2 - o.y1 + 1) - greatest(0, least(q.x2, o.x2) - greatest(q.x1, o.x1) + 1) * greatest(0, least(q.y2, o.y2) - greatest(q.y1, o.y1) + 1)))) = 0 AS free
+  FROM step JOIN o ON o.frame_idx = step.frame_idx AND o.k = step.k + 1) o),
+ last AS (SELECT frame_idx, arg_max(kept, k) AS kept FROM step GROUP BY 1)
+ SELECT o.* EXCLUDE (k) FROM o JOIN (SELECT frame_idx, unnest(kept) AS k FROM last) USING (frame_idx, k)""")
 def nms(s, d):
-    """Greedy suppression keeps state from box to box, which plain SQL lacks."""
     return S.suppressed(A.boxes(s, d))
 
 
@@ -588,3 +606,6 @@ def corr_columns(s, d):
     """Every pair of corr_matrix's columns, and each column's statistics."""
     pairs = [F.corr(FEATURES[a], FEATURES[b]).alias(f"{a}{b}") for a, b in PAIRS]
     return rounded(A.table(s, d, "lineitem").agg(*pairs, *[F.expr(f"{f}({c})").alias(f"{k}_{n}") for k, c in FEATURES.items() for n, f in STATS.items()]))
+
+
+from . import composites  # noqa: E402, F401  (registers more queries)

@@ -29,6 +29,25 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("media_id", "frame_idx", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), level.alias("v"))
 
 
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(media_id, frame_idx, y, x, c, v): three channels, each the frame's values from a third further on."""
+    cells = clips(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
+    cells = cells.select("media_id", "frame_idx", "vec", "c", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i"))
+    e = F.get("vec", (F.col("i") + 21 * F.col("c")) % (SIDE * SIDE))
+    level = F.floor(F.least(F.greatest((e + 0.5) * 255, F.lit(0.0)), F.lit(255.0))).cast("int")
+    return cells.select("media_id", "frame_idx", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), "c", level.alias("v"))
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(media_id, text): what a prober prints of a file, made up from an event; facts are hidden in it as it prints them."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    time = F.format_string("%02d:%02d:%02d.%02d", F.floor(F.col("event_id") / 3600) % 24, F.floor(F.col("event_id") / 60) % 60, F.col("event_id") % 60, F.col("k"))
+    video = F.concat(F.lit("    Stream #0:0(und): Video: h264 (High) (avc1 / 0x31637661), yuv420p, "), (F.col("k") + 100).cast("string"), F.lit("x"), (F.col("k") * 2 + 50).cast("string"), F.lit(" [SAR 1:1 DAR 4:3], 1200 kb/s, "), F.when(F.col("k") % 2 == 0, "25").otherwise("29.97"), F.lit(" fps, 25 tbr, 12800 tbn\n"))
+    turned = F.when(F.col("k") % 5 == 0, "      displaymatrix: rotation of -90.00 degrees\n").otherwise("")
+    audio = F.when(F.col("k") % 3 == 0, "    Stream #0:1(eng): Audio: aac (LC), 44100 Hz, stereo, fltp, 128 kb/s\n").otherwise("")
+    return e.select(F.col("event_id").alias("media_id"), F.concat(F.lit("Input #0, mov, from 'x.mp4':\n  Duration: "), time, F.lit(", start: 0.000000, bitrate: 1330 kb/s\n"), video, turned, audio).alias("text"))
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(media_id, n, ts, y): events of a user in time order."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
