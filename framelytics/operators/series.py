@@ -41,7 +41,8 @@ def smooth_downsample(s: DataFrame, length: int, step: int) -> DataFrame:
 def impact_envelope(directograms: DataFrame, bins: int = 100, k: int = 5, share: float = 0.98) -> DataFrame:
     """(media_id, n, y) of (media_id, frame_idx, bin, mag): summed rises of the k x k median over frames and bins.
 
-    Beyond the ends there are zeros; the first frame has no rise; sums over the percentile
+    Beyond the ends there are zeros; the first frame has no rise; sums, to 9 digits so that
+    equal ones compare as equal, over the percentile
     become 0, the rest is divided by the greatest left. Frames are arrays of their bins.
     frame_idx counts 0, 1, ... up to the last frame that has any bin.
     """
@@ -58,7 +59,8 @@ def impact_envelope(directograms: DataFrame, bins: int = 100, k: int = 5, share:
     smooth = near.withColumn("vec", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: middle(seen(b)))).drop("near")
     before = F.lag("vec").over(order)
     rise = F.aggregate(F.zip_with("vec", before, lambda a, b: F.greatest(a - b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    rises = smooth.select("media_id", F.col("frame_idx").alias("n"), F.col("frame_idx"), "_b", F.coalesce(rise, F.lit(0.0)).alias("d")).where(own).drop("_b", "frame_idx")
+    rises = smooth.select("media_id", F.col("frame_idx").alias("n"), F.col("frame_idx"), "_b", F.round(F.coalesce(rise, F.lit(0.0)), 9).alias("d")).where(own).drop("_b", "frame_idx")
+    rises = rises.repartition("media_id", "n")  # the same exchange for all that follows, so that it is made once
     limit = rises.groupBy("media_id").agg(F.percentile("d", F.lit(share)).alias("limit"))
     cut = rises.join(limit, "media_id").select("media_id", "n", F.when(F.col("d") > F.col("limit"), 0.0).otherwise(F.col("d")).alias("d"))
     most = cut.groupBy("media_id").agg(F.max("d").alias("most"))

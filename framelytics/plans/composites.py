@@ -116,8 +116,8 @@ EDGES = "e AS (SELECT list(-pi() + k * 2 * pi() / 99 ORDER BY k) AS es FROM rang
 DIRS = f"{ADFLOW}, ang AS (SELECT media_id, frame_idx, atan2(fy, fx) AS a, sqrt(fx*fx + fy*fy) AS l FROM flow WHERE fx <> 0 OR fy <> 0), {EDGES}, dirs AS (SELECT media_id, frame_idx, len(list_filter(es, lambda z: z <= a))::INT AS bin, sum(l) AS mag FROM ang, e GROUP BY 1, 2, 3)"
 
 
-def adaptive_directogram(s, d):
-    return P.directogram(P.gradient_flow(P.adaptive_gaussian(A.pixels(s, d), 11, 2)))
+def adaptive_directogram(s, d, bins=100):
+    return P.directogram(P.gradient_flow(P.adaptive_gaussian(A.pixels(s, d), 11, 2)), bins)
 
 
 @query(f"WITH {DIRS} SELECT media_id, frame_idx, bin, {r('mag')} AS mag FROM dirs")
@@ -126,16 +126,18 @@ def directogram_adaptive(s, d):
     return rounded(adaptive_directogram(s, d))
 
 
-ENVELOPE = f"""{DIRS}, dense AS (SELECT l.media_id, f::INT AS frame_idx, b::INT AS bin, coalesce(mag, 0) AS mag FROM (SELECT media_id, max(frame_idx) AS last FROM dirs GROUP BY 1) l, range(1000000) t(f), range(100) u(b) LEFT JOIN dirs ON dirs.media_id = l.media_id AND dirs.frame_idx = f AND dirs.bin = b WHERE f <= last),
+#: Of 8 bins, as 100 of them are nearly empty on frames of 64 pixels.
+COARSE = DIRS.replace("2 * pi() / 99", "2 * pi() / 7").replace("range(99)", "range(7)")
+ENVELOPE = f"""{COARSE}, dense AS (SELECT l.media_id, f::INT AS frame_idx, b::INT AS bin, coalesce(mag, 0) AS mag FROM (SELECT media_id, max(frame_idx) AS last FROM dirs GROUP BY 1) l, range(1000000) t(f), range(8) u(b) LEFT JOIN dirs ON dirs.media_id = l.media_id AND dirs.frame_idx = f AND dirs.bin = b WHERE f <= last),
  med AS (SELECT a.media_id, a.frame_idx, a.bin, list_sort(list_concat(list(z.mag), list_transform(range(25 - count(*)), lambda q: 0.0::DOUBLE)))[13] AS m FROM dense a JOIN dense z ON z.media_id = a.media_id AND z.frame_idx BETWEEN a.frame_idx - 2 AND a.frame_idx + 2 AND z.bin BETWEEN a.bin - 2 AND a.bin + 2 GROUP BY 1, 2, 3),
  rise AS (SELECT media_id, frame_idx, coalesce(greatest(m - lag(m) OVER (PARTITION BY media_id, bin ORDER BY frame_idx), 0), 0) AS d FROM med),
- env AS (SELECT media_id, frame_idx AS n, sum(d) AS d FROM rise GROUP BY 1, 2), cut AS (SELECT media_id, n, CASE WHEN d > quantile_cont(d, 0.98) OVER (PARTITION BY media_id) THEN 0 ELSE d END AS d FROM env),
+ env AS (SELECT media_id, frame_idx AS n, round(sum(d), 9) AS d FROM rise GROUP BY 1, 2), cut AS (SELECT media_id, n, CASE WHEN d > quantile_cont(d, 0.98) OVER (PARTITION BY media_id) THEN 0 ELSE d END AS d FROM env),
  imp AS (SELECT media_id, n, coalesce(d / nullif(max(d) OVER (PARTITION BY media_id), 0), 0) AS y FROM cut)"""
 ENVELOPE = ENVELOPE.replace("range(1000000) t(f)", "(SELECT unnest(range((SELECT max(frame_idx) + 1 FROM dirs))) AS f) t")
 
 
 def envelope(s, d):
-    return S.impact_envelope(adaptive_directogram(s, d))
+    return S.impact_envelope(adaptive_directogram(s, d, 8), 8)
 
 
 @query(f"WITH {ENVELOPE} SELECT media_id, n, {r('y')} AS y FROM imp")
@@ -143,10 +145,10 @@ def impact_envelope(s, d):
     return rounded(envelope(s, d))
 
 
-@query(f"WITH {ENVELOPE}, z AS (SELECT media_id, n, round(y, 9) AS y FROM imp), w AS (SELECT *, (avg(y) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) + avg(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)) / 2 AS m, greatest(max(y) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), max(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS near, max(y) OVER (PARTITION BY media_id) AS top, count(*) OVER (PARTITION BY media_id) AS len FROM z WINDOW w AS (PARTITION BY media_id ORDER BY n)) SELECT media_id, n, {r('y')} AS y FROM w WHERE n >= 7 AND n < len - 7 AND y > near AND y - m > 0.1 * top")
+@query(f"WITH {ENVELOPE}, z AS (SELECT media_id, n, round(y, 9) AS y FROM imp), w AS (SELECT *, (lag(y) OVER w + lead(y) OVER w) / 2 AS m, greatest(lag(y) OVER w, lead(y) OVER w) AS near, max(y) OVER (PARTITION BY media_id) AS top, count(*) OVER (PARTITION BY media_id) AS len FROM z WINDOW w AS (PARTITION BY media_id ORDER BY n)) SELECT media_id, n, {r('y')} AS y FROM w WHERE n >= 5 AND n < len - 5 AND y > near AND y - m > 0.1 * top")
 def impacts_of_motion(s, d):
     """Directogram, impact envelope and impacts in one plan."""
-    return rounded(S.impacts(envelope(s, d).withColumn("y", F.round("y", 9)), 2, 3))
+    return rounded(S.impacts(envelope(s, d).withColumn("y", F.round("y", 9)), 1, 1))
 
 
 def blurred_motion(s, d):

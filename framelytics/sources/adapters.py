@@ -5,7 +5,7 @@ These mappings are this package's own. Pixels are 8 x 8 gray frames with integer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIDE = 8
@@ -15,11 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, key: str, order: list[str], bucket: Column, name: str) -> DataFrame:
+    """df with the place of each row among its key's in this order, from 0, by buckets that follow the order.
+
+    Rows are numbered within a bucket and the buckets before it are added, so that a key of
+    many rows is spread over tasks; only a row a bucket goes through a window by key.
+    """
+    own = df.withColumn("_bucket", bucket)
+    sizes = own.groupBy(key, "_bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(key).alias("_key"), F.col("_bucket").alias("_own"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1
+    both = own.withColumn("_place", place).join(starts, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_own")))
+    return both.select(*df.columns, (F.col("_start") + F.col("_place")).cast("int").alias(name))
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(media_id, frame_idx, vec): one clip per label, its vectors in order."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    frame = (F.row_number().over(order) - 1).alias("frame_idx")
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("media_id"), frame, F.col("embedding").cast("array<double>").alias("vec"))
+    found = numbered(table(spark, sf_dir, "embeddings"), "label", ["vec_id"], F.floor(F.col("vec_id") / 4096), "frame_idx")
+    return found.select(F.col("label").alias("media_id"), "frame_idx", F.col("embedding").cast("array<double>").alias("vec"))
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +64,8 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(media_id, n, ts, y): events of a user in time order."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("media_id"), (F.row_number().over(order) - 1).alias("n"), "ts", F.col("value").alias("y"))
+    found = numbered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.date_trunc("day", "ts"), "n")
+    return found.select(F.col("user_id").alias("media_id"), "n", "ts", F.col("value").alias("y"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
