@@ -4,7 +4,7 @@ Confirmed toxic documents are the positives; any other text is unlabelled, not c
 linear classifier over words is trained in numpy on the risk
     prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)])
 with logistic l: the second term is the risk on clean text, corrected by the class prior;
-where a batch drives it below zero, the step goes the other way, which keeps a flexible
+where a step finds it below zero, the step goes the other way, which keeps a flexible
 model from fitting the positives alone. Every text that may be learned from is unlabelled
 text of one classifier: classifiers are trained by tasks, each against a shard of bounded
 size and all positives, and Spark averages their weights. Only the labelled positives are
@@ -27,7 +27,7 @@ from .common import fold, staged
 
 #: The bound of the labelled sample, drawn by a hash of the id, and unlabelled texts that a classifier is meant for.
 POSITIVES, SHARD_TEXTS = 3000, 4000
-EPOCHS, BATCH, RATE, PENALTY = 150, 1024, 0.03, 1e-4
+STEPS, RATE, PENALTY = 300, 0.05, 1e-4
 #: A feature is used if it is in more than so many positives, or no ratio could be told from chance, and surely so much likelier there.
 LEAST_POSITIVES, LEAST_RATIO = 4, 0.7
 #: Lengths of word beginnings that are features beside the words.
@@ -57,7 +57,7 @@ class Lookup(dict):
 
     def of(self, text: str | None) -> list[int]:
         """The numbers of the features of a whole text, each once."""
-        return sorted({k for w in set(WORD.findall(text.lower())) for k in self[w]}) if text else []
+        return list(set().union(*map(self.__getitem__, set(WORD.findall(text.lower()))))) if text else []
 
 
 @dataclass(frozen=True)
@@ -77,42 +77,31 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-def _train_one(pos: np.ndarray, unl: np.ndarray, prior: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk; rows are features of texts."""
-    w, b = np.zeros(pos.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
-    m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
+def _flat(texts: list[bytes], scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of feature numbers (32-bit), one after the other: text, feature, and how large the feature is."""
+    at = np.frombuffer(b"".join(texts), "<i4")
+    return np.repeat(np.arange(len(texts)), [len(x) // 4 for x in texts]), at, scale[at].astype(np.float64)
+
+
+def _train_one(positive: list[bytes], unlabelled: list[bytes], scale: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on the non-negative risk over all given texts; only features that occur are touched."""
+    n, m, size = len(positive), len(unlabelled), len(scale)
+    (prow, pat, pval), (urow, uat, uval) = _flat(positive, scale), _flat(unlabelled, scale)
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    first, second = np.zeros(size + 1), np.zeros(size + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    steps = max(1, len(unl) // BATCH)
-    for _ in range(EPOCHS):
-        p_parts, u_parts = np.array_split(rng.permutation(len(pos)), steps), np.array_split(rng.permutation(len(unl)), steps)
-        for p_rows, u_rows in zip(p_parts, u_parts):
-            if not len(p_rows) or not len(u_rows):
-                continue
-            xp, xu = pos[p_rows], unl[u_rows]
-            gp, gu = xp @ w + b, xu @ w + b
-            clean = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
-            # slopes of l(-g) on both samples, and of l(g) on the positives
-            up, uu = prior * sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)
-            if clean >= 0:
-                dp, du = prior * (sigmoid(gp) - 1) / len(gp) - up, uu
-            else:
-                dp, du = up, -uu
-            grad = np.append(dp @ xp + du @ xu, dp.sum() + du.sum())
-            grad[:-1] += PENALTY * w
-            t += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = (w - move[:-1]).astype(np.float32), np.float32(b - move[-1])
-    return w, float(b)
-
-
-def _rows(texts: list[bytes], scale: np.ndarray) -> np.ndarray:
-    """A row per text of feature numbers (32-bit): each feature as large as its scale."""
-    out = np.zeros((len(texts), len(scale)), np.float32)
-    for k, x in enumerate(texts):
-        at = np.frombuffer(x, "<i4")
-        out[k, at] = scale[at]
-    return out
+    for t in range(1, STEPS + 1 if n and m else 0):
+        gp, gu = np.bincount(prow, w[pat] * pval, n) + b, np.bincount(urow, w[uat] * uval, m) + b
+        clean = np.mean(np.logaddexp(0, gu)) - prior * np.mean(np.logaddexp(0, gp))
+        # slopes of l(-g) on both samples, and of l(g) on the positives
+        up, uu = prior * sigmoid(gp) / n, sigmoid(gu) / m
+        dp, du = (prior * (sigmoid(gp) - 1) / n - up, uu) if clean >= 0 else (up, -uu)
+        slope = np.bincount(pat, dp[prow] * pval, size) + np.bincount(uat, du[urow] * uval, size) + PENALTY * w
+        grad = np.append(slope, dp.sum() + du.sum())
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+        move = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        w, b = w - move[:-1], b - float(move[-1])
+    return w, b
 
 
 def _counted(texts: DataFrame, numbers, size: int) -> DataFrame:
@@ -162,8 +151,8 @@ def train(positive: list[bytes], unlabelled: DataFrame, names: list[str], scale:
 
     def classifier(rows: pa.Table) -> pa.Table:
         positive, scale = shared.value
-        w, b = _train_one(_rows(positive, scale), _rows(sorted(rows.column("x").to_pylist()), scale), prior, np.random.default_rng(rows.column("shard")[0].as_py()))
-        return pa.table({"w": pa.array([np.append(w * scale, b).astype(np.float64)], pa.list_(pa.float64()))})
+        w, b = _train_one(positive, sorted(rows.column("x").to_pylist()), scale, prior)
+        return pa.table({"w": pa.array([np.append(w * scale, b)], pa.list_(pa.float64()))})
 
     found = unlabelled.groupBy("shard").applyInArrow(classifier, "w array<double>").select(F.posexplode("w").alias("k", "w")).groupBy("k").agg(F.avg("w").alias("w")).collect()
     weights = np.zeros(len(names) + 1)
@@ -191,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable,
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(numbers.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(lookup.of(x), "<i4").tobytes() for x in batch.column(0).to_pylist()], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(sorted(lookup.of(x)), "<i4").tobytes() for x in batch.column(0).to_pylist()], pa.binary())], names=["x"])
 
     positive = sorted(r["x"] for r in chosen.mapInArrow(numbered, "x binary").collect())
     if not positive or not names:

@@ -51,10 +51,29 @@ def test_shards_are_averaged(spark):
     table = spark.createDataFrame([(k % 2, bytearray(x[k % 4])) for k in range(40)], "shard long, x binary")
     scale = np.ones(2, np.float32)
     found = toxicity.train([x[0]] * 5, table, ["a", "b"], scale, 0.2)
-    parts = [toxicity._train_one(toxicity._rows([x[0]] * 5, scale), toxicity._rows(sorted(x[k % 4] for k in range(40) if k % 2 == s), scale), 0.2, np.random.default_rng(s)) for s in (0, 1)]
+    parts = [toxicity._train_one([x[0]] * 5, sorted(x[k % 4] for k in range(40) if k % 2 == s), scale, 0.2) for s in (0, 1)]
     assert found.weights == pytest.approx((parts[0][0] + parts[1][0]) / 2) and found.bias == pytest.approx((parts[0][1] + parts[1][1]) / 2)
 
 
+def test_risk_is_as_by_hand():
+    """The slope of the first step is that of the corrected risk, and a negative clean risk turns it round."""
+    scale, x = np.array([1.0, 2.0], np.float32), [np.array(k, "<i4").tobytes() for k in ([0], [1], [0, 1], [])]
+    positive, unlabelled = np.array([[1, 0], [1, 2.0]]), np.array([[0, 2.0], [0, 0], [1, 0]])
+
+    def risk(w, b, prior):
+        gp, gu = positive @ w + b, unlabelled @ w + b
+        clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        return prior * np.logaddexp(0, -gp).mean() + clean if clean >= 0 else -clean
+
+    for prior in (0.1, 0.95):
+        b0 = math.log(prior / (1 - prior))
+        slope = np.array([(risk(np.eye(2)[k] * 1e-6, b0, prior) - risk(-np.eye(2)[k] * 1e-6, b0, prior)) / 2e-6 for k in range(2)])
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(toxicity, "STEPS", 1)
+            w, _ = toxicity._train_one([x[0], x[2]], [x[1], x[3], x[0]], scale, prior)
+        assert (np.sign(w) == -np.sign(slope)).all()
+
+
 def test_repeated_labels_do_not_lift_the_bound(spark):
     docs = spark.createDataFrame([(1, f"bad text {k}") for k in range(50)] + [(2, "good text")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
