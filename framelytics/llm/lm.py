@@ -37,7 +37,7 @@ from .common import fold, new_folder
 
 ADDED, DISCOUNT, ORDER, CODE_BITS = 0.1, 0.75, 3, 8
 #: Bytes of text that a slice of level 1 is meant for, tokens for a slice of the others, and n-grams sampled to place their bounds.
-WORD_SLICE_BYTES, SLICE_TOKENS, BOUND_SAMPLE = 16_000_000, 2_000_000, 200_000
+WORD_SLICE_BYTES, SLICE_TOKENS, BOUND_SAMPLE = 16_000_000, 1_000_000, 200_000
 #: Bytes of slices that a task keeps where the shared folder can't be mapped into memory.
 KEPT_BYTES = 256_000_000
 #: Bytes of text worked on at once, and keys that a task gathers before it sends them.
@@ -421,22 +421,30 @@ def tokens_of(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     return token, first, n
 
 
-def walk(model: Model, token: np.ndarray, first: np.ndarray) -> Iterator[tuple[Level, np.ndarray, np.ndarray]]:
-    """Per level: it, the context of every token (-1: none or unseen) and quantised discounted probabilities. At last the contexts of the next level alone."""
-    context = np.full(len(token), model.words.size, np.int64)
-    context[1:][~first[1:]] = token[:-1][~first[1:]]
+def walk(model: Model, token: np.ndarray, first: np.ndarray, own: np.ndarray, at: np.ndarray) -> Iterator[tuple[Level | None, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Per level: it, sorted contexts, the place of every token's context among them (-1: none or unseen), and quantised discounted probabilities.
+
+    own, at: the sorted different tokens, and the place of every token among them. At last
+    come the contexts of the next level alone. Numbers rise with keys, so the found keys of
+    a level are the sorted contexts of the next one.
+    """
+    follows = np.flatnonzero(~first)
+    unknown = int(len(own) > 0 and own[0] < 0)
+    contexts, places = own[unknown:], np.full(len(token), len(own) - 1 - unknown)  # the start of a text has the last number
+    places[follows] = at[follows - 1] - unknown
     for level in model.levels:
-        some = np.flatnonzero((context >= 0) & (token >= 0))
-        keys, at = np.unique(context[some].astype(np.uint64) * np.uint64(level.width) + token[some].astype(np.uint64), return_inverse=True)
+        some = np.flatnonzero((places >= 0) & (token >= 0))
+        keys, which = np.unique(contexts[places[some]].astype(np.uint64) * np.uint64(level.width) + token[some].astype(np.uint64), return_inverse=True)
         number, p = level.look_up(keys)
         found = np.zeros(len(token))
-        found[some] = p[at]
-        yield level, context, found
+        found[some] = p[which]
+        yield level, contexts, places, found
+        seen = number >= 0
         longer = np.full(len(token), -1, np.int64)
-        longer[some] = number[at]
-        context = np.full(len(token), -1, np.int64)
-        context[1:][~first[1:]] = longer[:-1][~first[1:]]
-    yield None, context, None
+        longer[some] = np.where(seen, np.cumsum(seen) - 1, -1)[which]
+        contexts, places = number[seen], np.full(len(token), -1, np.int64)
+        places[follows] = longer[follows - 1]
+    yield None, contexts, places, None
 
 
 def build_level(texts: DataFrame, model: Model, discount: float = DISCOUNT, bits: int = CODE_BITS, with_counts: bool = True) -> Level:
@@ -449,8 +457,8 @@ def build_level(texts: DataFrame, model: Model, discount: float = DISCOUNT, bits
 
     def keys_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         token, first, _ = tokens_of(shared.value.words, part)
-        *_, (_, context, _) = walk(shared.value, token, first)
-        keys = context[context >= 0].astype(np.uint64) * np.uint64(width) + token[context >= 0].astype(np.uint64)
+        *_, (_, contexts, places, _) = walk(shared.value, token, first, *np.unique(token, return_inverse=True))
+        keys = contexts[places[places >= 0]].astype(np.uint64) * np.uint64(width) + token[places >= 0].astype(np.uint64)
         return keys, np.ones(len(keys), np.int64)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,6 +492,7 @@ def build_level(texts: DataFrame, model: Model, discount: float = DISCOUNT, bits
         return pa.table({"uri": [uri], "counts": pa.array([save(folder, {"count": counts}) if with_counts else None], pa.string()), "first": [str(int(keys[0]))], "n": [len(keys)]})
 
     rows = texts.mapInArrow(_gather(keys_of, lambda keys: np.searchsorted(bounds, keys, "right")), "slice long, keys binary")
+    rows = rows.repartition(slices, "slice")  # a task merges a slice or a few, however many there are
     found = sorted(rows.groupBy("slice").applyInArrow(level, "uri string, counts string, first string, n long").collect(), key=lambda r: int(r["first"]))
     ahead = np.cumsum([0, *(r["n"] for r in found)])
     return Level(width, int(ahead[-1]), tuple((int(r["first"]), int(at), r["uri"], r["counts"]) for r, at in zip(found, ahead)))
@@ -526,12 +535,10 @@ def log10_probabilities(model: Model, texts: list[bytes], added: float = ADDED)
     count = words.counts(own)[at]
     p1 = (count + added) / (words.tokens + added * (words.size + 1 + (words.docs > 0)))
     p = p1.copy()
-    for level, context, found in walk(model, token, first):
+    for level, contexts, places, found in walk(model, token, first, own, at):
         if level:
-            some = np.flatnonzero(context >= 0)
-            contexts, at = np.unique(context[some], return_inverse=True)
-            weight = level.weights(contexts)[at]
-            p[some] = np.where(weight > 0, weight * p[some] + found[some], p[some])
+            weight = np.append(level.weights(contexts), 0.0)[places]  # place -1 is the 0 at the end
+            p = np.where(weight > 0, weight * p + found, p)
     start = np.cumsum(n) - n
     add = lambda x: np.add.reduceat(x, start) if len(start) else x
     return n, add((count > 0).astype(np.int64)), add(np.log10(p1)), add(np.log10(p))
