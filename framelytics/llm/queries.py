@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, for __spark_entry__.py."""
+"""The queries of the operators and of the pipeline, for __spark_entry__.py."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, lm, packing, quality, simhash, tokens, toxicity, warc
+from . import bpe, decontam, langid, licenses, lm, packing, quality, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_simhash_near_dedup, op4_license_scan, op5_token_counts, op6_best_fit_packing, op7_warc, op8_quality_rules, op9_lm_scoring, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_simhash_near_dedup, op4_license_scan, op5_token_counts, op6_best_fit_packing, op7_warc, op8_quality_rules, op9_lm_scoring, op10_benchmark_decontamination, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
