@@ -49,10 +49,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """The words of a chunk: each one's place in `distinct`, its document, and where in the data it starts."""
+    """The words of a chunk in order, the document of each, and where in the data it starts."""
 
-    codes: np.ndarray
-    distinct: pa.Array
+    values: pa.Array
     doc: np.ndarray
     at: np.ndarray
 
@@ -66,8 +65,8 @@ def words(chunk: Chunk, data: np.ndarray, between: np.ndarray) -> Words:
     begins[docs] = inside[docs]
     at = np.flatnonzero(begins)
     offsets = np.append(np.cumsum(inside)[at] - 1, np.count_nonzero(inside)) if len(at) else np.zeros(1, np.int64)
-    coded = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside].tobytes())]).dictionary_encode()
-    return Words(coded.indices.to_numpy(), coded.dictionary, np.searchsorted(chunk.starts, at, "right") - 1, at)
+    values = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[inside].tobytes())])
+    return Words(values, np.searchsorted(chunk.starts, at, "right") - 1, at)
 
 
 def ranges(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

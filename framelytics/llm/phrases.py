@@ -83,9 +83,10 @@ def exploded(docs: DataFrame, lo: int, hi: int, known=None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrase.cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
 
     def count(data: np.ndarray, found: Words, lang: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n_distinct = len(found.distinct)
-        ids, own = np.unique(lang * n_distinct + found.codes, return_inverse=True)  # a number for each word of each language
-        texts, langs = found.distinct.take(pa.array(ids % n_distinct)), names[ids // n_distinct]
+        coded = found.values.dictionary_encode()
+        n_distinct = len(coded.dictionary)
+        ids, own = np.unique(lang * n_distinct + coded.indices.to_numpy(), return_inverse=True)  # a number for each word of each language
+        texts, langs = coded.dictionary.take(pa.array(ids % n_distinct)), names[ids // n_distinct]
         if lo == 1:
             n = np.bincount(lang)
             yield rows(langs, texts, np.bincount(own))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, licenses, lm, packing, phrases, quality, simhash, tokens, toxicity, warc
+from . import bpe, decontam, langid, licenses, lm, packing, phrases, quality, search, simhash, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,13 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_simhash_near_dedup, op4_license_scan, op5_token_counts, op6_best_fit_packing, op7_warc, op8_quality_rules, op9_lm_scoring, op10_benchmark_decontamination, op11_byte_bpe, op12_phrase_collocations)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_simhash_near_dedup, op4_license_scan, op5_token_counts, op6_best_fit_packing, op7_warc, op8_quality_rules, op9_lm_scoring, op10_benchmark_decontamination, op11_byte_bpe, op12_phrase_collocations, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.sql(), "op7_warc": warc.SQL, "op8_quality_rules": quality.SQL, "op10_benchmark_decontamination": decontam.SQL, "op12_phrase_collocations": phrases.sql()}
+    return {"op4_license_scan": licenses.sql(), "op7_warc": warc.SQL, "op8_quality_rules": quality.SQL, "op10_benchmark_decontamination": decontam.SQL, "op12_phrase_collocations": phrases.sql(), "op13_lexical_search": search.SQL}
