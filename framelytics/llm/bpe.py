@@ -1,11 +1,9 @@
 """Byte-level BPE by a file of ranks: encoding by merge replay over a corpus's words, and decoding.
 
-The distinct pre-tokens of the corpus that are not tokens themselves are counted, and the
-commonest of them, a bounded table, are merged once, in partitions: an inverted index leads
-from what a pair of neighbours merges to, to the places of that pair in all words, and the
-merges are replayed in the order of their ranks, touching the neighbours of merged places
-alone. Tasks that encode texts get this table and replay the merges for the rarer pre-tokens
-of their own chunks in the same way.
+Every task replays the merges over the distinct pre-tokens of its share of the corpus, all of
+them together: an inverted index leads from what a pair of neighbours merges to, to the places
+of that pair in all words, and the merges apply in the order of their ranks, touching only
+the neighbours of merged places. Texts are then written from the words' ids.
 """
 
 from __future__ import annotations
@@ -21,18 +19,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ranges
-from .common import discard, free_name, new_folder, table_at
-from .tokens import _ODD, BYTE_PATTERN, UNUSUAL, cut_plain, slices
+from .arrays import Chunk, chunks, members, ranges
+from .common import free_name
+from .tokens import BYTE_PATTERN, UNUSUAL, cut_plain
 
-#: The shared table of merged pre-tokens has at most so many entries and bytes; longer pre-tokens are left to the tasks.
-SHARED_ENTRIES, SHARED_BYTES, SHARED_LENGTH = 200_000, 8_000_000, 100
-#: Pre-tokens that a task remembers beside the shared ones; at this many it forgets them.
-REMEMBERED = 300_000
+#: Pre-tokens that a process remembers; at this many it forgets them. It replays so many at once at most.
+REMEMBERED, REPLAYED = 150_000, 100_000
+#: Bytes of text that are written at once, and whose words are learnt together; bytes of ids that are decoded at once.
+WRITTEN, LEARNT, DECODED = 2_000_000, 12_000_000, 1_000_000
 #: A pair of tokens is left << SHIFT | right; END follows a word, GONE is a place that a merge has taken.
 SHIFT, END, GONE = 20, -1, -2
-#: Counts of pre-tokens are compared by powers of 2 ** (1 / STEPS).
-STEPS = 8
 
 
 @cache
@@ -49,9 +45,9 @@ class Pairs:
         if max(ranks.values()) >= 1 << SHIFT:
             raise ValueError("a rank is too large for a pair's key")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.merged = {left << SHIFT | right: rank for token, rank in ranks.items() for k in range(1, len(token)) if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None}
-        self.keys = np.array(sorted(self.merged), np.int64)
-        self.values = np.array([self.merged[k] for k in self.keys.tolist()], np.int64)
+        merged = {left << SHIFT | right: rank for token, rank in ranks.items() for k in range(1, len(token)) if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None}
+        self.keys = np.array(sorted(merged), np.int64)
+        self.values = np.array([merged[k] for k in self.keys.tolist()], np.int64)
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each pair what it merges to, -1: it doesn't, as with END and GONE."""
@@ -59,6 +55,11 @@ class Pairs:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
+    def merged(self, left: int, right: int) -> int:
+        """The same for one pair."""
+        at = int(np.searchsorted(self.keys, key := left << SHIFT | right))
+        return int(self.values[at]) if at < len(self.keys) and self.keys[at] == key else -1
+
 
 @cache
 def all_pairs(path: str) -> Pairs:
@@ -132,30 +133,21 @@ def replay(words: list[bytes], pairs: Pairs) -> list[bytes]:
 
 def merged_alone(word: bytes, pairs: Pairs) -> bytes:
     """The tokens of one word: of all its pairs the one of the least rank, then the leftmost, merges first."""
-    lookup = pairs.merged.get
     tokens = [*pairs.single[np.frombuffer(word, np.uint8)].tolist(), END]
     after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
-    queue = [(rank, k) for k in range(len(word)) if (rank := lookup(tokens[k] << SHIFT | tokens[k + 1])) is not None]
+    queue = [(rank, k) for k in range(len(word)) if (rank := pairs.merged(tokens[k], tokens[k + 1])) >= 0]
     heapq.heapify(queue)
     while queue:
         rank, place = heapq.heappop(queue)
-        gone = after[place]
-        if lookup(tokens[place] << SHIFT | tokens[gone]) != rank:
+        if tokens[place] < 0 or pairs.merged(tokens[place], tokens[gone := after[place]]) != rank:
             continue
         tokens[place], tokens[gone] = rank, GONE
         after[place] = beyond = after[gone]
         before[beyond] = place
-        for k, pair in ((before[place], tokens[before[place]] << SHIFT | rank), (place, rank << SHIFT | tokens[beyond])):
-            if (other := lookup(pair)) is not None:
+        for k in (before[place], place):
+            if k >= 0 and (other := pairs.merged(tokens[k], tokens[after[k]])) >= 0:
                 heapq.heappush(queue, (other, k))
-    return packed([x for x in tokens if x >= 0])
-
-
-def starts_of(text: str) -> list[int]:
-    """Where the pre-tokens of a text start, in bytes."""
-    found = BYTE_PATTERN.findall(text) if not UNUSUAL.search(text) else _any_pattern().findall(text)
-    sizes = np.fromiter((len(x.encode()) for x in found), np.int64, len(found))
-    return (np.cumsum(sizes) - sizes).tolist()
+    return np.array([x for x in tokens if x >= 0], "<u4").tobytes()
 
 
 @cache
@@ -165,114 +157,75 @@ def _any_pattern() -> regex.Pattern:
     return regex.compile(public_tokenizers.PATTERN)
 
 
-def pre_tokens(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, pa.Array]]:
-    """In parts: the places of texts, the number of pre-tokens up to the end of each, all pre-tokens as codes, and the distinct ones."""
-    plain, odd = [], []
-    raw = [x.encode() for x in texts]
-    for k, text in enumerate(texts):
-        if raw[k]:
-            (odd if _ODD.search(raw[k]) or not text.isascii() and UNUSUAL.search(text) else plain).append(k)
-    for group in (plain, odd):
-        for part in slices([raw[k] for k in group]):
-            part = [group[k] for k in part]
-            sizes = np.fromiter((len(raw[k]) for k in part), np.int64, len(part))
-            firsts, joined = np.cumsum(sizes) - sizes, b"".join(raw[k] for k in part)
-            if group is plain:
-                starts = cut_plain(np.frombuffer(joined, np.uint8), firsts, False)
-            else:
-                starts = np.concatenate([np.array(starts_of(texts[k]), np.int64) + first for k, first in zip(part, firsts.tolist(), strict=True)])
-            offsets = pa.py_buffer(np.append(starts, len(joined)).astype(np.int64))
-            coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(joined)]).dictionary_encode()
-            yield part, np.searchsorted(starts, firsts + sizes), coded.indices.to_numpy(), coded.dictionary
+#: Bytes that the cutting of plain bytes can't tell apart: apostrophes may begin a suffix, others lead characters of all classes.
+_ODD = members(bytes([0x27, 0xC2, *range(0xCA, 0xE2), *range(0xE3, 0x100)]))
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def pre_tokens(chunk: Chunk) -> np.ndarray:
+    """Where the pre-tokens of a chunk's texts start."""
+    data, begins = chunk.data, chunk.starts[:-1]
+    odd = _ODD[data]
+    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    odd = np.diff(np.concatenate([[0], np.cumsum(odd)])[chunk.starts]) > 0
+    sizes = np.diff(chunk.starts)
+    plain = np.flatnonzero(~odd & (sizes > 0))
+    out = []
+    if len(plain):
+        firsts = np.cumsum(sizes[plain]) - sizes[plain]
+        found = cut_plain(data if len(plain) == len(sizes) else data[ranges(begins[plain], sizes[plain])], firsts, False)
+        out.append(found + (begins[plain] - firsts)[np.searchsorted(firsts, found, "right") - 1])
+    for k in np.flatnonzero(odd).tolist():
+        text = data[begins[k] : begins[k] + sizes[k]].tobytes().decode()
+        found = (_any_pattern() if UNUSUAL.search(text) else BYTE_PATTERN).findall(text)
+        each = np.fromiter((len(x.encode()) for x in found), np.int64, len(found))
+        out.append(begins[k] + np.cumsum(each) - each)
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary values from their joined bytes and where each starts."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values.tobytes())])
 
 
 class Coder:
-    """Pre-token -> ids as bytes, in one process: tokens, the shared table, and what this process has replayed."""
+    """Pre-token -> ids as bytes, in one process: tokens, and what it has replayed."""
 
-    def __init__(self, path: str, shared: dict[bytes, bytes]) -> None:
-        self.pairs, self.shared = all_pairs(path), shared
+    def __init__(self, path: str) -> None:
+        self.pairs = all_pairs(path)
+        self.whole = {token: np.array([rank], "<u4").tobytes() for token, rank in ranks(path).items()}
         self.known: dict[bytes, bytes] = {}
-        self.whole = {token: packed([rank]) for token, rank in ranks(path).items()}
 
-    def ids(self, distinct: list[list[bytes]]) -> list[list[bytes]]:
-        """The ids of each of these pre-tokens; the unknown ones of all lists are merged together."""
-        new = {x for part in distinct for x in part if x not in self.whole and x not in self.shared and x not in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
+    def learn(self, distinct: list[pa.Array]) -> None:
+        """Replay the merges for those of these pre-tokens that are neither tokens nor known, all together."""
+        if len(self.known) >= REMEMBERED:
             self.known.clear()
-            new = {x for part in distinct for x in part if x not in self.whole and x not in self.shared}
-        words = list(new)
-        self.known.update(zip(words, replay(words, self.pairs), strict=True))
-        return [[self.whole.get(x) or self.shared.get(x) or self.known[x] for x in part] for part in distinct]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit bytes."""
-        out, parts = [b""] * len(texts), [*pre_tokens(texts)]
-        for (part, ends, codes, _), values in zip(parts, self.ids([distinct.to_pylist() for *_, distinct in parts]), strict=True):
-            sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-            ids, firsts, n = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes, sizes[codes]
-            flat = memoryview(ids[ranges(firsts[codes], n)].tobytes())
-            start = 0
-            for k, end in zip(part, (4 * np.cumsum(n)[ends - 1]).tolist(), strict=True):
-                out[k] = bytes(flat[start:end])
-                start = end
-        return out
-
-
-_coders: dict[tuple[str, int], Coder] = {}
-
-
-def _coder(path: str, shared) -> Coder:
-    """One coder a process for each broadcast table."""
-    if (key := (path, shared.id if hasattr(shared, "id") else id(shared))) not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(path, shared.value)
-    return _coders[key]
-
-
-def shared_table(docs: DataFrame, path: str, text_col: str = "text") -> dict[bytes, bytes]:
-    """The commonest pre-tokens of all texts that are not tokens themselves, with their ids.
-
-    All occurrences are counted; how common an entry must be follows from a histogram of
-    the counts, so that no more than SHARED_ENTRIES entries and SHARED_BYTES of pre-tokens
-    get to the driver. What is left out is merged where it occurs, with the same ids.
-    """
-    spark = docs.sparkSession
+        new = [*{x: None for part in distinct for x in part.to_pylist() if x not in self.whole and x not in self.known}]
+        for k in range(0, len(new), REPLAYED):
+            self.known.update(zip(new[k : k + REPLAYED], replay(new[k : k + REPLAYED], self.pairs), strict=True))
+
+    def encode(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """The ids of texts as little-endian unsigned 32-bit bytes, in parts."""
+        for chunk in chunks(texts, LEARNT):
+            parts = [*map(self._coded, chunks(texts.slice(chunk.first, chunk.last - chunk.first), WRITTEN))]
+            self.learn([distinct for *_, distinct in parts])
+            while parts:
+                of_text, codes, distinct = parts.pop(0)
+                values = [self.whole.get(x) or self.known[x] for x in distinct.to_pylist()]
+                sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+                ids, firsts, n = np.frombuffer(b"".join([*values, b""]), "<u4"), np.cumsum(sizes) - sizes, sizes[codes]
+                yield binary(ids[ranges(firsts[codes], n)], 4 * np.concatenate([[0], np.cumsum(n)])[of_text])
+
+    @staticmethod
+    def _coded(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The pre-tokens before the start of each text and the end, all pre-tokens as codes, and the distinct ones."""
+        starts = pre_tokens(chunk)
+        coded = binary(chunk.data, np.append(starts, len(chunk.data)) if len(starts) else np.zeros(1)).dictionary_encode()
+        return np.searchsorted(starts, chunk.starts), coded.indices.to_numpy(), coded.dictionary
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks(path)
-        for batch in batches:
-            for _, _, codes, distinct in pre_tokens(batch.column(0).to_pylist()):
-                n = np.bincount(codes, minlength=len(distinct))
-                words = distinct.to_pylist()
-                rows = [k for k, x in enumerate(words) if x not in known and len(x) <= SHARED_LENGTH]
-                yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in rows], pa.binary()), pa.array(n[rows], pa.int64())], names=["pre_token", "n"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = all_pairs(path)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(replay(words, pairs), pa.binary())], names=["pre_token", "ids"])
-
-    texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    counted = texts.mapInArrow(count, "pre_token binary, n long").groupBy("pre_token").agg(F.sum("n").alias("n")).where("n > 1")
-    folder = new_folder(spark, "pre-tokens")
-    counted = table_at(counted.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), folder)
-    left, lowest = (SHARED_ENTRIES, SHARED_BYTES), None
-    for row in sorted(counted.groupBy("step").agg(F.count("*").alias("n"), F.sum(F.octet_length("pre_token")).alias("bytes")).collect(), key=lambda row: -row["step"]):
-        left = (left[0] - row["n"], left[1] - row["bytes"])
-        if min(left) < 0:
-            break
-        lowest = row["step"]
-    found = {}
-    if lowest is not None:
-        table = counted.where(F.col("step") >= lowest).select("pre_token").mapInArrow(merge, "pre_token binary, ids binary").toArrow()
-        found = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
-    discard(folder)
-    return found
+
+@cache
+def coder(path: str) -> Coder:
+    return Coder(path)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,47 +234,43 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     path: a file of ranks, at the same place on every machine. No special tokens: their
     strings are ordinary text. A null or empty text has no ids; a null id stays null;
     repeated rows each get their row; an empty table gives an empty result; other columns
-    are ignored. One job counts and merges the common pre-tokens, then texts are encoded
-    by a map over the rows, whole at any length; nothing but counts of pre-tokens is shuffled.
+    are ignored. A map over the rows, whole texts of any length; nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(shared_table(docs, path, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path, shared)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coder.encode(batch.column(1).to_pylist()), pa.large_binary())], names=["id", "ids"])
+            at = 0
+            for ids in coder(path).encode(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), ids], names=["id", "ids"])
+                at += len(ids)
 
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, ids binary").withColumnRenamed("id", id_col)
 
 
-def decode_all(rows: list[bytes | None], path: str) -> list[bytes | None]:
-    """The bytes that the ids of each row stand for."""
-    vocabulary = ranks(path)
-    most = max(vocabulary.values()) + 1
-    tokens = [b""] * most
-    for token, rank in vocabulary.items():
+@cache
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes joined, where that of each id starts, and its length; 0: there is none."""
+    known = ranks(path)
+    tokens = [b""] * (max(known.values()) + 1)
+    for token, rank in known.items():
         tokens[rank] = token
-    sizes = np.fromiter(map(len, tokens), np.int64, most)
-    flat, firsts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes
-    out: list[bytes | None] = [None] * len(rows)
-    known = [k for k, row in enumerate(rows) if row is not None]
-    for part in slices([rows[k] for k in known]):
-        part = [known[k] for k in part]
-        ids = np.frombuffer(b"".join(rows[k] for k in part), "<u4").astype(np.int64)
-        if len(ids) and (ids.max() >= most or not sizes[ids].all()):
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def decoded(rows: pa.Array, path: str) -> Iterator[pa.Array]:
+    """The bytes that the ids of each row stand for, in parts."""
+    flat, firsts, sizes = vocabulary(path)
+    for chunk in chunks(rows, DECODED):
+        ids = np.frombuffer(chunk.data.tobytes(), "<u4").astype(np.int64)
+        if len(ids) and (ids.max() >= len(sizes) or not sizes[ids].all()):
             raise ValueError("an id stands for no token")
-        text = flat[ranges(firsts[ids], sizes[ids])].tobytes()
-        after = np.concatenate([[0], np.cumsum(sizes[ids])])
-        start = 0
-        for k, end in zip(part, after[np.cumsum([len(rows[k]) // 4 for k in part])].tolist(), strict=True):
-            out[k] = text[start:end]
-            start = end
-    return out
+        yield binary(flat[ranges(firsts[ids], sizes[ids])], np.concatenate([[0], np.cumsum(sizes[ids])])[chunk.starts // 4])
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column `decoded`: the bytes of its ids; null ids stay null, none give no bytes.
+    """encoded with a column `decoded`: the bytes of its ids; null or empty ids give no bytes.
 
     An id that the file of ranks lacks is an error. All columns stay; the new one gets
     underscores where its name is taken. A map over the rows.
@@ -330,8 +279,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array(decode_all(batch.column(ids_col).to_pylist(), path), pa.large_binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
+            at = 0
+            for found in decoded(batch.column(ids_col).fill_null(b""), path):
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(found)).columns, found], names=[*batch.schema.names, name])
+                at += len(found)
 
     schema = type(encoded.schema)([*encoded.schema.fields]).add(name, "binary")
     return encoded.mapInArrow(run, schema)
