@@ -608,4 +608,4 @@ def corr_columns(s, d):
     return rounded(A.table(s, d, "lineitem").agg(*pairs, *[F.expr(f"{f}({c})").alias(f"{k}_{n}") for k, c in FEATURES.items() for n, f in STATS.items()]))
 
 
-from . import composites, flows, sampled  # noqa: E402, F401  (register more queries)
+from . import composites, flows, regions, sampled  # noqa: E402, F401  (register more queries)
