@@ -1,15 +1,17 @@
 """Phrase collocations: the n-grams of each language that occur together more often than their parts suggest.
 
 N-grams of 1 to max_n words are exploded into rows, which are counted by language. An n-gram
-can only be frequent if the shorter ones inside it are, so explosion goes in rounds: words,
-then pairs of frequent words, then all longer n-grams whose pairs are frequent. What a round
-leaves out could not have reached min_count; a Sieve of fixed size carries the frequent
-parts to the tasks and lets some others pass, which the exact counts then drop.
+can only be frequent if the shorter ones inside it are, so explosion goes in rounds: words;
+pairs of frequent words, as hashes, which only tell which pairs may be frequent; then all
+n-grams of two words and more whose pairs may be, with exact counts. What a round leaves out
+could not have reached min_count; a Sieve of fixed size carries the frequent parts to the
+tasks and lets some others pass, which the exact counts then drop.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,126 +20,147 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import Words, chunks, lowered, members, words
+from .arrays import chunks, lowered, members, words
 from .common import discard, new_folder, staged, table_at
 
 #: The fixed separators: of words, and of the pieces that no phrase crosses.
 SPACES, BREAKS = b"\t ", b".,;:!?\n\x0b\x0c\r"
-#: Bits of a Sieve, as a power of two: 8 MB.
-SIEVE_BITS = 26
-#: Multiplies the hash of a phrase before its next word's is added.
+#: Bits of a hash that is counted, and of a Sieve, which is 2 ** SIEVE_BITS bits: 8 MB.
+KEY_BITS, SIEVE_BITS = 40, 26
+#: Multiplies the hash of a word before the next one's is added.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(langs: list[str], texts: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(text, xxhash.xxh32_intdigest(lang)) for lang, text in zip(langs, texts, strict=True)), np.uint64, len(texts))
+def word_keys(langs: list[str], texts: list[bytes]) -> np.ndarray:
+    """The hash of each word of a language."""
+    return np.fromiter((xxhash.xxh64_intdigest(text, xxhash.xxh32_intdigest(lang)) for lang, text in zip(langs, texts, strict=True)), np.uint64, len(texts)) >> np.uint64(64 - KEY_BITS)
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes ^ hashes >> np.uint64(29)) * MIX >> np.uint64(64 - SIEVE_BITS)
+def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two words by theirs."""
+    both = (left * MIX + right) * MIX
+    return (both ^ both >> np.uint64(31)) * MIX >> np.uint64(64 - KEY_BITS)
 
 
 class Sieve:
-    """A set of phrases as bits at their hashes: what is in it passes, and little else while it is sparse."""
+    """A set of hashes as bits: what is in it passes, and little else while it is sparse."""
 
     def __init__(self, table: pa.Table) -> None:
         self.bits = np.zeros(1 << SIEVE_BITS - 6, np.uint64)
         self.bits[table.column("slot").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
 
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        slots = _slots(hashes)
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        slots = keys >> np.uint64(KEY_BITS - SIEVE_BITS)
         return (self.bits[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def sieve(phrases: DataFrame) -> Sieve:
-    """The Sieve of these phrases (lang, phrase); at most 2 ** (SIEVE_BITS - 6) rows of 64 bits reach the driver."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            split = pc.split_pattern(batch.column(1), " ")
-            each, flat = np.diff(split.offsets.to_numpy()), split.flatten().cast(pa.binary() if split.type.value_type == pa.string() else pa.large_binary()).to_pylist()
-            found = _hashes([lang for lang, n in zip(langs, each.tolist(), strict=True) for _ in range(n)], flat)
-            firsts = np.cumsum(each) - each
-            total = found[firsts]
-            for k in range(1, int(each.max(initial=0))):
-                longer = each > k
-                total[longer] = total[longer] * MIX + found[firsts[longer] + k]
-            slots = _slots(total)
-            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slots & np.uint64(63))).view(np.int64))], names=["slot", "bits"])
-
-    placed = phrases.select("lang", "phrase").mapInArrow(place, "slot long, bits long")
+def sieve(keys: DataFrame) -> Sieve:
+    """The Sieve of these keys (a column `key`); at most 2 ** (SIEVE_BITS - 6) rows of 64 bits reach the driver."""
+    slot = F.shiftright("key", KEY_BITS - SIEVE_BITS)
+    placed = keys.select(F.shiftright(slot, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftright(key, {KEY_BITS - SIEVE_BITS}) & 63 AS int))").alias("bits"))
     return Sieve(placed.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow())
 
 
-def exploded(docs: DataFrame, lo: int, hi: int, known=None) -> DataFrame:
-    """Rows lang, phrase, f: the n-grams of lo to hi words, counted within parts of a task.
+class Part(NamedTuple):
+    """The words of a chunk: the number of each, the text, language and hash of each number, and a piece that grows wherever one ends."""
 
-    docs: lang, text, both without nulls. known: a broadcast Sieve of the frequent n-grams of
-    lo - 1 words, all of which inside an n-gram must pass; needed from lo = 2 on. For lo = 1
-    (and hi = 1) each part also gives a row without phrase for each language: its words.
-    """
+    own: np.ndarray
+    texts: pa.Array
+    langs: np.ndarray
+    keys: np.ndarray
+    piece: np.ndarray
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """Of batches lang, text, both without nulls."""
     apart, breaks = members(SPACES + BREAKS), members(BREAKS)
+    for batch in batches:
+        languages = batch.column(0).dictionary_encode()
+        names, of_row = np.array(languages.dictionary.to_pylist(), object), languages.indices.to_numpy().astype(np.int64)
+        for chunk in chunks(batch.column(1)):
+            data = lowered(chunk.data)
+            found = words(chunk, data, apart)
+            if len(found.at):
+                coded = found.values.dictionary_encode()
+                n_distinct = len(coded.dictionary)
+                ids, own = np.unique(of_row[chunk.first + found.doc] * n_distinct + coded.indices.to_numpy(), return_inverse=True)
+                texts, langs = coded.dictionary.take(pa.array(ids % n_distinct)), names[ids // n_distinct]
+                yield Part(own, texts, langs, word_keys(langs.tolist(), texts.to_pylist()), np.cumsum(breaks[data])[found.at] + found.doc)
 
-    def rows(lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrase.cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
-
-    def count(data: np.ndarray, found: Words, lang: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        coded = found.values.dictionary_encode()
-        n_distinct = len(coded.dictionary)
-        ids, own = np.unique(lang * n_distinct + coded.indices.to_numpy(), return_inverse=True)  # a number for each word of each language
-        texts, langs = coded.dictionary.take(pa.array(ids % n_distinct)), names[ids // n_distinct]
-        if lo == 1:
-            n = np.bincount(lang)
-            yield rows(langs, texts, np.bincount(own))
-            yield rows(names[np.flatnonzero(n)], pa.nulls(np.count_nonzero(n), pa.large_binary()), n[n > 0])
-            return
-        piece = np.cumsum(breaks[data])[found.at] + found.doc  # grows wherever a piece or a document ends
-        hashes = _hashes(langs.tolist(), texts.to_pylist())
-        total, gram, ok = hashes[own], own.copy(), np.ones(len(own), bool)  # of the n-gram that starts at each word
-        for n in range(2, hi + 1):
-            if n == lo:
-                ok &= known.value.passes(total)
-            if n >= lo:
-                ok = ok[:-1] & ok[1:]
-            else:
-                ok, total = ok[:-1], total[:-1] * MIX + hashes[own[n - 1 :]]
-            ok &= piece[: 1 - n] == piece[n - 1 :]
-            start = np.flatnonzero(ok)
-            if not len(start):
-                return
-            _, first, gram[start], f = np.unique(gram[start] * len(ids) + own[start + n - 1], return_index=True, return_inverse=True, return_counts=True)
-            if n >= lo:
-                first = start[first]
-                yield rows(langs[own[first]], pc.binary_join_element_wise(*(texts.take(pa.array(own[first + k])) for k in range(n)), pa.scalar(b" ", pa.large_binary())), f)
+
+def _rows(lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrase.cast(pa.string()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
+
+
+def exploded_words(docs: DataFrame) -> DataFrame:
+    """Rows lang, phrase, f: the words, counted within parts of a task; a row without phrase counts a language's words in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            f = np.bincount(part.own)
+            yield _rows(part.langs, part.texts, f)
+            names, of = np.unique(part.langs.astype(str), return_inverse=True)
+            yield _rows(names, pa.nulls(len(names), pa.large_binary()), np.bincount(of, f).astype(np.int64))
+
+    return docs.mapInArrow(run, "lang string, phrase string, f long")
+
+
+def hashed(words_: DataFrame) -> DataFrame:
+    """Rows key of words lang, phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = batch.column(0).dictionary_encode()
-            names, of_row = np.array(coded.dictionary.to_pylist(), object), coded.indices.to_numpy().astype(np.int64)
-            for chunk in chunks(batch.column(1)):
-                data = lowered(chunk.data)
-                found = words(chunk, data, apart)
-                if len(found.at):
-                    yield from count(data, found, of_row[chunk.first + found.doc], names)
+            keys = word_keys(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64))], names=["key"])
+
+    return words_.select("lang", "phrase").mapInArrow(run, "key long")
+
+
+def exploded_pairs(docs: DataFrame, known) -> DataFrame:
+    """Rows key, f: pairs of neighbours within a piece whose words both pass the broadcast Sieve, as hashes, counted within parts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            ok = known.value.passes(part.keys)[part.own]
+            start = np.flatnonzero(ok[:-1] & ok[1:] & (part.piece[:-1] == part.piece[1:]))
+            if len(start):
+                keys, f = np.unique(pair_keys(part.keys[part.own[start]], part.keys[part.own[start + 1]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(f)], names=["key", "f"])
+
+    return docs.mapInArrow(run, "key long, f long")
+
+
+def exploded_phrases(docs: DataFrame, max_n: int, known) -> DataFrame:
+    """Rows lang, phrase, f: the n-grams of 2 to max_n words whose pairs all pass the broadcast Sieve, counted within parts of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            own, gram = part.own, part.own.copy()  # gram: the number of the n-gram that starts at each word
+            pairs = (part.piece[:-1] == part.piece[1:]) & known.value.passes(pair_keys(part.keys[own[:-1]], part.keys[own[1:]]))
+            ok = pairs
+            for n in range(2, max_n + 1):
+                ok = ok[:-1] & pairs[n - 2 :] if n > 2 else ok
+                start = np.flatnonzero(ok)
+                if not len(start):
+                    break
+                _, first, gram[start], f = np.unique(gram[start] * len(part.texts) + own[start + n - 1], return_index=True, return_inverse=True, return_counts=True)
+                first = start[first]
+                yield _rows(part.langs[own[first]], pc.binary_join_element_wise(*(part.texts.take(pa.array(own[first + k])) for k in range(n)), pa.scalar(b" ", pa.large_binary())), f)
 
     return docs.mapInArrow(run, "lang string, phrase string, f long")
 
 
-def counted(docs: DataFrame, max_n: int, min_count: int, name: str = "phrases") -> tuple[DataFrame, DataFrame, list[str]]:
+def counted(docs: DataFrame, max_n: int, min_count: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """The frequent n-grams (lang, n_words, phrase, f), the words of each language (lang, n), and the folders they are in."""
-    spark, folder, folders = docs.sparkSession, new_folder(docs.sparkSession, name), []
-    frequent, words_of = None, None
-    for lo, hi in [(1, 1), (2, 2), (3, max_n)][: min(max_n, 3)]:
-        known = spark.sparkContext.broadcast(sieve(frequent.where(F.col("n_words") == lo - 1))) if lo > 1 else None
-        total = exploded(docs, lo, hi, known).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        folders.append(f"{folder}-{lo}")
-        kept = table_at(total.where(F.col("phrase").isNull() | (F.col("f") >= min_count)), folders[-1])
-        if lo == 1:
-            words_of = kept.where(F.col("phrase").isNull()).select("lang", F.col("f").alias("n"))
-        kept = kept.where(F.col("phrase").isNotNull()).select("lang", F.size(F.split("phrase", " ")).alias("n_words"), "phrase", "f")
-        frequent = kept if frequent is None else frequent.unionByName(kept)
-    return frequent, words_of, folders
+    send, folders = docs.sparkSession.sparkContext.broadcast, [new_folder(docs.sparkSession, name) for name in ("words", "phrases")]
+    total = exploded_words(docs).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    words_ = table_at(total.where(F.col("phrase").isNull() | (F.col("f") >= min_count)), folders[0])
+    frequent = words_.where(F.col("phrase").isNotNull())
+    pairs = exploded_pairs(docs, send(sieve(hashed(frequent)))).groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    total = exploded_phrases(docs, max_n, send(sieve(pairs))).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    longer = table_at(total.where(F.col("f") >= min_count), folders[1])
+    both = frequent.select("lang", "phrase", "f").unionByName(longer).select("lang", F.size(F.split("phrase", " ")).alias("n_words"), "phrase", "f")
+    return both, words_.where(F.col("phrase").isNull()).select("lang", F.col("f").alias("n")), folders
 
 
 def collocations(docs: DataFrame, max_n: int = 5, min_count: int = 100, share: int = 100, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
