@@ -64,12 +64,31 @@ def _place(packed: str) -> Column:
 def _agreeing(step: int) -> Column:
     """Words next to the common print that agree, from its first word on (step 1) or before it (step -1)."""
     first = 0 if step > 0 else 1
-    far = F.least(F.size("near") - F.col("near_at"), F.size("item_words") - F.col("item_at")) if step > 0 else F.least("near_at", "item_at")
-    same = F.transform(F.sequence(F.lit(first), far - 1 + first), lambda j: F.get("near", F.col("near_at") + step * j) == F.get("item_words", F.col("item_at") + step * j))
+    far = F.least(F.size("near") - F.col("near_at"), F.size("item_near") - F.col("item_at")) if step > 0 else F.least("near_at", "item_at")
+    same = F.transform(F.sequence(F.lit(first), far - 1 + first), lambda j: F.get("near", F.col("near_at") + step * j) == F.get("item_near", F.col("item_at") + step * j))
     stop = F.array_position(same, F.lit(False)).cast("int")
     return F.when(far <= 0, F.lit(0)).when(stop == 0, far).otherwise(stop - 1)
 
 
+def _spot(words: str, packed: Column) -> tuple[Column, Column]:
+    """The words around a print, SPAN - GRAM before it and SPAN from it on, and where they begin in the text."""
+    place = packed.bitwiseAND(F.lit(2**PLACE_BITS - 1)).cast("int")
+    from_ = F.greatest(F.lit(0), place - (SPAN - GRAM))
+    return F.slice(words, from_ + 1, place - from_ + SPAN), from_
+
+
+def item_prints(bench: DataFrame, short: list[int]) -> DataFrame:
+    """(item, h, need, item_near, item_at): each print of the items (item, item_words), the words around it, and how many have to agree.
+
+    A print carries SPAN words and a few, however long its item, so rows grow with the item's length.
+    """
+    prints = _fingerprints(bench, "item_words", short, True)
+    spots = F.transform("prints", lambda p: F.struct(p.alias("p"), _spot("item_words", p)[0].alias("near"), _spot("item_words", p)[1].alias("from")))
+    # explode_outer: from explode() Spark infers a filter, which it would push down with the whole expression.
+    found = prints.select("item", F.least(F.lit(SPAN), F.size("item_words")).alias("need"), F.explode_outer(spots).alias("s")).where(F.col("s").isNotNull())
+    return found.select("item", _hash("s.p").alias("h"), "need", F.col("s.near").alias("item_near"), (_place("s.p") - F.col("s.from")).alias("item_at"))
+
+
 def shared_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", literal_prints: int = LITERAL_PRINTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row per row of docs: id, n_words, spans and items.
 
@@ -83,10 +102,8 @@ def shared_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     lengths = bench.select(F.size("item_words").alias("n")).where(F.col("n") < SPAN).distinct().collect()
     short = sorted(x["n"] for x in lengths)
 
-    # explode_outer: from explode() Spark infers a filter, which it would push down with the whole expression.
-    tests = _fingerprints(bench, "item_words", short, True).select("item", "item_words", F.explode_outer("prints").alias("p"))
-    tests = tests.where(F.col("p").isNotNull()).select("item", "item_words", _hash("p").alias("h"), _place("p").alias("item_at"))
-    size = tests.agg(F.count("*").alias("n"), F.sum(F.aggregate("item_words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16) + 32).alias("bytes")).first()
+    tests = staged(item_prints(bench, short), "item-prints")
+    size = tests.agg(F.sum(F.aggregate("item_near", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w) + 16) + 32).alias("bytes")).first()
     hashes = [x["h"] for x in tests.select("h").distinct().limit(literal_prints + 1).collect()] if (size["bytes"] or 0) <= broadcast_bytes else None
     small = hashes is not None and len(hashes) <= literal_prints
 
@@ -107,17 +124,14 @@ def shared_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def _extended(found: DataFrame, tests: DataFrame, own: bool) -> DataFrame:
     """(row, id, n_words, span, item) for each hit of the prints `hot` in `words`; with own a row without a hit for each document too, which only alone has n_words."""
-    reach = SPAN - GRAM
-    place = lambda p: p.bitwiseAND(F.lit(2**PLACE_BITS - 1)).cast("int")
-    from_ = lambda p: F.greatest(F.lit(0), place(p) - reach)
-    spots = F.transform("hot", lambda p: F.struct(p.alias("p"), F.slice("words", from_(p) + 1, place(p) - from_(p) + SPAN).alias("near"), from_(p).alias("from")))
+    spots = F.transform("hot", lambda p: F.struct(p.alias("p"), _spot("words", p)[0].alias("near"), _spot("words", p)[1].alias("from")))
     if own:  # No print is negative: -1 stands for the document itself.
         spots = F.concat(F.array(F.struct(F.lit(-1).cast("bigint").alias("p"), F.array().cast("array<string>").alias("near"), F.lit(0).alias("from"))), spots)
     found = found.select("row", "id", F.size("words").alias("n_words"), F.explode_outer(spots).alias("spot"))
-    found = found.select("row", "id", "n_words", "spot.near", "spot.from", F.when(F.col("spot.p") >= 0, F.shiftright("spot.p", PLACE_BITS)).alias("h"), (place(F.col("spot.p")) - F.col("spot.from")).alias("near_at"), (F.col("spot.p") < 0).alias("own"))
+    found = found.select("row", "id", "n_words", "spot.near", "spot.from", F.when(F.col("spot.p") >= 0, F.shiftright("spot.p", PLACE_BITS)).alias("h"), (_place("spot.p") - F.col("spot.from")).alias("near_at"), (F.col("spot.p") < 0).alias("own"))
     found = found.join(tests, "h", "left").where(F.col("own") | F.col("item").isNotNull()) if own else found.join(tests, "h")
     found = found.withColumns({"back": F.when(~F.col("own"), _agreeing(-1)), "ahead": F.when(~F.col("own"), _agreeing(1))})
-    hit = F.col("back") + F.col("ahead") >= F.least(F.lit(SPAN), F.size("item_words"))
+    hit = F.col("back") + F.col("ahead") >= F.col("need")
     at = F.col("from") + F.col("near_at")
     span = F.struct((at - F.col("back")).alias("start"), (at + F.col("ahead")).alias("end"))
     return found.where(F.col("own") | hit).select("row", "id", F.when(F.col("own"), F.col("n_words")).alias("n_words"), F.when(hit, span).alias("span"), F.when(hit, F.col("item")).alias("item"))
