@@ -5,15 +5,15 @@ normalised sentences have identifiers; the sequence of identifiers in a text, un
 sentences left out, is matched against ordered licence rules. A rule that matches
 takes its identifiers out of the sequence, so that a later, weaker rule doesn't see
 them. Sentences are known also where lines wrap within them, with or without comment
-prefixes; names of licences are known within any sentence that puts something under
-them, and tags of SPDX with their expressions. Everything is one map over the rows; the
-tables are literals.
+prefixes, and whatever name stands in their slots; names of licences are known within
+any sentence that puts something under them, unless it denies that, and tags of SPDX
+with their expressions. Everything is one map over the rows; the tables are literals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +76,11 @@ FILE_SENTENCES = {
     "GPL2Later": ("either version 2 of the License, or (at your option) any later version",),
     "GPL2Title": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
     "GPL3Title": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
-    "BSDEndorse": ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "BSDEndorse": (
+        "Neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Neither the name of * nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
     "MPLShort": ("Mozilla Public License Version 2.0",),
     "CCBYShort": ("This work is licensed under the Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International Public License"),
     "CCBYSAShort": ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
@@ -93,11 +97,7 @@ FILE_SENTENCES = {
     "AGPLSee": ("See the GNU Affero General Public License for more details",),
     "AGPL3Title": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
     "GPLHope": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
-    "BSDDisclaimer": (
-        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
-        "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
-        "THIS SOFTWARE IS PROVIDED BY THE AUTHOR \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
-    ),
+    "BSDDisclaimer": ("THIS SOFTWARE IS PROVIDED BY * \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",),
     "ISCPermission": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     "ISCAsIs": ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",),
     "EPL2Available": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
@@ -106,6 +106,11 @@ FILE_SENTENCES = {
     "ZlibPermission": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
     "BoostShort": ("Distributed under the Boost Software License, Version 1.0",),
 }
+#: Rules with members that may be missing: licence, the identifiers that must follow each other, and those that may then, in this order.
+OPEN_RULES = (
+    ("Apache-2.0", ("ApacheShort",), ("ApacheCompliance", "ApacheObtain", "ApacheAsIs", "ApacheSee")),
+    ("MIT", ("MITShort", "MITPermission"), ("MITAsIs",)),
+)
 #: Rules that come before RULES, as they take more sentences.
 LONG_RULES = (
     ("BSD-3-Clause", ("BSDRedistribution", "BSDSource", "BSDBinary", "BSDEndorse", "BSDDisclaimer")),
@@ -143,6 +148,7 @@ FILE_RULES = (
     ("GPL-2.0-or-later", ("GPLTerms", "GPL2Later", "GPLNoWarranty", "GPLSee")),
     ("GPL-2.0-or-later", ("GPLTerms", "GPL2Later")),
     ("Apache-2.0", ("ApacheTitle",)),
+    ("MIT", ("MITPermission",)),
     ("GPL-2.0-only", ("GPL2Title",)),
     ("GPL-3.0-only", ("GPL3Title",)),
 )
@@ -153,7 +159,7 @@ NAMES = {
     "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache software license version 2 0"),
     "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"),
     "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
-    "BSD": ("bsd license",),
+    "BSD": ("bsd license", "bsd style license"),
     "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2", "gpl version 2", "gpl v2", "gplv2"),
     "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license v3", "gpl version 3", "gpl v3", "gplv3"),
     "LGPL-2.1-only": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "lgpl version 2 1", "lgpl v2 1", "lgplv2 1"),
@@ -166,11 +172,29 @@ NAMES = {
     "Zlib": ("zlib license",),
     "Unlicense": ("unlicense",),
     "BSL-1.0": ("boost software license version 1 0",),
+    "Artistic-2.0": ("artistic license 2 0", "artistic license version 2 0", "artistic 2 0 license"),
+    "WTFPL": ("wtfpl", "do what the fuck you want to public license"),
 }
+#: Kinds and versions of Creative Commons licences, and their titles.
+CC_KINDS = {"by": "attribution", "by-sa": "attribution sharealike", "by-nc": "attribution noncommercial", "by-nd": "attribution noderivs", "by-nc-sa": "attribution noncommercial sharealike", "by-nc-nd": "attribution noncommercial noderivs"}
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+for _kind, _title in CC_KINDS.items():
+    for _version in CC_VERSIONS:
+        _dots = _version.replace(".", " ")
+        NAMES[f"CC-{_kind.upper()}-{_version}"] = (f"cc {_kind.replace('-', ' ')} {_dots}", f"creative commons {_title} {_dots}")
 #: Identifiers of SPDX.
 SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "Unlicense", "WTFPL", "BSL-1.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Artistic-2.0", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later")
 TAG = "spdx license identifier"
-UNDER = "under (?:the )?(?:terms of the )?"
+UNDER = "under (?:either (?:of )?)?(?:the |an? )?(?:terms of (?:either )?(?:the |an? )?)?"
+#: What denies a sentence that goes on to name a licence, up to six words before; Java wants the words of a look-behind spelled out.
+_FEW = ""
+for _ in range(6):
+    _FEW = rf"(?:[ \n][a-z0-9]{{1,20}}{_FEW})?"
+DENIED = rf"(?<![ \n\u0001](?:not|never|nothing|none|no|neither|nor|cannot|isn t|aren t|wasn t){_FEW}[ \n])"
+#: A name in the slot of a sentence: some words, among them ends of sentences as in "Inc.".
+SLOT = r"(?:[ \n\u0001]+[a-z0-9]+){1,12}?"
+#: Words between the names of a choice, which ends with the words after it.
+BETWEEN, CHOICE = r"(?:[ \n]++[a-z0-9]++){0,14}?[ \n]++", r"(?=(?:[ \n]++[a-z0-9]++){0,14}?[ \n]++at[ \n]++(?:your|the)[ \n]++option)"
 
 #: Marks that end a sentence; those that start a line are comment prefixes.
 MARKS = r"[.!?:;]+(?<!\n[ \t]{0,8}[.!?:;]{1,4})(?:\s+|$)"
@@ -185,13 +209,14 @@ def marked(text: Column) -> Column:
 
 
 def _plain(sentence: str) -> str:
-    """One sentence in the same form, for the tables."""
-    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
+    """One sentence in the same form, for the tables; a slot is a word of its own."""
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower().replace("*", "slot")).split())
 
 
 def _gap(pattern: str) -> str:
-    """The pattern with each space as a gap that a line may end in."""
-    return pattern.replace(" ", rf"[ \n]++{PREFIX}")
+    """The pattern with each space as a gap that a line may end in, and a name for each slot."""
+    gap = rf"[ \n]++{PREFIX}"
+    return rf"{SLOT}[ \n\u0001]++{PREFIX}".join(part.replace(" ", gap) for part in pattern.split(" slot "))
 
 
 def _any_of(forms: Iterable[str]) -> str:
@@ -204,7 +229,8 @@ def _known_pattern(sentences: Iterable[str]) -> str:
     Finds names of licences within sentences too, and tags with each identifier of their expression.
     """
     whole = rf"[\u0001\n] ?{PREFIX}{_any_of(sentences)}(?= ?[\u0001\n])"
-    named = rf"(?<![a-z0-9]){_gap(UNDER)}{_any_of(n for names in NAMES.values() for n in names)}(?![a-z0-9])"
+    names = _any_of(n for names in NAMES.values() for n in names)
+    named = rf"(?<![a-z0-9])(?=under){DENIED}{_gap(UNDER)}{names}(?![a-z0-9])|\G{BETWEEN}{names}(?![a-z0-9]){CHOICE}"
     tags = _any_of(_plain(x) for x in SPDX)
     return rf"{whole}|{named}|{TAG} ?\u0001? ?{tags}(?![a-z0-9])|\G (?:or|and) {tags}(?![a-z0-9])"
 
@@ -217,6 +243,20 @@ def _named() -> tuple[dict[str, str], list[tuple[str, tuple[str]]]]:
     return table, [(x, (f"Under{x}",)) for x in NAMES] + [(only[x], (f"Spdx{x}",)) for x in SPDX]
 
 
+def _names_at_end() -> str:
+    """Finds a licence's name at the end of normalised words."""
+    return "(" + "|".join(sorted((n for names in NAMES.values() for n in names), key=len, reverse=True)) + ")$"
+
+
+def ordered_rules() -> list[tuple[str, tuple[str, ...]]]:
+    """All rules in the order of their use; those with open members in all their forms, longer ones first."""
+    forms = []
+    for licence, must, may in OPEN_RULES:
+        chosen = sorted(product((True, False), repeat=len(may)), key=lambda c: -sum(c))
+        forms += [(licence, must + tuple(name for name, keep in zip(may, c) if keep)) for c in chosen if any(c) or len(must) > 1]
+    return [*forms, *LONG_RULES, *RULES, *FILE_RULES, *_named()[1]]
+
+
 def known_sentences(table: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
     """Normalised sentence -> identifier. A printed sentence that holds breaks of its own counts by its last part's start."""
     import re
@@ -240,28 +280,36 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     their row; an empty table gives an empty result; other columns are ignored.
     """
     known = known_sentences(FILE_SENTENCES) | known_sentences()
-    named, named_rules = _named()
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((known | named).items())])
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((known | _named()[0]).items())])
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = docs.select(F.col(f"`{id_col}`").alias("id"), marked(text).alias("marked"))
     sentences = F.filter(F.split("marked", "[\u0001\n]"), lambda s: F.trim(s) != "")
     hits = F.regexp_extract_all("marked", F.lit(_known_pattern(known)), F.lit(0))
-    plain = lambda s: F.trim(F.regexp_replace(s, rf"[ \u0001\n]+{PREFIX}", " "))
-    ids = F.transform(hits, lambda s: F.element_at(table, F.regexp_replace(plain(s), f"^{UNDER}", "under ")))
-    found = found.select("id", F.size(sentences).cast("long").alias("n_sentences"), ids.alias("ids"))
-    found = found.withColumn("left0", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")))
-    licences, rules = [], [*LONG_RULES, *RULES, *FILE_RULES, *named_rules]
-    for k, (licence, names) in enumerate(rules):
-        sequence = "," + ",,".join(names) + ","
-        found = found.withColumn(f"left{k + 1}", F.replace(F.col(f"left{k}"), F.lit(sequence), F.lit("")))
-        licences.append(F.when(F.col(f"left{k}") != F.col(f"left{k + 1}"), F.lit(licence)))
-    rest = F.array_join(F.filter(F.split(f"left{len(rules)}", ","), lambda x: x != ""), ",")
+
+    def identifier(hit: Column) -> Column:
+        plain = F.trim(F.regexp_replace(hit, rf"[ \u0001\n]+{PREFIX}", " "))
+        for form in (k for k in known if " slot " in k):
+            before, after = form.split(" slot ")
+            plain = F.when(plain.startswith(f"{before} ") & plain.endswith(f" {after}"), form).otherwise(plain)
+        own = F.try_element_at(table, F.regexp_replace(plain, f"^{UNDER}", "under "))
+        return F.coalesce(own, F.element_at(table, F.concat(F.lit("under "), F.regexp_extract(plain, _names_at_end(), 1))))
+
+    found = found.select("id", F.size(sentences).cast("long").alias("n_sentences"), F.transform(hits, identifier).alias("ids"))
+    rules = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit("," + ",,".join(names) + ",").alias("ids")) for licence, names in ordered_rules()])
+
+    def use(state: Column, rule: Column) -> Column:
+        rest = F.replace(state["rest"], rule["ids"], F.lit(""))
+        taken = F.when(rest != state["rest"], F.array_append(state["licences"], rule["licence"])).otherwise(state["licences"])
+        return F.struct(rest.alias("rest"), taken.alias("licences"))
+
+    start = F.struct(F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")).alias("rest"), F.array().cast("array<string>").alias("licences"))
+    found = found.withColumn("matched", F.when(F.size("ids") > 0, F.aggregate(rules, start, use)).otherwise(start))
     return found.select(
         F.col("id").alias(id_col),
         "n_sentences",
         F.array_join("ids", ",").alias("sentence_ids"),
-        F.array_join(F.array_distinct(F.array_compact(F.array(*licences))), ",").alias("licences"),
-        rest.alias("unexplained"),
+        F.array_join(F.array_distinct("matched.licences"), ",").alias("licences"),
+        F.array_join(F.filter(F.split("matched.rest", ","), lambda x: x != ""), ",").alias("unexplained"),
     )
 
 
