@@ -125,11 +125,11 @@ def corners(px: DataFrame, k: int = 3, most: int = 100, quality: float = 0.3, di
     import numpy as np
     import pandas as pd
 
-    from .frames import box_sums
+    from .frames import box_sums, by_frame
 
     across, down = (Window.partitionBy(*FRAME, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
     slope = lambda w: F.coalesce((F.lead("v").over(w) - F.lag("v").over(w)) / 2, F.lit(0.0))
-    g = px.select(*PLACE, slope(across).alias("ix"), slope(down).alias("iy"))
+    g = by_frame(px).select(*PLACE, slope(across).alias("ix"), slope(down).alias("iy"))
     sums = box_sums(g, k, a=F.col("ix") * F.col("ix"), b=F.col("ix") * F.col("iy"), c=F.col("iy") * F.col("iy"))
     least = (F.col("a") + F.col("c")) / 2 - F.sqrt(F.pow((F.col("a") - F.col("c")) / 2, 2) + F.col("b") * F.col("b"))
     strong = sums.select(*PLACE, F.round(least, 6).alias("strength"))

@@ -116,23 +116,28 @@ def _around(k: int) -> tuple[WindowSpec, WindowSpec]:
     return along.rangeBetween(-before, after), down.rangeBetween(-before, after)
 
 
+def by_frame(px: DataFrame) -> DataFrame:
+    """px dealt by frames once, which suits windows over rows and over columns alike."""
+    return px.repartition(*FRAME)
+
+
 def box_sums(px: DataFrame, k: int, **values: Column) -> DataFrame:
     """px with the sum of each value over k x k around each pixel, and n, how many of these places are inside; one axis after the other."""
     along, down = _around(k)
     values = {**values, "n": F.lit(1)}
-    once = px.select("*", *[F.sum(v).over(along).alias(f"_{name}") for name, v in values.items()])
+    once = by_frame(px).select("*", *[F.sum(v).over(along).alias(f"_{name}") for name, v in values.items()])
     return once.select(*px.columns, *[F.sum(f"_{name}").over(down).alias(name) for name in values])
 
 
 def erode(px: DataFrame, k: int) -> DataFrame:
     along, down = _around(k)
-    return px.withColumn("v", F.min("v").over(along)).withColumn("v", F.min("v").over(down))
+    return by_frame(px).withColumn("v", F.min("v").over(along)).withColumn("v", F.min("v").over(down))
 
 
 def median(px: DataFrame, k: int) -> DataFrame:
     """k x k median with zeros outside the frame. Values are gathered along rows, then the gathered along columns."""
     along, down = _around(k)
-    near = px.withColumn("near", F.collect_list("v").over(along)).withColumn("near", F.flatten(F.collect_list("near").over(down)))
+    near = by_frame(px).withColumn("near", F.collect_list("v").over(along)).withColumn("near", F.flatten(F.collect_list("near").over(down)))
     padded = F.sort_array(F.concat("near", F.array_repeat(F.lit(0).cast(px.schema["v"].dataType), k * k - F.size("near"))))
     return near.withColumn("v", F.get(padded, F.lit(k * k // 2))).drop("near")
 
@@ -364,7 +369,7 @@ def gradient_flow(px: DataFrame) -> DataFrame:
     """(fx, fy) per pixel: normal flow from central differences, 0 where there's no gradient or at the border."""
     across, down = (Window.partitionBy(*FRAME, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
     time = Window.partitionBy(*PIXEL).orderBy("frame_idx")
-    g = px.select("*", ((F.lead("v").over(across) - F.lag("v").over(across)) / 2).alias("ix"), ((F.lead("v").over(down) - F.lag("v").over(down)) / 2).alias("iy"), (F.lead("v").over(time) - F.col("v")).alias("it"))
+    g = by_frame(px).select("*", ((F.lead("v").over(across) - F.lag("v").over(across)) / 2).alias("ix"), ((F.lead("v").over(down) - F.lag("v").over(down)) / 2).alias("iy"), (F.lead("v").over(time) - F.col("v")).alias("it"))
     size = F.col("ix") * F.col("ix") + F.col("iy") * F.col("iy")
     part = lambda c: F.when(size > 0, -F.col("it") * F.col(c) / size).otherwise(0.0) + 0.0
     return g.where(F.col("it").isNotNull()).select(*FRAME, "y", "x", part("ix").alias("fx"), part("iy").alias("fy"))
@@ -375,7 +380,7 @@ def window_flow(px: DataFrame, k: int) -> DataFrame:
     across, down = (Window.partitionBy(*FRAME, a).orderBy(b) for a, b in (("y", "x"), ("x", "y")))
     time = Window.partitionBy(*PIXEL).orderBy("frame_idx")
     slope = lambda w: F.coalesce((F.lead("v").over(w) - F.lag("v").over(w)) / 2, F.lit(0.0))
-    g = px.select(*FRAME, "y", "x", slope(across).alias("ix"), slope(down).alias("iy"), (F.lead("v").over(time) - F.col("v")).alias("it")).where("it IS NOT NULL")
+    g = by_frame(px).select(*FRAME, "y", "x", slope(across).alias("ix"), slope(down).alias("iy"), (F.lead("v").over(time) - F.col("v")).alias("it")).where("it IS NOT NULL")
     names = [("ix", "ix"), ("ix", "iy"), ("iy", "iy"), ("ix", "it"), ("iy", "it")]
     sums = box_sums(g, k, **{a[1:] + b[1:]: F.col(a) * F.col(b) for a, b in names})
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")

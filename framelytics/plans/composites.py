@@ -93,9 +93,10 @@ def contrast_equaliser(s, d):
 COLOURS = [(60, 60, 60), (0, 120, 255), (255, 200, 0), (255, 0, 40)]
 
 
-@query("WITH g AS (SELECT * FROM (VALUES (0, 60, 60, 60), (1, 0, 120, 255), (2, 255, 200, 0), (3, 255, 0, 40)) t(k, r, g, b)), i AS (SELECT i::INT AS i, i * 3 / 255::DOUBLE AS place, floor(i * 3 / 255::DOUBLE)::INT AS low FROM range(256) t(i)) SELECT i, " + ", ".join(f"floor((1 - (place - low)) * a.{n} + (place - low) * coalesce(z.{n}, 0))::INT AS {n}" for n in "rgb") + " FROM i JOIN g a ON a.k = low LEFT JOIN g z ON z.k = low + 1")
+@query(f"WITH {PX}, g AS (SELECT * FROM (VALUES (0, 60, 60, 60), (1, 0, 120, 255), (2, 255, 200, 0), (3, 255, 0, 40)) t(k, r, g, b)), i AS (SELECT *, v * 3 / 255::DOUBLE AS place, floor(v * 3 / 255::DOUBLE)::INT AS low FROM px) SELECT media_id, frame_idx, y, x, " + ", ".join(f"floor((1 - (place - low)) * a.{n} + (place - low) * coalesce(z.{n}, 0))::INT AS {n}" for n in "rgb") + " FROM i JOIN g a ON a.k = low LEFT JOIN g z ON z.k = low + 1")
 def colour_palette(s, d):
-    return C.palette(s, COLOURS)
+    """Gray frames in the colours of a palette; the palette has 256 rows."""
+    return A.pixels(s, d).join(F.broadcast(C.palette(s, COLOURS).withColumnRenamed("i", "v")), "v").select("media_id", "frame_idx", "y", "x", "r", "g", "b")
 
 
 # Chains
@@ -325,12 +326,15 @@ def pose_table(s, d):
     return V.pose_table(_keypoints(s, d), PARTS, FPS)
 
 
-MODELS = {"body": PARTS.values(), "leg": ("Left Hip", "Left Knee", "Left Ankle"), "hand": ("Right Hand",)}
+NAMED = "[" + ", ".join(f"'{n}'" for n in PARTS.values()) + "]"
 
 
-@query("WITH p(model, name) AS (VALUES " + ", ".join(f"('{m}', '{n}')" for m, names in MODELS.items() for n in names) + "), f AS (SELECT model, string_agg(lower(name), ',') AS t FROM p GROUP BY 1) SELECT model, " + ", ".join("(" + " AND ".join(f"regexp_matches(t, '{'|'.join(words)}')" for words in groups) + f") AS {name}" for name, groups in V.FAMILIES.items()) + " FROM f")
+@query(f"WITH p AS (SELECT DISTINCT l_orderkey AS model, {NAMED}[(l_linenumber - 1) % {len(PARTS)} + 1] AS name FROM lineitem), f AS (SELECT model, string_agg(lower(name), ',') AS t FROM p GROUP BY 1) SELECT model, " + ", ".join("(" + " AND ".join(f"regexp_matches(t, '{'|'.join(words)}')" for words in groups) + f") AS {name}" for name, groups in V.FAMILIES.items()) + " FROM f")
 def pose_features(s, d):
-    return V.pose_families(s.createDataFrame([(m, n) for m, names in MODELS.items() for n in names], "model string, name string"))
+    """Each order as a model whose parts are its lines; which families of parts it has."""
+    names = F.array(*[F.lit(n) for n in PARTS.values()])
+    parts = A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("model"), F.get(names, ((F.col("l_linenumber") - 1) % len(PARTS)).cast("int")).alias("name"))
+    return V.pose_families(parts.distinct())
 
 
 @query(f"WITH {PX}, m AS (SELECT media_id, frame_idx, arg_max(px, v * 100 - y * 8 - x) AS b FROM px GROUP BY 1, 2) SELECT media_id, frame_idx, CASE WHEN b.v > 200 THEN b.x / 8 END AS x, CASE WHEN b.v > 200 THEN b.y / 8 END AS y, b.v AS p FROM m")
@@ -397,9 +401,14 @@ def plane_counts(s, d):
     return both.groupBy("media_id", "frame_idx").agg((F.max("c") + 1).alias("planes"))
 
 
-@query("SELECT p, CASE lower(p) WHEN 'erp' THEN 'equirect' WHEN 'e' THEN 'equirect' WHEN 'equirectangular' THEN 'equirect' WHEN 'fisheye' THEN 'fisheye' WHEN 'ball' THEN 'ball' END AS name FROM (VALUES ('ERP'), ('e'), ('Equirectangular'), ('Fisheye'), ('BALL'), ('cube'), (NULL)) t(p)")
+PROJECTIONS = ("ERP", "e", "Equirectangular", "Fisheye", "BALL", "cube")
+
+
+@query("SELECT event_id, CASE lower(p) WHEN 'erp' THEN 'equirect' WHEN 'e' THEN 'equirect' WHEN 'equirectangular' THEN 'equirect' WHEN 'fisheye' THEN 'fisheye' WHEN 'ball' THEN 'ball' END AS name FROM (SELECT event_id, " + "[" + ", ".join(f"'{x}'" for x in PROJECTIONS) + "][event_id % 7 + 1] AS p FROM events)")
 def projection_names(s, d):
-    return s.createDataFrame([(x,) for x in ("ERP", "e", "Equirectangular", "Fisheye", "BALL", "cube", None)], "p string").select("p", probe.projection(F.col("p")).alias("name"))
+    """A name of a projection for each event, one in seven without."""
+    given = F.get(F.array(*[F.lit(x) for x in PROJECTIONS]), (F.col("event_id") % 7).cast("int"))
+    return A.table(s, d, "events").select("event_id", probe.projection(given).alias("name"))
 
 
 @query("WITH l AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS keys FROM orders GROUP BY 1) SELECT k, len(keys)::BIGINT AS n, keys[1] AS first, list_sum(keys[2:3])::BIGINT AS slice FROM l")
