@@ -241,8 +241,8 @@ def tracks(frames: DataFrame, points: DataFrame, window: int = 15, levels: int =
     now = points.select("media_id", F.col("track").cast("long").alias("track"), F.lit(0).alias("frame_idx"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.lit(0.0).alias("error"))
     out = now
     for begin in range(0, last_frame or 0, block):
-        part = frames.where(F.col("frame_idx").between(begin, begin + block))
-        found = checkpointed(now.groupBy("media_id").cogroup(part.groupBy("media_id")).applyInArrow(follow, schema))
+        part = frames.where(F.col("frame_idx").between(begin, begin + block)).withColumnRenamed("media_id", "clip")
+        found = checkpointed(now.groupBy("media_id").cogroup(part.groupBy("clip")).applyInArrow(follow, schema))
         out, now = out.unionByName(found), found.where(F.col("frame_idx") == begin + block)
     return out
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import arrays as R
 from ..operators import detect
 from ..operators import frames as P
+from ..operators import sphere
 from ..operators.flow import frame_rows
 from ..sources import adapters as A
 from .registry import CLIP, PX, query, r, rounded
@@ -70,3 +71,26 @@ cut AS (SELECT *, least(greatest((i % 8 + ox + 0.5) * 4 - w / 2, 0), 32) AS x1,
 SELECT media_id, frame_idx, box, {r('x1')} AS x1, {r('y1')} AS y1, {r('least(x1 + w, 32)')} AS x2, {r('least(y1 + h, 32)')} AS y2, {r('score')} AS score, {', '.join(f"{r(_mark(2 * j + 1, 'w', 'x1'))} AS lx{j + 1}, {r(_mark(2 * j, 'h', 'y1'))} AS ly{j + 1}" for j in range(5))} FROM cut""")
 def detector_decode(s, d):
     return rounded(detect.decode(detector_maps(s, d), 8, 32, 32, 0.2))
+
+
+def _levels(frames):
+    """Pixels with levels as they are, not whole."""
+    cells = frames.select("media_id", "frame_idx", "width", F.posexplode("data").alias("i", "v"))
+    return cells.select("media_id", "frame_idx", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), "v")
+
+
+@query(f"""WITH {PX}, o AS (SELECT y, x, tan(radians(50)) * ((x + 0.5::DOUBLE) * 2 / 6 - 1) AS a, tan(radians(50)) * 4 / 6 * ((y + 0.5::DOUBLE) * 2 / 4 - 1) AS b FROM range(4) r(y), range(6) c(x)),
+turned AS (SELECT y, x, a * cos(radians(30)) + sin(radians(30)) AS vx, b AS vy, cos(radians(30)) - a * sin(radians(30)) AS vz FROM o),
+spot AS (SELECT y, x, (atan2(vx, vz) / pi() + 1) / 2 * 8 - 0.5 AS sx, least(greatest((asin(vy / sqrt(vx * vx + vy * vy + vz * vz)) * 2 / pi() + 1) / 2 * 8 - 0.5, 0), 7) AS sy FROM turned),
+corner AS (SELECT y, x, least(floor(sy), 6)::INT + j AS qy, ((floor(sx)::INT + i) % 8 + 8) % 8 AS qx, CASE WHEN j = 1 THEN sy - least(floor(sy), 6) ELSE 1 - sy + least(floor(sy), 6) END * CASE WHEN i = 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END AS w FROM spot, range(2) u(j), range(2) v(i))
+SELECT p.media_id, p.frame_idx, c.y::INT AS y, c.x::INT AS x, {r('sum(c.w * p.v)', 4)} AS v FROM corner c JOIN px p ON p.y = c.qy AND p.x = c.qx GROUP BY 1, 2, 3, 4""")
+def sphere_flat(s, d):
+    """A flat view of 100 degrees, turned right by 30, of full-sphere frames."""
+    return rounded(_levels(sphere.projected(frame_rows(A.pixels(s, d)), "equirect", "flat", 4, 6, fov=100.0, yaw=30.0)), 4)
+
+
+@query()
+def sphere_cube(s, d):
+    """Full-sphere frames as cube maps and back; tested on smooth images."""
+    there = sphere.projected(frame_rows(A.pixels(s, d)), "equirect", "cube", 8, 12)
+    return rounded(_levels(sphere.projected(there, "cube", "equirect", 8, 8)), 4)
