@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ FRAME_BYTES, ARCHIVE_BYTES, LEVEL = 1 << 20, 64 << 20, 3
 #: Archives that a task reads, once there are enough for all cores.
 ARCHIVES_A_TASK = 4
 LEAST_BYTES = 100
+#: Of monotonically_increasing_id(): what stands above these bits is the partition that a row was in.
+PART_BITS = 33
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -40,6 +43,15 @@ def target_of(page_id: str | None, url: str | None) -> str:
     return (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
 
 
+def escaped(page_id: str) -> str:
+    """An id as a header's field holds it: on one line."""
+    return page_id.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def unescaped(field: str | None) -> str | None:
+    return None if field is None else field.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+
+
 def record_name(row: int, page_id: str | None, target: str, digest: str) -> str:
     """The id of a record: of its row's key too, so that equal rows have records of their own."""
     return f"urn:uuid:{uuid.uuid5(SPACE, f'{row}/{page_id}/{target}/{digest}')}"
@@ -54,8 +66,9 @@ def record(row: int, page_id: str | None, url: str | None, payload: bytes, diges
     fields = [("WARC-Type", "revisit" if refers_to else "response"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers_to:
         first = target_of(refers_to["id"], refers_to["url"])
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{record_name(refers_to['row'], refers_to['id'], first, digest)}>"), ("WARC-Refers-To-Target-URI", first), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", refers_to["id"])]
-    fields += [("X-Page-ID", page_id)] * (page_id is not None) + [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{record_name(refers_to['row'], refers_to['id'], first, digest)}>"), ("WARC-Refers-To-Target-URI", first), ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-ID", escaped(refers_to["id"]))]
+    fields += [("X-Page-ID", escaped(page_id))] if page_id is not None else []
+    fields += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     return name, head.encode() + block + b"\r\n\r\n"
 
@@ -138,15 +151,27 @@ class _Archive:
 INDEX = pa.schema([("page_id", pa.string()), ("record_id", pa.string()), ("archive", pa.string()), ("frame", pa.int32()), ("frame_start", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
-def _write(folder: str):
+def _fates(uri: str, part: int) -> dict[int, dict]:
+    """row -> the response that it revisits, of the rows of one part."""
+    files, path = pafs.FileSystem.from_uri(posixpath.join(uri, f"part={part}"))
+    if files.get_file_info(path).type == pafs.FileType.NotFound:
+        return {}
+    table = pq.read_table(path, filesystem=files, partitioning=None, columns=["row", "refers_to"])
+    return dict(zip(table.column("row").to_pylist(), table.column("refers_to").to_pylist(), strict=True))
+
+
+def _write(folder: str, fates: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive = None
+        archive, part, own = None, None, {}
         rows = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), INDEX.types)], schema=INDEX)
         for batch in batches:
             for k in range(len(batch)):
-                row, page_id, url, payload, digest, refers_to = (batch.column(c)[k].as_py() for c in range(6))
+                row, page_id, url, payload, digest = (batch.column(c)[k].as_py() for c in range(5))
+                if row >> PART_BITS != part:  # rows come in parts, one after another
+                    part = row >> PART_BITS
+                    own = _fates(fates, part)
                 archive = archive or _Archive(folder)
-                archive.add(page_id, *record(row, page_id, url, payload, digest, refers_to))
+                archive.add(page_id, *record(row, page_id, url, payload, digest, own.get(row)))
                 if archive.plain >= ARCHIVE_BYTES:
                     yield rows(archive.close())
                     archive = None
@@ -169,14 +194,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.coalesce(F.col(f"`{html_col}`").cast("binary"), F.lit("").cast("binary"))
     whole = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
     whole = staged(whole.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload")), "pages")
-    # Keys, not payloads, are shuffled by digest; a page finds its own decision by its row's key.
+    # Keys, not payloads, are shuffled. Decisions lie in files by the part of a row's key, and a task that writes pages reads those of its parts.
     keyed = whole.where(F.col("size") >= least_bytes).select("row", "id", "url", "digest")
     known = F.when(F.col("id").isNotNull(), F.struct("id", "row", "url"))
     repeated = keyed.groupBy("digest").agg(F.min(known).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
     fate = keyed.select("row", "digest").join(staged(repeated, "repeated"), "digest").where("row <> first.row").select("row", F.struct(F.col("first.row").alias("row"), F.col("first.id").cast("string").alias("id"), F.col("first.url").alias("url")).alias("refers_to"))
-    rows = whole.join(staged(fate, "fates"), "row", "left").select("row", F.col("id").cast("string").alias("id"), "url", "payload", "digest", "refers_to")
+    fates = new_folder(spark, "fates")
+    fate.withColumn("part", F.shiftright("row", PART_BITS)).repartition("part").write.partitionBy("part").parquet(fates)
+    rows = whole.select("row", F.col("id").cast("string").alias("id"), "url", "payload", "digest")
     schema = "page_id string, record_id string, archive string, frame int, frame_start long, offset long, length long"
-    return staged(rows.mapInArrow(_write(folder), schema), "index")
+    return staged(rows.mapInArrow(_write(folder, fates), schema), "index")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +222,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
                         if head["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                             raise ValueError(f"{uri}: {head['WARC-Record-ID']} is damaged")
-                        out.append((head.get("X-Page-ID"), head["WARC-Target-URI"], size, digest, head["WARC-Type"], head.get("X-Refers-To-Page-ID"), None if head["WARC-Type"] == "revisit" else payload))
+                        out.append((unescaped(head.get("X-Page-ID")), head["WARC-Target-URI"], size, digest, head["WARC-Type"], unescaped(head.get("X-Refers-To-Page-ID")), None if head["WARC-Type"] == "revisit" else payload))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), READ.types)], schema=READ)
 
 
@@ -233,7 +260,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Per row of pages: the id, payload_bytes, payload_digest, record_type, refers_to. A null
     html is an empty payload; empty and short ones are never revisits; a null id stays null;
-    repeated rows each get their record; an empty table gives an empty result; other columns
+    ids and urls may hold line breaks, which are escaped in the archives; repeated rows each get their record; an empty table gives an empty result; other columns
     are ignored.
     """
     index = write_archives(pages, new_folder(pages.sparkSession, "warc"), id_col, url_col, html_col)

@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from framelytics.llm import bpe, decontam, licenses, phrases, queries, search
+from framelytics.llm import bpe, decontam, licenses, phrases, queries, search, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string"
@@ -238,3 +238,25 @@ def test_op10_a_long_item_is_found_whole(spark, literal_prints):
     items = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
     found = {r["doc_id"]: r["n_hit"] for r in decontam.decontaminate(docs, items, literal_prints=literal_prints).collect()}
     assert found == {1: 400, 2: 0, 3: 15}
+
+
+def test_op7_ids_with_line_breaks(spark):
+    html = "<p>" + "x" * 200 + "</p>"
+    ids = ["a\r\nb", "a%0D%0Ab", " : x: ", "%", "é\n", ""]
+    pages = spark.createDataFrame([(i, f"http://x/{i}", html) for i in ids] + [("z", None, "short")], "page_id string, url string, html string").repartition(3)
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    first = min(ids)
+    assert found == {i: ("response", None) if i == first else ("revisit", first) for i in ids} | {"z": ("response", None)}
+
+
+def test_op7_payloads_stay_out_of_shuffles(spark, data, tmp_path):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    plans = []
+    plain = warc.staged
+    try:
+        warc.staged = lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), plain(df, name))[1]
+        warc.write_archives(pages, f"file://{tmp_path}/out")
+    finally:
+        warc.staged = plain
+    plan = dict(plans)["index"]
+    assert "payload" in plan and "Exchange" not in plan and "Join" not in plan
