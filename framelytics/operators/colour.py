@@ -62,6 +62,42 @@ def equalise_value(gram: DataFrame) -> DataFrame:
     return found.select(*place, F.posexplode(F.array(scaled("b"), scaled("g"), scaled("r"))).alias("c", "v"))
 
 
+def to_hsv(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
+    """Hue (0 to 179, two degrees a step), saturation and value (0 to 255) of 8-bit levels, by fixed-point division to 12 bits."""
+    v = F.greatest(b, g, r)
+    away = v - F.least(b, g, r)
+    whole = lambda x: F.floor((x + 2048) / 4096).cast("int")
+    share = lambda n, of: F.when(of > 0, F.rint(F.lit(n * 4096.0) / of)).otherwise(0.0)
+    s = whole(away * share(255.0, v))
+    turn = whole(F.when(v == r, g - b).when(v == g, b - r + 2 * away).otherwise(r - g + 4 * away) * share(30.0, away))
+    return F.when(turn < 0, turn + 180).otherwise(turn), s, v
+
+
+def from_hsv(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """The levels b, g and r of 8-bit hue, saturation and value."""
+    sector, part, pale = F.floor(h / 30.0).cast("int") % 6, h / 30.0 - F.floor(h / 30.0), s / 255.0
+    level = lambda x: F.rint(v * x).cast("int")
+    full, low, falling, rising = level(F.lit(1.0)), level(1 - pale), level(1 - pale * part), level(1 - pale * (1 - part))
+    pick = lambda *by: F.get(F.array(*by), sector)
+    return pick(low, low, rising, full, full, falling), pick(rising, full, full, falling, low, low), pick(full, falling, low, low, rising, full)
+
+
+def equalise_hsv(gram: DataFrame) -> DataFrame:
+    """Colour grams (media_id, frame_idx, pos, c, v) with the histogram of their value equalised over the clip, by way of 8-bit hue, saturation and value.
+
+    A clip of one value alone stays as it is, but for the steps of hue and saturation.
+    """
+    place = ["media_id", "frame_idx", "pos"]
+    h, s, v = to_hsv(F.col("b"), F.col("g"), F.col("r"))
+    own = channels(gram, place).select(*place, h.alias("h"), s.alias("s"), v.alias("value"))
+    counts = own.groupBy("media_id", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("media_id").orderBy("value")  # 256 levels at most
+    cdf = counts.select("media_id", "value", F.sum("n").over(order).alias("cdf"), F.first("n").over(order).alias("low"), F.sum("n").over(Window.partitionBy("media_id")).alias("all"))
+    to = F.when(F.col("all") > F.col("low"), F.rint(255.0 * (F.col("cdf") - F.col("low")) / (F.col("all") - F.col("low")))).otherwise(F.col("value")).cast("int")
+    found = own.join(cdf.select("media_id", "value", to.alias("to")), ["media_id", "value"])
+    return found.select(*place, F.posexplode(F.array(*from_hsv(F.col("h"), F.col("s"), F.col("to")))).alias("c", "v"))
+
+
 def flow_colours(flow: DataFrame) -> DataFrame:
     """(hue, value) of each pixel's flow: half its angle in degrees, and its length between the frame's least and greatest as 0..255."""
     angle = F.atan2("fy", "fx")

@@ -66,6 +66,19 @@ def equalize_colour(s, d):
     return C.equalise_value(gram)
 
 
+@query(f"""WITH {CGRAM}, px3 AS (SELECT media_id, frame_idx, pos, max(v) FILTER (c = 0) AS b, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS r FROM cg GROUP BY 1, 2, 3), d AS (SELECT *, greatest(b, g, r) AS value, greatest(b, g, r) - least(b, g, r) AS away FROM px3),
+turn AS (SELECT *, floor((away * CASE WHEN value > 0 THEN round_even(255 * 4096::DOUBLE / value, 0) ELSE 0 END + 2048) / 4096) AS s, floor((CASE WHEN value = r THEN g - b WHEN value = g THEN b - r + 2 * away ELSE r - g + 4 * away END * CASE WHEN away > 0 THEN round_even(30 * 4096::DOUBLE / away, 0) ELSE 0 END + 2048) / 4096) AS t FROM d),
+hsv AS (SELECT media_id, frame_idx, pos, s / 255 AS s, value, (CASE WHEN t < 0 THEN t + 180 ELSE t END) / 30 AS h FROM turn),
+n AS (SELECT media_id, value, count(*) AS n FROM hsv GROUP BY 1, 2), f AS (SELECT media_id, value, sum(n) OVER w AS cdf, first(n) OVER w AS low, sum(n) OVER (PARTITION BY media_id) AS n FROM n WINDOW w AS (PARTITION BY media_id ORDER BY value)),
+t AS (SELECT media_id, value, CASE WHEN n > low THEN round_even(255 * (cdf - low)::DOUBLE / (n - low), 0) ELSE value END AS z FROM f),
+parts AS (SELECT media_id, frame_idx, pos, floor(h)::INT % 6 AS k, round_even(z, 0) AS full_, round_even(z * (1 - s), 0) AS low, round_even(z * (1 - s * (h - floor(h))), 0) AS falling, round_even(z * (1 - s * (1 - h + floor(h))), 0) AS rising FROM hsv JOIN t USING (media_id, value))
+SELECT media_id, frame_idx, pos, c::INT AS c, (CASE c WHEN 0 THEN [low, low, rising, full_, full_, falling] WHEN 1 THEN [rising, full_, full_, falling, low, low] ELSE [full_, falling, low, low, rising, full_] END)[k + 1]::INT AS v FROM parts, range(3) u(c)""")
+def equalize_hsv(s, d):
+    """A colour gram with its value equalised by way of 8-bit hue, saturation and value."""
+    gram = C.videogram(A.colours(s, d), "x").withColumn("v", F.floor("v").cast("int"))
+    return C.equalise_hsv(gram)
+
+
 @query(f"WITH {FLOW}, m AS (SELECT media_id, frame_idx, y, x, (CASE WHEN atan2(fy, fx) < 0 THEN atan2(fy, fx) + 2 * pi() ELSE atan2(fy, fx) END) * 90 / pi() AS hue, sqrt(fx * fx + fy * fy) AS mag FROM flow) SELECT media_id, frame_idx, y, x, {r('hue')} AS hue, {r('coalesce((mag - min(mag) OVER f) * 255 / nullif(max(mag) OVER f - min(mag) OVER f, 0), 0)')} AS value FROM m WINDOW f AS (PARTITION BY media_id, frame_idx)")
 def flow_hsv(s, d):
     return rounded(C.flow_colours(P.gradient_flow(A.pixels(s, d))))
