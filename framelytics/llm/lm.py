@@ -65,18 +65,24 @@ def _get(words: np.ndarray, bits: int, index: np.ndarray) -> np.ndarray:
     return (low | high) & np.uint64((1 << bits) - 1)
 
 
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of the k-th set bit of each byte, at k * 256 + byte.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8) for b in range(256)], np.uint8)
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
     """Place of the k-th (from 0) set bit, or with flip clear bit. before: such bits before each word."""
     at = np.searchsorted(before, k, "right") - 1
-    left, w = k - before[at], words[at]
-    w = ~w if flip else w.copy()
-    place = np.zeros(len(k), np.int64)
-    for s in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count(w & np.uint64((1 << s) - 1)).astype(np.int64)
-        go = left >= n
-        left, place = left - n * go, place + s * go
-        w = np.where(go, w >> np.uint64(s), w)
-    return at * 64 + place
+    left, w = (k - before[at]).astype(np.uint64), words[at]
+    w = ~w if flip else w
+    # Each byte of sums has the set bits up to its end; bytes whose sum isn't over the rank are passed over.
+    sums = w - ((w >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    sums = (sums & np.uint64(0x3333333333333333)) + ((sums >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    shift = np.bitwise_count((left * _BYTES | _TOPS) - sums & _TOPS).astype(np.uint64) << np.uint64(3)
+    left -= ((sums << np.uint64(8)) >> shift) & np.uint64(255)
+    byte = (w >> shift) & np.uint64(255)
+    return at * 64 + shift.astype(np.int64) + _IN_BYTE[((left << np.uint64(8)) | byte).astype(np.int64)]
 
 
 class EliasFano:
@@ -197,7 +203,9 @@ def split(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     body = joined.strip(b" \t\n\r\x0b\x0c")
     one = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(body)], np.int32)), pa.py_buffer(body)])
     words = pc.ascii_split_whitespace(one).flatten().cast(pa.binary()).dictionary_encode()
-    return words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist(), counts
+    _, offsets, data = words.dictionary.buffers()
+    bounds, raw = np.frombuffer(offsets, np.int32)[: len(words.dictionary) + 1].tolist(), data.to_pybytes()
+    return words.indices.to_numpy().astype(np.int64), [raw[a:b] for a, b in zip(bounds, bounds[1:])], counts
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
@@ -216,6 +224,13 @@ def parts(batch_texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, out
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
@@ -239,7 +254,7 @@ def _unsqueeze(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(keys_of, slice_of):
-    """A map that counts keys: rows (slice, keys), a task's keys being merged as they come."""
+    """A map that adds up sorted keys and their counts: rows (slice, keys), a task's keys being merged as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -253,7 +268,7 @@ def _gather(keys_of, slice_of):
 
         for batch in batches:
             for _, texts in parts(batch.column(0).to_pylist()):
-                found = summed(*keys_of(texts))
+                found = keys_of(texts)
                 held.append(found)
                 n += len(found[0])
                 if n >= GATHERED:
@@ -322,7 +337,7 @@ def build_words(texts: DataFrame) -> Words:
 
     def keys_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         codes, words, _ = split(part)
-        return hashes(words), np.bincount(codes, minlength=len(words)).astype(np.int64)
+        return summed(hashes(words), np.bincount(codes, minlength=len(words)).astype(np.int64))
 
     def level(rows: pa.Table) -> pa.Table:
         keys, counts = _merged(rows)
@@ -407,18 +422,18 @@ class Model:
         return self.levels[-1] if self.levels else self.words
 
 
-def tokens_of(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token of the texts, ends included: its number (-1: unknown), whether it's a text's first, and tokens per text."""
+def tokens_of(words: Words, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token of the texts, ends included: its number (-1: unknown), whether it's a text's first; tokens per text; the sorted different tokens, and the place of every token among them."""
     codes, distinct, counts = split(texts)
-    numbers = words.numbers(distinct)[codes] if len(codes) else codes
+    own, rank = np.unique(np.append(words.numbers(distinct), words.size), return_inverse=True)
     n = counts + 1
     ends = np.cumsum(n) - 1
-    token, first = np.full(int(n.sum()), words.size, np.int64), np.zeros(int(n.sum()), bool)
-    inner = np.ones(len(token), bool)
+    at, first = np.full(int(n.sum()), rank[-1], np.int64), np.zeros(int(n.sum()), bool)
+    inner = np.ones(len(at), bool)
     inner[ends] = False
-    token[inner] = numbers
+    at[inner] = rank[codes]
     first[ends + 1 - n] = True
-    return token, first, n
+    return own[at], first, n, own, at
 
 
 def walk(model: Model, token: np.ndarray, first: np.ndarray, own: np.ndarray, at: np.ndarray) -> Iterator[tuple[Level | None, np.ndarray, np.ndarray, np.ndarray | None]]:
@@ -456,15 +471,14 @@ def build_level(texts: DataFrame, model: Model, discount: float = DISCOUNT, bits
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def keys_of(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        token, first, _ = tokens_of(shared.value.words, part)
-        *_, (_, contexts, places, _) = walk(shared.value, token, first, *np.unique(token, return_inverse=True))
-        keys = contexts[places[places >= 0]].astype(np.uint64) * np.uint64(width) + token[places >= 0].astype(np.uint64)
-        return keys, np.ones(len(keys), np.int64)
+        token, first, _, own, at = tokens_of(shared.value.words, part)
+        *_, (_, contexts, places, _) = walk(shared.value, token, first, own, at)
+        return counted(contexts[places[places >= 0]].astype(np.uint64) * np.uint64(width) + token[places >= 0].astype(np.uint64))
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in parts(batch.column(0).to_pylist()):
-                keys = np.unique(keys_of(part)[0])
+                keys, _ = keys_of(part)
                 keys = keys[hashed(keys) % np.uint64(1000) < np.uint64(1000 * of_keys)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
 
@@ -530,8 +544,7 @@ def _folder(df: DataFrame, name: str) -> str:
 def log10_probabilities(model: Model, texts: list[bytes], added: float = ADDED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per text: tokens, known tokens, log10 of the product of word probabilities, and of the model's."""
     words = model.words
-    token, first, n = tokens_of(words, texts)
-    own, at = np.unique(token, return_inverse=True)
+    token, first, n, own, at = tokens_of(words, texts)
     count = words.counts(own)[at]
     p1 = (count + added) / (words.tokens + added * (words.size + 1 + (words.docs > 0)))
     p = p1.copy()
