@@ -35,6 +35,8 @@ BUCKETS, ORDERS = 4096, (1, 2, 3)
 #: The bounds of the labelled sample: different texts of each language, texts in all, and languages, those of most texts first.
 PER_LANGUAGE, IN_ALL, LANGUAGES = 1000, 20_000, 200
 EPOCHS, PENALTY = 30, 1e-4
+#: Rows, and about how many characters of their texts, that are scored at once.
+ROWS, CHARACTERS = 1000, 500_000
 #: Scores are logistic in the margin times this.
 STEEPNESS = 4.0
 #: A text is unfamiliar if it is further from its language's held-out texts than this share of the way to random n-grams,
@@ -232,24 +234,31 @@ def predicted(docs: DataFrame, model: Model, text_col: str, carry: list[str], na
     """The columns to carry, then language and score by these names. If strict, an unfamiliar text gets `und` and score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     taken = docs.select(*[F.col(f"`{c}`") for c in carry])
+    # A text that is carried anyway goes to Python once.
+    place = carry.index(text_col) if text_col in carry else len(carry)
+    sent = taken if text_col in carry else docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias(free_name(taken, "whole")))
+
+    def told(texts: list[str]) -> list[tuple[str, float]]:
+        found = shared.value.predict(texts)
+        known = shared.value.familiar(texts, [x for x, _ in found]) if strict else [True] * len(texts)
+        return [p if ok and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t, p, ok in zip(texts, found, known)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
             found: list[tuple[str, float]] = []
-            start, size = 0, 0
-            for k, text in enumerate(texts + [""]):
-                if k == len(texts) or size > 2_000_000:
-                    part = [x or "" for x in texts[start:k]]
-                    told = shared.value.predict(part)
-                    known = shared.value.familiar(part, [x for x, _ in told]) if strict else [True] * len(part)
-                    found += [p if ok and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t, p, ok in zip(part, told, known)]
-                    start, size = k, 0
-                size += len(text or "")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names[:-1], *names])
+            for at in range(0, batch.num_rows, ROWS):
+                part, size = [], 0
+                for text in batch.column(place).slice(at, ROWS).to_pylist():
+                    part.append(text or "")
+                    size += len(part[-1])
+                    if size > CHARACTERS:
+                        found += told(part)
+                        part, size = [], 0
+                found += told(part) if part else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names[: len(carry)], *names])
 
     schema = T.StructType([*taken.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias(free_name(taken, "whole"))).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_language: int = PER_LANGUAGE) -> DataFrame:
