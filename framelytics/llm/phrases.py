@@ -5,7 +5,8 @@ can only be frequent if the shorter ones inside it are, so explosion goes in rou
 pairs of frequent words, as hashes, which only tell which pairs may be frequent; then all
 n-grams of two words and more whose pairs may be, with exact counts. What a round leaves out
 could not have reached min_count; a Sieve of fixed size carries the frequent parts to the
-tasks and lets some others pass, which the exact counts then drop.
+tasks and lets some others pass, which the exact counts then drop. Texts go to Python and
+are exploded PART bytes at a time, as the arrays take some 50 bytes for each byte of text.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import chunks, lowered, members, words
-from .common import discard, new_folder, staged, table_at
+from .arrays import Chunk, chunks, lowered, members, words
+from .common import discard, new_folder, sent_in_parts, staged, table_at
 
 #: The fixed separators: of words, and of the pieces that no phrase crosses.
 SPACES, BREAKS = b"\t ", b".,;:!?\n\x0b\x0c\r"
+#: Bytes of text that are exploded at once, a longer text being cut where a piece ends, and that are sent at once: with the last row mostly a part.
+PART, SENT = 1_200_000, 900_000
 #: Bits of a hash that is counted, and of a Sieve, which is 2 ** SIEVE_BITS bits: 8 MB.
 KEY_BITS, SIEVE_BITS = 40, 26
 #: Multiplies the hash of a word before the next one's is added.
@@ -71,13 +74,27 @@ class Part(NamedTuple):
     piece: np.ndarray
 
 
+def cut(chunk: Chunk, breaks: np.ndarray) -> Iterator[Chunk]:
+    """The chunk itself or, of one text of over PART bytes, parts that end after a break (256 flags); only a piece may be longer than PART."""
+    if chunk.last - chunk.first > 1 or len(chunk.data) <= PART:
+        yield chunk
+        return
+    ends = np.append(np.flatnonzero(breaks[chunk.data]) + 1, len(chunk.data))
+    start = 0
+    while start < len(chunk.data):
+        at = int(np.searchsorted(ends, start + PART, "right"))
+        end = int(ends[at - 1]) if at and ends[at - 1] > start else int(ends[at])
+        yield Chunk(chunk.first, chunk.last, chunk.data[start:end], np.array([0, end - start]))
+        start = end
+
+
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
     """Of batches lang, text, both without nulls."""
     apart, breaks = members(SPACES + BREAKS), members(BREAKS)
     for batch in batches:
         languages = batch.column(0).dictionary_encode()
         names, of_row = np.array(languages.dictionary.to_pylist(), object), languages.indices.to_numpy().astype(np.int64)
-        for chunk in chunks(batch.column(1)):
+        for chunk in (part for whole in chunks(batch.column(1), PART) for part in cut(whole, breaks)):
             data = lowered(chunk.data)
             found = words(chunk, data, apart)
             if len(found.at):
@@ -85,7 +102,7 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
                 n_distinct = len(coded.dictionary)
                 ids, own = np.unique(of_row[chunk.first + found.doc] * n_distinct + coded.indices.to_numpy(), return_inverse=True)
                 texts, langs = coded.dictionary.take(pa.array(ids % n_distinct)), names[ids // n_distinct]
-                yield Part(own, texts, langs, word_keys(langs.tolist(), texts.to_pylist()), np.cumsum(breaks[data])[found.at] + found.doc)
+                yield Part(own, texts, langs, word_keys(langs.tolist(), texts.to_pylist()), np.cumsum(breaks[data], dtype=np.int32)[found.at] + found.doc)
 
 
 def _rows(lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
@@ -180,7 +197,8 @@ def collocations(docs: DataFrame, max_n: int = 5, min_count: int = 100, share: i
     left to adaptive execution: both sides are tables.
     """
     text = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    frequent, words_of, folders = counted(text, max_n, min_count)
+    with sent_in_parts(docs.sparkSession, SENT):
+        frequent, words_of, folders = counted(text, max_n, min_count)
     candidates = frequent.where("n_words > 1").select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     part = lambda first, size: F.array_join(F.slice("words", first, size), " ")
     n_words = F.size("words")
